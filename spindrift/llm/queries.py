@@ -53,9 +53,9 @@ _WS = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 
 SQL = {
     "p1_found": f"""
-with t as (select seq, event_id, loaded_at, coalesce(lower(regexp_replace(regexp_replace(validation_status,'^{WS}+',''),'{WS}+$','')),'') as st,
+with t as (select seq, event_id, loaded_at, coalesce(lower(regexp_replace(regexp_replace(validation_status,'^{_WS}+',''),'{_WS}+$','')),'') as st,
  case when confidence>=0 and confidence<=1 and not isnan(confidence) then confidence end as conf,
- nullif(length(regexp_replace(evidence_text,'{WS}+','','g')),0) as ev from triples where event_id is not null),
+ nullif(length(regexp_replace(evidence_text,'{_WS}+','','g')),0) as ev from triples where event_id is not null),
 g as (select *, bool_and(st='rejected') over (partition by event_id) as allrej, count(*) over (partition by event_id) as n from t),
 u as (select *, case when st<>'rejected' or allrej then conf end as c, case when st<>'rejected' or allrej then ev end as e,
  case st when 'validated' then 4 when 'repaired' then 3 when 'raw' then 2 when 'rejected' then 1 end as s from g where n>=2)
