@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import groups, same_writing, survivors
+from spindrift.llm import encode, groups, pieces, same_writing, survivors
 from spindrift.tables import table
 
 
@@ -39,13 +39,33 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized_paragraphs(table(spark, d, "documents"))
+
+
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_texts(table(spark, d, "documents")).drop("inside_start", "inside_end")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(table(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return encode.decode(encode.encode(table(spark, d, "documents")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
     "p3_found": p3_found,
     "p3_claims": p3_claims,
+    "p4_found": p4_found,
+    "p4_chunks": p4_chunks,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
 }
 
 #: White space as RE2 writes it.
@@ -64,4 +84,5 @@ select event_id,
  coalesce(first(seq order by e desc, loaded_at desc nulls last, seq desc) filter (e is not null), -1) as evidence_seq,
  coalesce(first(seq order by s desc, loaded_at desc nulls last, seq desc) filter (s is not null), -1) as status_seq
 from u group by event_id""",
+    "p8_decoded": "select doc_id, case when text is null then '' else text end as text from documents",
 }
