@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import encode, groups, pieces, same_writing, survivors
+from spindrift.llm import encode, groups, languages, leaks, pieces, same_writing, survivors
 from spindrift.tables import table
 
 
@@ -55,6 +55,26 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode.decode(encode.encode(table(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "documents"))
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.held(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.labelled(table(spark, d, "documents")).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -66,6 +86,11 @@ QUERIES = {
     "p5_groups": p5_groups,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_languages": p10_languages,
+    "p10_segments": p10_segments,
 }
 
 #: White space as RE2 writes it.
