@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import encode, groups, languages, leaks, pieces, same_writing, survivors
+from spindrift.llm import encode, groups, languages, leaks, names, pieces, reference_values, same_writing, survivors
 from spindrift.tables import table
 
 
@@ -47,6 +47,26 @@ def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(table(spark, d, "documents")).drop("inside_start", "inside_end")
 
 
+def _entered(spark: SparkSession, d: str) -> DataFrame:
+    return reference_values.entered_values(*[table(spark, d, t) for t in ("triples", "entities", "ref_values")])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _entered(spark, d).drop("score")
+
+
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _entered(spark, d)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_names(table(spark, d, "entities"), table(spark, d, "triples"))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities_of(names.names_of(table(spark, d, "entities"), table(spark, d, "triples")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -84,6 +104,10 @@ QUERIES = {
     "p4_chunks": p4_chunks,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_scores": p6_scores,
+    "p7_found": p7_found,
+    "p7_entities": p7_entities,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,
