@@ -36,7 +36,7 @@ ABBREVIATIONS = {
     "tech": "technologies", "techn": "technologies", "technology": "technologies", "hldgs": "holdings", "hldg": "holdings", "natl": "national",
     "inst": "institute", "min": "ministry", "transp": "transport", "univ": "university", "bros": "brothers",
     "assoc": "association", "dept": "department", "govt": "government", "mfg": "manufacturing", "svcs": "services", "serv": "services",
-    "telecomm": "telecom", "ins": "insurance", "bdcst": "broadcasting", "pharm": "pharma", "grp": "group",
+    "telecomm": "telecom", "ins": "insurance", "bdcst": "broadcasting", "bcast": "broadcasting", "pharm": "pharma", "grp": "group",
 }
 
 #: Short forms of given names.
@@ -59,6 +59,9 @@ LEGAL = ["corporation", "company", "incorporated", "limited", "international", "
 #: Words of institutions and trades that are common however few names there are.
 COMMON = ["national", "institute", "university", "ministry", "department", "sons", "brothers", "association", "bank", "savings", "insurance", "services", "transport", "broadcasting"]
 
+#: Letters with marks and the letters they are often typed as.
+PLAIN = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
+
 #: A token is common if it stands in at least this many spellings, or this share of their root.
 LEAST_COMMON, COMMON_SHARE = 10, 0.3
 SHORTEST_ROOT = 5
@@ -70,8 +73,10 @@ def _fixed(words: dict[str, str]) -> Column:
 
 
 def tokens_of(name: Column) -> Column:
-    """Folded words without invisible characters."""
-    text = F.regexp_replace(fold(name), r"[\p{Cf}'’`]", "")
+    """Folded words without invisible characters and marks on letters; words glued together part at a
+    capital letter."""
+    parted = F.regexp_replace(F.regexp_replace(name, r"\p{Cf}", ""), r"(?<=\p{Ll}{3})(?=\p{Lu}\p{Ll}{2})", " ")
+    text = F.translate(F.regexp_replace(fold(parted), r"[\p{Cf}\p{M}'’`]", ""), *PLAIN)
     text = F.regexp_replace(text, "[&+]", " and ")
     return F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
@@ -88,24 +93,26 @@ def _allowed(length: Column) -> Column:
 def attributed_tokens(tokens: DataFrame) -> DataFrame:
     """token, fixed, common: the token of highest posterior for each, and whether it is a common word.
 
-    ``tokens`` has token, df (spellings that hold it), n (occurrences) and common.
+    ``tokens`` has token, df (spellings that hold it), n (occurrences), common and listed.
     """
     known = tokens.select(F.col("token").alias("b"), F.col("df").alias("c_df"), F.col("n").alias("c_n"), F.col("common").alias("c_common"))
-    # Common words may be what any token is meant for; other tokens compete among themselves.
-    pairs = near(tokens.where("not common").select(F.col("token").alias("word")), tokens.select(F.col("token").alias("word")), _allowed)
-    scored = pairs.join(known, "b").join(tokens.where("not common").select(F.col("token").alias("a"), "df", "n"), "a").where(
+    # Common words may be what any token is meant for; other tokens compete among themselves. Listed
+    # words stand for themselves; other common words do unless a far commoner one is near.
+    open_ = tokens.where("not listed")
+    pairs = near(open_.select(F.col("token").alias("word")), tokens.select(F.col("token").alias("word")), _allowed)
+    scored = pairs.join(known, "b").join(open_.select(F.col("token").alias("a"), "df", "n", F.col("common").alias("a_common")), "a").where(
         # Short words are slips of common words only.
         F.col("c_common") | (F.col("a") == F.col("b")) | (F.length("b") >= SHORTEST_SLIP)).where(
         # A slip is rarer than what was meant; between equals the first in byte order stays.
         (F.col("a") == F.col("b")) | F.col("c_common") | (F.struct("c_df", "c_n") > F.struct("df", "n")) | ((F.struct("c_df", "c_n") == F.struct("df", "n")) & (F.col("b") < F.col("a"))))
-    posterior = F.when(F.col("a") == F.col("b"), F.lit(-8.0)).otherwise(0.0) + F.log(F.col("c_df").cast("double")) - 1.5 * F.col("d")
+    posterior = F.when((F.col("a") == F.col("b")) & ~F.col("a_common"), F.lit(-8.0)).otherwise(0.0) + F.log(F.col("c_df").cast("double")) - 1.5 * F.col("d")
     best = scored.groupBy("a").agg(F.max(F.struct(posterior.alias("p"), F.col("c_n").alias("n"), F.col("b").alias("b"), F.col("c_common").alias("common"))).alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.common").alias("common"))
     best = written(best)
     # What a token was attached to may itself be a slip.
     further = best.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("common").alias("_c"))
     first = best.join(further, best["b"] == further["_a"], "left").select("a", F.coalesce("_b", "b").alias("b"), F.coalesce("_c", "common").alias("common"))
     slips = first.join(further, first["b"] == further["_a"], "left").select(F.col("a").alias("token"), F.coalesce("_b", "b").alias("fixed"), F.coalesce("_c", "common").alias("common"))
-    return slips.unionByName(tokens.where("common").select("token", F.col("token").alias("fixed"), "common"))
+    return slips.unionByName(tokens.where("listed").select("token", F.col("token").alias("fixed"), "common"))
 
 
 def entities_of(names: DataFrame) -> DataFrame:
@@ -122,7 +129,7 @@ def entities_of(names: DataFrame) -> DataFrame:
     each = spellings.select("spelling", "n", F.explode(F.array_distinct(F.split("spelling", " "))).alias("token")).where("token <> ''")
     listed = sorted({*SHORT_FORMS, *SHORT_FORMS.values(), *ABBREVIATIONS, *ABBREVIATIONS.values(), *LEGAL, *COMMON})
     tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).join(F.broadcast(total), how="cross").select(
-        "token", "df", "n", ((F.length("token") > 1) & ((F.col("df") >= F.col("least")) | F.col("token").isin(listed))).alias("common"))
+        "token", "df", "n", F.col("token").isin(listed).alias("listed"), ((F.length("token") > 1) & ((F.col("df") >= F.col("least")) | F.col("token").isin(listed))).alias("common"))
     tokens = written(tokens)
     fixed = attributed_tokens(tokens).join(tokens.select("token", "df"), "token").withColumn("fixed", written_out(F.col("fixed")))
     hot = hot_keys(tokens.select("token", F.col("df").alias("n")), "token")
