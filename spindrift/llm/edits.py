@@ -65,7 +65,11 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_variants(words: DataFrame, word: str, edits: Column) -> DataFrame:
     """word and variant: the deletion variants of each distinct word, ``edits`` letters at most."""
-    return words.select(F.col(word).alias("word"), edits.cast("int").alias("k")).where("word is not null").distinct().mapInArrow(_variants, "word string, variant string")
+    # A word has hundreds of variants: the few bytes of words are spread over all cores, in as many
+    # tasks as a shuffle has, before they are made.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = words.select(F.col(word).alias("word"), edits.cast("int").alias("k")).where("word is not null").distinct()
+    return distinct.repartition(tasks, "word").mapInArrow(_variants, "word string, variant string")
 
 
 def near(left: DataFrame, right: DataFrame, edits) -> DataFrame:
@@ -74,6 +78,7 @@ def near(left: DataFrame, right: DataFrame, edits) -> DataFrame:
     grows with the length."""
     a = with_variants(left, "word", edits(F.length("word") + 1)).select(F.col("word").alias("a"), "variant")
     b = with_variants(right, "word", edits(F.length("word") + 1)).select(F.col("word").alias("b"), "variant")
-    pairs = a.join(b, "variant").select("a", "b").distinct()
+    # Their number grows with the words, which the planner cannot see: never a broadcast.
+    pairs = a.join(b.hint("merge"), "variant").select("a", "b").distinct()
     most = edits(F.greatest(F.length("a"), F.length("b")))
     return pairs.withColumn("d", edit_distance("a", "b", most)).where(F.col("d") <= most)
