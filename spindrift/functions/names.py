@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindrift.functions.columns import mapped, words
-from spindrift.functions.text import squash
+from spindrift.functions.text import squash, strip
 
 #: Words dropped from the front of a name, each tried once in this order.
 LEADS = ["the ", "a ", "an ", "this ", "these ", "those "]
@@ -32,7 +32,7 @@ def for_comparison(name: Column) -> Column:
     name = F.lower(F.trim(name))
     for lead in ("the ", "a "):
         name = F.when(name.startswith(lead), F.substr(name, F.lit(len(lead) + 1))).otherwise(name)
-    return F.trim(F.translate(name, "()'\",;.-_", ""))
+    return strip(F.translate(name, "()'\",;.-_", ""))
 
 
 def alnum_words(name: Column) -> Column:
@@ -71,4 +71,4 @@ def clean_name(name: Column) -> Column:
         name = F.when(F.lower(name).startswith(lead) & (F.length(name) > len(lead) + 2), F.substr(name, F.lit(len(lead) + 1))).otherwise(name)
     name = F.regexp_replace(name, r"\s+(?:for|from|against|on|in|of|by|via|through|within|across)\s+(?:the\s+)?(?:[A-Z]|\w{2,}).*$", "")
     name = F.regexp_replace(name, r"^(?i)(?:threat actors? to execute|attackers? to execute|allows? (?:attackers?|threat actors?) to (?:execute|run|deploy))\s+", "")
-    return F.trim(name)
+    return strip(name)

@@ -1,0 +1,142 @@
+"""Predicted edges matched with gold edges of their document."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spindrift import schema
+from spindrift.functions.names import for_match, names_match, token_set
+
+
+def keyed(kg: DataFrame) -> DataFrame:
+    """seq, doc, rel and the normal forms and word sets of both names."""
+    return kg.select("seq", "doc", "rel", for_match(F.col("s")).alias("ns"), for_match(F.col("o")).alias("no")).withColumns(
+        {"ts": token_set(F.col("ns"), True), "to": token_set(F.col("no"), True)})
+
+
+def compatible(a: Column, b: Column, table: list[tuple[str, str]] = schema.COMPATIBLE_WIDE) -> Column:
+    """Whether two relations are equal or a listed pair in either order."""
+    pair = F.concat_ws("/", F.least(a, b), F.greatest(a, b))
+    return (a == b) | pair.isin(["/".join(sorted(p)) for p in table])
+
+
+def prf(tp: Column, n_pred: Column, n_gold: Column) -> list[Column]:
+    p, r = F.when(n_pred > 0, tp / n_pred).otherwise(0.0), F.when(n_gold > 0, tp / n_gold).otherwise(0.0)
+    return [F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1")]
+
+
+def exact_by_document(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """doc, tp, n_pred, n_gold: equal keys one to one, in closed form the sum of the smaller counts."""
+    key = ["doc", "ns", "rel", "no"]
+    both = pred.select(*key, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(*key, F.lit(0).alias("p"), F.lit(1).alias("g")))
+    counted = both.groupBy(*key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    return counted.groupBy("doc").agg(F.sum(F.least("p", "g")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
+
+
+def micro(by_document: DataFrame) -> DataFrame:
+    """Micro-average over documents."""
+    sums = by_document.agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"))
+    return sums.select("tp", "n_pred", "n_gold", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")))
+
+
+def covered(pred: DataFrame, gold: DataFrame, protocol: str) -> DataFrame:
+    """seq of each edge of ``pred`` that matches some edge of its document's ``gold`` under the
+    protocol: exact, rel_eq (soft names, equal relation), compat (soft names, compatible relation,
+    either way round) or pair (soft names, either way round). A semi-join by document."""
+    p, g = pred.alias("p"), gold.alias("g")
+    soft = lambda x, tx, y, ty: names_match(F.col(x), F.col(y), F.col(tx), F.col(ty), 0.5)
+    forth = soft("p.ns", "p.ts", "g.ns", "g.ts") & soft("p.no", "p.to", "g.no", "g.to")
+    back = soft("p.ns", "p.ts", "g.no", "g.to") & soft("p.no", "p.to", "g.ns", "g.ts")
+    same = F.col("p.rel") == F.col("g.rel")
+    test = {
+        "exact": same & (F.col("p.ns") == F.col("g.ns")) & (F.col("p.no") == F.col("g.no")), "rel_eq": same & forth,
+        "compat": compatible(F.col("p.rel"), F.col("g.rel")) & (forth | back), "pair": forth | back,
+    }[protocol]
+    return p.join(g, (F.col("p.doc") == F.col("g.doc")) & test, "left_semi").select("seq")
+
+
+# Greedy one-to-one matching depends on the order of the edges of one document, which is small; a
+# grouped Arrow function does it for each document. Its predicates mirror the columns' ones.
+
+
+def _soft(a: str, ta: set, b: str, tb: set) -> bool:
+    if a in b or b in a:
+        return True
+    small = min(len(ta), len(tb))
+    return small > 0 and len(ta & tb) / small >= 0.5
+
+
+_COMPAT = {frozenset(p) for p in schema.COMPATIBLE_WIDE}
+Edge = tuple[str, set, str, str, set]
+
+
+def _forth(p: Edge, g: Edge) -> bool:
+    return _soft(p[0], p[1], g[0], g[1]) and _soft(p[3], p[4], g[3], g[4])
+
+
+def _back(p: Edge, g: Edge) -> bool:
+    return _soft(p[0], p[1], g[3], g[4]) and _soft(p[3], p[4], g[0], g[1])
+
+
+def _rel(p: Edge, g: Edge) -> bool:
+    return p[2] == g[2] or frozenset((p[2], g[2])) in _COMPAT
+
+
+#: The passes of each matcher; every pass goes over the edges that are still free.
+PASSES: dict[str, list[Callable[[Edge, Edge], bool]]] = {
+    "exact": [lambda p, g: (p[0], p[2], p[3]) == (g[0], g[2], g[3])],
+    "rel_eq": [lambda p, g: p[2] == g[2] and _forth(p, g)],
+    "compat": [lambda p, g: _rel(p, g) and (_forth(p, g) or _back(p, g))],
+    "pair": [lambda p, g: _forth(p, g) or _back(p, g)],
+    "triplet": [lambda p, g: (p[0], p[2], p[3]) == (g[0], g[2], g[3]), lambda p, g: p[2] == g[2] and _forth(p, g), lambda p, g: _rel(p, g) and (_forth(p, g) or _back(p, g))],
+}
+
+
+def greedy(preds: list[Edge], golds: list[Edge], passes: list[Callable[[Edge, Edge], bool]]) -> int:
+    """The number of matches if each edge in turn takes the first free gold edge it matches."""
+    free_p, free_g, tp = list(range(len(preds))), list(range(len(golds))), 0
+    for test in passes:
+        left = []
+        for i in free_p:
+            hit = next((j for j in free_g if test(preds[i], golds[j])), None)
+            if hit is None:
+                left.append(i)
+            else:
+                free_g.remove(hit)
+                tp += 1
+        free_p = left
+    return tp
+
+
+def greedy_by_document(pred: DataFrame, gold: DataFrame, matcher: str) -> DataFrame:
+    """doc, tp, n_pred, n_gold of the greedy matcher, edges in the order of ``seq``; all documents
+    of either side. Edges without a document count as one document's."""
+
+    def run(doc: pd.DataFrame) -> pd.DataFrame:
+        doc = doc.sort_values("seq")
+        edges = [(r.ns, set(r.ts), r.rel, r.no, set(r.to), r.is_gold) for r in doc.itertuples()]
+        p, g = [e[:5] for e in edges if not e[5]], [e[:5] for e in edges if e[5]]
+        return pd.DataFrame({"doc": [doc["doc"].iloc[0]], "tp": [greedy(p, g, PASSES[matcher])], "n_pred": [len(p)], "n_gold": [len(g)]})
+
+    both = pred.withColumn("is_gold", F.lit(False)).unionByName(gold.withColumn("is_gold", F.lit(True)))
+    return both.groupBy("doc").applyInPandas(run, "doc string, tp long, n_pred long, n_gold long")
+
+
+def largest_matching(left: list[list[int]]) -> int:
+    """The size of the largest one-to-one matching; ``left`` has the partners of each left item."""
+    owner: dict[int, int] = {}
+
+    def place(i: int, seen: set[int]) -> bool:
+        for j in left[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in owner or place(owner[j], seen):
+                    owner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(left)))
