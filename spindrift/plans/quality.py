@@ -230,7 +230,7 @@ QUERIES |= {f"edge_covered_{p}": _covered(p) for p in _TEST} | {f"greedy_f1_{p}"
 SQL = {
     "quality_metrics": with_kg(f"select count(*) as n, {_share('count(*) filter (rel not in ' + listed(schema.GENERIC) + ')', 'count(*)')} as relation_specificity, {_share('(count(*) filter (st <> {0}) + count(*) filter (ot <> {0}))'.format(chr(39) + 'Other' + chr(39)), '(2 * count(*))')} as type_specificity, {_share(*_bound(schema.QUALITY_OBJECTS), '1.0')} as semantic_validity, {_share(_DUP, 'count(*)')} as duplicate_rate from kg"),
     "stix_compliance": f"with {duck.KG}, {_STIX} select n, no_relation, no_type, scored, compliant, {_share('compliant', 'scored')} as compliance, {_share('scored', 'n')} as coverage from (select count(*) as n, count(*) filter (not related) as no_relation, count(*) filter (related and (sst is null or sot is null)) as no_type, count(*) filter (related and sst is not null and sot is not null) as scored, count(*) filter ({_OK}) as compliant from sx)",
-    "stix_violations": f"with {duck.KG}, {_STIX} select sst || ' -[' || rel || ']-> ' || sot as violation, count(*) as n from sx where related and sst is not null and sot is not null and not {_OK} group by 1 order by n desc, violation limit 10",
+    "stix_violations": f"with {duck.KG}, kc as materialized (select st, rel, ot, count(*) as c from kg group by all), {_STIX.replace('from kg', 'from kc')} select sst || ' -[' || rel || ']-> ' || sot as violation, cast(sum(c) as bigint) as n from sx where related and sst is not null and sot is not null and not {_OK} group by 1 order by n desc, violation limit 10",
     "normalization_loss": with_kg(f"select count(*) as n, {_share('count(*) filter (rel in ' + listed(schema.GENERIC) + ')', 'count(*)')} as generic_rate, {_share('(count(*) filter (st = {0}) + count(*) filter (ot = {0}))'.format(chr(39) + 'Other' + chr(39)), '(2 * count(*))')} as other_rate from kg"),
     "structure_metrics": with_kg(f"select {_share(f'count(*) filter (ev <> {chr(39) * 2})', 'count(*)')} as evidence_presence, count(*) filter ({_ALIGNED}) as aligned, {_share(f'count(*) filter ({_ALIGNED})', f'count(*) filter ({_FULL})')} as alignment, {_share(*_bound(schema.STRUCTURAL_OBJECTS), '1.0')} as type_compliance, {_share(_DUP, 'count(*)')} as duplicate_pairs from kg"),
     "name_hygiene": with_kg(f", nn as (select n, lower(n) as l from (select s as n from kg union all select o from kg) where n <> '') select count(*) as n, round(avg(length(n)), 6) as mean_length, {_share('count(*) filter (length(n) < 3)', 'count(*)')} as too_short, {_share('count(*) filter (' + ' or '.join(f'starts_with(l, {duck.lit(x)})' for x in nm.LEADS) + ')', 'count(*)')} as article, {_share('count(*) filter (l in ' + listed(quality.VAGUE) + ')', 'count(*)')} as vague, {_share('count(*) filter (regexp_matches(n, ' + duck.lit('[:;,.][ ]*$') + '))', 'count(*)')} as punctuation, cast(list_sort(list(length(n)))[cast(floor(count(*) / 2) as bigint) + 1] as integer) as median_length from nn"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift import schema
+from spindrift import pipeline, schema
 from spindrift.functions import identifiers as ids
 from spindrift.operators import relation_repair, salience, validate
 from spindrift.plans import duck
@@ -29,6 +29,10 @@ def validation_log(spark: SparkSession, d: str) -> DataFrame:
     return validate.error_log(validate.validate(kg(spark, d), POLICY)).groupBy("category", "action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("docs"))
 
 
+def pipeline_ablation(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.ablation(kg(spark, d), [pipeline.Steps(pronouns=False, repair=False, validation=False), pipeline.Steps(), pipeline.Steps(rescore_below=0.6, keep_per_document=5)])
+
+
 def dedup_keep_best(spark: SparkSession, d: str) -> DataFrame:
     return validate.keep_best(kg(spark, d)).select("seq", "status")
 
@@ -198,7 +202,7 @@ _SCORED = f"""scored as (select *, round(cast(0.35 as double) * case when ev = '
 _WEIGHT = "case rel " + " ".join(f"when '{r}' then cast({w} as double)" for r, w in schema.SALIENCE.items()) + " end"
 
 QUERIES = {
-    "validate_core": validate_core, "validate_full": validate_full, "validation_log": validation_log, "dedup_keep_best": dedup_keep_best, "relation_repair": relation_repaired,
+    "validate_core": validate_core, "validate_full": validate_full, "validation_log": validation_log, "pipeline_ablation": pipeline_ablation, "dedup_keep_best": dedup_keep_best, "relation_repair": relation_repaired,
     "confidence_rescore": confidence_rescore, "saliency_topk": saliency_topk, "identifiers": identifiers,
 }
 
