@@ -20,8 +20,9 @@ def squash(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Letter case removed; upper before lower lets letters with several lower forms agree."""
-    return F.lower(F.upper(col))
+    """Letter case removed; upper before lower lets letters with several lower forms agree, and the
+    sharp s agrees with the two letters that are its upper case."""
+    return F.replace(F.lower(F.upper(col)), F.lit("ß"), F.lit("ss"))
 
 
 def alnum_key(col: Column) -> Column:

@@ -65,7 +65,7 @@ def bracket_triples(text: Column) -> Column:
 def expanded(edges: DataFrame, subject: str, relation: str, obj: str) -> DataFrame:
     """Edges with lists for ends and relation as their combinations; an empty relation stays one."""
     clean = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
-    return edges.withColumn("s", F.explode(clean(subject))).withColumn("r", F.coalesce(F.explode_outer(clean(relation)), F.lit(""))).withColumn("o", F.explode(clean(obj)))
+    return edges.withColumn("s", F.explode(clean(subject))).withColumn("r", F.explode(F.when(F.size(clean(relation)) > 0, clean(relation)).otherwise(F.array(F.lit(""))))).withColumn("o", F.explode(clean(obj)))
 
 
 def _graph(text: str | None) -> list[dict] | None:
