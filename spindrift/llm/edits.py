@@ -6,6 +6,7 @@ share a string that remains after deleting at most k letters from each.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Words of more letters are found by their parts: they would have too many deletion variants. Words
+#: of up to three letters more are found by both, so that no pair falls between.
+LONG = 24
+
+
 def variants(word: str, k: int) -> set[str]:
     """``word`` without each choice of up to ``k`` of its letters."""
     n = len(word)
@@ -28,21 +34,51 @@ def variants(word: str, k: int) -> set[str]:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edits from ``a`` to ``b`` with swaps of neighbours; ``most`` + 1 if more."""
+    """Edits from ``a`` to ``b`` with swaps of neighbours; ``most`` + 1 if more. Only the band of
+    cells that ``most`` edits can reach is computed, so long words cost their length."""
+    over, width = most + 1, 2 * most + 1
     if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
+        return over
+    before, last = [over] * width, [abs(o - most) if o >= most else over for o in range(width)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return most + 1
+        row = [over] * width
+        for o in range(width):
+            j = i + o - most
+            if j < 0 or j > len(b):
+                continue
+            if j == 0:
+                row[o] = min(i, over)
+                continue
+            cost = last[o] + (x != b[j - 1])
+            if o and row[o - 1] + 1 < cost:
+                cost = row[o - 1] + 1
+            if o + 1 < width and last[o + 1] + 1 < cost:
+                cost = last[o + 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1] and before[o] + 1 < cost:
+                cost = before[o] + 1
+            row[o] = min(cost, over)
+        if min(row) == over and min(last) == over:
+            return over
         before, last = last, row
-    return last[-1]
+    return last[len(b) - len(a) + most]
+
+
+def segments(word: str, k: int) -> set[str]:
+    """What a long word is found by: of each of its 2k + 1 even parts, at any place that k edits can
+    move it to and for any length of the other word, its hash with that length and its number.
+
+    k edits, swaps among them, touch at most 2k parts, so one part is the same in both words. The
+    word's own parts are among these: two words at most k edits apart always share one.
+    """
+    out, parts = set(), 2 * k + 1
+    for length in range(max(parts, len(word) - k), len(word) + k + 1):
+        for p in range(parts):
+            start, end = p * length // parts, (p + 1) * length // parts
+            for shift in range(-k, k + 1):
+                if start + shift >= 0 and end + shift <= len(word):
+                    piece = word[start + shift : end + shift]
+                    out.add(f"\x01{length}.{p}.{hashlib.blake2b(piece.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}")
+    return out
 
 
 @F.pandas_udf(T.IntegerType())
@@ -54,7 +90,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, cut = [], []
         for word, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for v in variants(word, k):
+            keys = variants(word, k) if len(word) <= LONG + 3 or not k else set()
+            if k and len(word) > LONG:
+                keys |= segments(word, k)
+            for v in keys or {word}:
                 words.append(word)
                 cut.append(v)
             if len(words) > 200_000:
@@ -64,7 +103,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_variants(words: DataFrame, word: str, edits: Column) -> DataFrame:
-    """word and variant: the deletion variants of each distinct word, ``edits`` letters at most."""
+    """word and variant: what each distinct word is found by within ``edits`` (at most three)."""
     # A word has hundreds of variants: the few bytes of words are spread over all cores, in as many
     # tasks as a shuffle has, before they are made.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -34,7 +34,7 @@ def plain(col: Column) -> Column:
 
 def _allowed(length: Column) -> Column:
     """Edits within which a token counts as written wrongly."""
-    return F.when(length < 4, 0).when(length <= 8, 1).when(length <= 13, 2).otherwise(3)
+    return F.when(length < 4, 0).when(length < 7, 1).when(length <= 12, 2).otherwise(3)
 
 
 def _no_asides(text: Column) -> Column:
