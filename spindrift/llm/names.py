@@ -125,11 +125,11 @@ def entities_of(names: DataFrame) -> DataFrame:
     spelled = names.select("name", "n", tokens_of(F.col("name")).alias("words")).withColumn("spelling", F.array_join(F.array_sort("words"), " "))
     spelled = written(spelled)
     spellings = spelled.groupBy("spelling").agg(F.sum("n").alias("n"))
-    total = spellings.agg(F.greatest(F.lit(LEAST_COMMON), F.sqrt(F.count(F.lit(1))) * COMMON_SHARE).alias("least"))
+    least = max(LEAST_COMMON, spellings.count() ** 0.5 * COMMON_SHARE)
     each = spellings.select("spelling", "n", F.explode(F.array_distinct(F.split("spelling", " "))).alias("token")).where("token <> ''")
     listed = sorted({*SHORT_FORMS, *SHORT_FORMS.values(), *ABBREVIATIONS, *ABBREVIATIONS.values(), *LEGAL, *COMMON})
-    tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).join(F.broadcast(total), how="cross").select(
-        "token", "df", "n", F.col("token").isin(listed).alias("listed"), ((F.length("token") > 1) & ((F.col("df") >= F.col("least")) | F.col("token").isin(listed))).alias("common"))
+    tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).select(
+        "token", "df", "n", F.col("token").isin(listed).alias("listed"), ((F.length("token") > 1) & ((F.col("df") >= least) | F.col("token").isin(listed))).alias("common"))
     tokens = written(tokens)
     fixed = attributed_tokens(tokens).join(tokens.select("token", "df"), "token").withColumn("fixed", written_out(F.col("fixed")))
     hot = hot_keys(tokens.select("token", F.col("df").alias("n")), "token")

@@ -120,8 +120,7 @@ QUERIES = {
 #: White space as RE2 writes it.
 _WS = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-SQL = {
-    "p1_found": f"""
+_SURVIVORS = f"""
 with t as (select seq, event_id, loaded_at, coalesce(lower(regexp_replace(regexp_replace(validation_status,'^{_WS}+',''),'{_WS}+$','')),'') as st,
  case when confidence>=0 and confidence<=1 and not isnan(confidence) then confidence end as conf,
  nullif(length(regexp_replace(evidence_text,'{_WS}+','','g')),0) as ev from triples where event_id is not null),
@@ -132,6 +131,44 @@ select event_id,
  coalesce(first(seq order by c desc, loaded_at desc nulls last, seq desc) filter (c is not null), -1) as confidence_seq,
  coalesce(first(seq order by e desc, loaded_at desc nulls last, seq desc) filter (e is not null), -1) as evidence_seq,
  coalesce(first(seq order by s desc, loaded_at desc nulls last, seq desc) filter (s is not null), -1) as status_seq
-from u group by event_id""",
+from u group by event_id"""
+
+_PARAGRAPHS = """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
+p as (select *, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as start, length(ltrim(line, ' ' || chr(9) || chr(13))) as l_left, length(rtrim(line, ' ' || chr(9) || chr(13))) as l_right from l),
+g as (select *, sum(cast(l_left = 0 as integer)) over (partition by doc_id order by i) as run from p)
+select doc_id, cast(char_start as bigint) as char_start, cast(char_end as bigint) as char_end
+from (select doc_id, arg_min(start + length(line) - l_left, i) as char_start, arg_max(start + l_right, i) as char_end from g where l_left > 0 group by doc_id, run) where char_end - char_start > 2000"""
+
+_GROUPS = rf"""
+with recursive said as (select element_id as e, hash(merge_history) as h, unnest(merge_history) as m, generate_subscripts(merge_history, 1) as i from provenance where element_type = 'node'),
+kinds as (select e, h, i, case when regexp_matches(m, '{groups.TAKEN_BACK}') then -1 when regexp_matches(m, '{groups.REFUSED}') then 0 when regexp_matches(m, '{groups.STATED}') then 1 else 0 end as kind,
+  list_distinct(list_transform(regexp_extract_all(m, '([a-z_]+:[^\s",;()]+)', 1), lambda x: rtrim(x, ':'))) as ids from said where m is not null),
+owned as (select *, case when len(ids) = 1 or list_contains(ids, e) then e else ids[1] end as x from kinds where kind <> 0 and len(ids) > 0),
+pr as (select e, h, i, kind, x, unnest(ids) as y from owned),
+merges as (select a, b from (select least(x, y) as a, greatest(x, y) as b, arg_max(kind, i) as kind from pr where x <> y group by e, h, least(x, y), greatest(x, y)) where kind = 1),
+al as (select distinct node_id, entity_type, lower(trim(alias)) as alias from (select node_id, entity_type, unnest(aliases) as alias from entities) where alias is not null and entity_type is not null),
+named as (select node_id, min(node_id) over (partition by entity_type, alias) as first from al where alias not in ('', 'n/a', 'unknown', '-')),
+edges as (select node_id_1 as a, node_id_2 as b from match_pairs where node_id_1 <> node_id_2 union select a, b from merges union select node_id, first from named where node_id <> first),
+adj as (select a, b from edges union select b, a from edges),
+reach(n, m) as (select a, b from adj union select r.n, x.b from reach r join adj x on x.a = r.m)
+select min(m) as group_node_id, n as node_id from reach group by n having min(m) < n"""
+
+_LEAKS = r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents where text is not null),
+d as (select distinct doc_id, array_to_string(ws[i:i + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from w)),
+v as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from eval_items where text is not null),
+e as (select distinct item_id, array_to_string(ws[i:i + 11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from v))
+select distinct item_id, doc_id from e join d using (g)"""
+
+SQL = {
+    "p1_found": _SURVIVORS,
+    "p1_survivors": f"""
+with best as ({_SURVIVORS}), counted as (select event_id, count(*) as n from triples group by 1)
+select b.event_id, c.n as deliveries, x.confidence, y.evidence_text, z.validation_status from best b join counted c on c.event_id = b.event_id
+  left join triples x on x.seq = b.confidence_seq left join triples y on y.seq = b.evidence_seq left join triples z on z.seq = b.status_seq""",
+    "p4_found": _PARAGRAPHS,
+    "p5_found": _GROUPS,
+    "p9_found": _LEAKS,
     "p8_decoded": "select doc_id, case when text is null then '' else text end as text from documents",
 }
