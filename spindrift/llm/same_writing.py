@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import alnum_key
+from spindrift.lineage import checkpointed
 from spindrift.operators.skew import PARTS, hot_keys
 
 FIELDS = ("subject", "relation", "object")
@@ -79,7 +80,8 @@ def collapse(records: DataFrame, ident: str, fields: tuple[str, ...], parts: int
     key is a 128-bit hash of the folded fields, so long texts are never shuffled.
     """
     keyed = records.select(F.col(ident).alias("_id"), F.unhex(F.md5(F.concat_ws("\x01", *[alnum_key(F.col(f)) for f in fields]))).alias("_key"))
-    hot = hot_keys(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", parts=parts, least=least)
+    # At most `parts` rows, needed twice: counted once.
+    hot = checkpointed(hot_keys(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", parts=parts, least=least))
     flagged = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_key", "left")
     rest = Window.partitionBy("_key")
     cold = flagged.where("_hot is null").select("_id", F.min("_id").over(rest).alias("first"), F.count(F.lit(1)).over(rest).alias("copies"))
