@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift import schema
-from spindrift.functions.columns import allowed_pair
 from spindrift.functions.names import for_comparison
 
 
@@ -21,6 +20,19 @@ def additions(old: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(there, ["doc", "a", "rel", "b"], "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "a", "b")
 
 
+def _first_relations() -> list[tuple[str, str, str, bool]]:
+    """For each two types the first relation that allows them, as they stand or else turned round: at
+    most one row for every pair of the fixed types."""
+    rows = []
+    for a in schema.ENTITY_TYPES:
+        for b in schema.ENTITY_TYPES:
+            for rel, (subjects, objects) in schema.TYPE_PAIRS.items():
+                if (a in subjects and b in objects) or (b in subjects and a in objects):
+                    rows.append((a, b, rel, not (a in subjects and b in objects)))
+                    break
+    return rows
+
+
 def guided_pairs(kg: DataFrame, k: int = 8) -> DataFrame:
     """The first ``k`` pairs of entities of each chunk that no triple of it relates, with the first
     specific relation that their types allow, as they stand or else turned round.
@@ -35,14 +47,10 @@ def guided_pairs(kg: DataFrame, k: int = 8) -> DataFrame:
     b = known.select("chunk", F.col("name").alias("b"), F.col("at").alias("j"), F.col("type").alias("tb"))
     pairs = a.join(b, "chunk").where("i < j").withColumns({"x": F.least(F.lower("a"), F.lower("b")), "y": F.greatest(F.lower("a"), F.lower("b"))})
     related = live.select("chunk", F.least(F.lower("s"), F.lower("o")).alias("x"), F.greatest(F.lower("s"), F.lower("o")).alias("y")).distinct()
-    options = []
-    for r in schema.TYPE_PAIRS:
-        fits = allowed_pair(F.col("ta"), F.lit(r), F.col("tb"), {r: schema.TYPE_PAIRS[r]})
-        turned = allowed_pair(F.col("tb"), F.lit(r), F.col("ta"), {r: schema.TYPE_PAIRS[r]})
-        options.append(F.when(fits, F.struct(F.lit(r).alias("rel"), F.lit(False).alias("turned"))).when(turned, F.struct(F.lit(r).alias("rel"), F.lit(True).alias("turned"))))
-    open_ = pairs.join(related, ["chunk", "x", "y"], "left_anti").withColumn("choice", F.coalesce(*options)).where("choice is not null")
+    fitting = F.broadcast(kg.sparkSession.createDataFrame(_first_relations(), "ta string, tb string, choice string, turned boolean"))
+    open_ = pairs.join(fitting, ["ta", "tb"]).join(related, ["chunk", "x", "y"], "left_anti")
     ranked = open_.withColumn("n", F.row_number().over(Window.partitionBy("chunk").orderBy("i", "j"))).where(F.col("n") <= k)
-    return ranked.select("chunk", "n", F.when(F.col("choice.turned"), F.col("b")).otherwise(F.col("a")).alias("s"), "choice.rel", F.when(F.col("choice.turned"), F.col("a")).otherwise(F.col("b")).alias("o"))
+    return ranked.select("chunk", "n", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("s"), F.col("choice").alias("rel"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("o"))
 
 
 def duplicate_candidates(entities: DataFrame, shortest: int = 4) -> DataFrame:
