@@ -30,11 +30,12 @@ def prf(tp: Column, n_pred: Column, n_gold: Column) -> list[Column]:
 
 
 def exact_by_document(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """doc, tp, n_pred, n_gold: equal keys one to one, in closed form the sum of the smaller counts."""
+    """doc, tp, n_pred, n_gold: equal keys one to one, in closed form the sum of the smaller counts.
+    Edges without a document count, but match nothing."""
     key = ["doc", "ns", "rel", "no"]
     both = pred.select(*key, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(*key, F.lit(0).alias("p"), F.lit(1).alias("g")))
     counted = both.groupBy(*key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
-    return counted.groupBy("doc").agg(F.sum(F.least("p", "g")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
+    return counted.groupBy("doc").agg(F.sum(F.when(F.col("doc").isNull(), 0).otherwise(F.least("p", "g"))).alias("tp"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
 
 
 def micro(by_document: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def greedy(preds: list[Edge], golds: list[Edge], passes: list[Callable[[Edge, Ed
 
 def greedy_by_document(pred: DataFrame, gold: DataFrame, matcher: str) -> DataFrame:
     """doc, tp, n_pred, n_gold of the greedy matcher, edges in the order of ``seq``; all documents
-    of either side. Edges without a document count as one document's."""
+    of either side. Edges without a document count, but match nothing and are not gathered."""
 
     def run(doc: pd.DataFrame) -> pd.DataFrame:
         doc = doc.sort_values("seq")
@@ -123,7 +124,9 @@ def greedy_by_document(pred: DataFrame, gold: DataFrame, matcher: str) -> DataFr
         return pd.DataFrame({"doc": [doc["doc"].iloc[0]], "tp": [greedy(p, g, PASSES[matcher])], "n_pred": [len(p)], "n_gold": [len(g)]})
 
     both = pred.withColumn("is_gold", F.lit(False)).unionByName(gold.withColumn("is_gold", F.lit(True)))
-    return both.groupBy("doc").applyInPandas(run, "doc string, tp long, n_pred long, n_gold long")
+    lone = both.where("doc is null").agg(F.count_if(~F.col("is_gold")).alias("n_pred"), F.count_if("is_gold").alias("n_gold"))
+    found = both.where("doc is not null").groupBy("doc").applyInPandas(run, "doc string, tp long, n_pred long, n_gold long")
+    return found.unionByName(lone.select(F.lit(None).cast("string").alias("doc"), F.lit(0).cast("long").alias("tp"), "n_pred", "n_gold"))
 
 
 def largest_matching(left: list[list[int]]) -> int:

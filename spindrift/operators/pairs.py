@@ -78,11 +78,12 @@ def resolve_pronouns(kg: DataFrame) -> DataFrame:
     """``kg`` with pronouns replaced by the last named entity of their chunk up to their row: of
     their own kind (actors, malware and tools), else an actor, else malware; unresolved ones stay.
 
-    An object is later than the subject of its row. One window per chunk.
+    An object is later than the subject of its row. One window per chunk; a row without a chunk
+    stands alone.
     """
     actor, malware = ["ThreatActor", "Campaign"], ["Malware", "Tool"]
     named = lambda n, t, kinds: F.when(~F.lower(n).isin(schema.PRONOUNS) & F.col(t).isin(kinds), F.col(n))
-    so_far = Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(F.coalesce("chunk", F.concat(F.lit("\x01"), "seq"))).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda kinds: F.last(F.coalesce(named("o", "ot", kinds), named("s", "st", kinds)), ignorenulls=True).over(so_far)
     df = kg.withColumns({"_a": last(actor), "_m": last(malware)})
     put = lambda n, t: F.when(F.lower(n).isin(schema.PRONOUNS), F.coalesce(F.when(F.col(t) == "ThreatActor", F.col("_a")).when(F.col(t).isin(malware), F.col("_m")), F.col("_a"), F.col("_m"), F.col(n))).otherwise(F.col(n))

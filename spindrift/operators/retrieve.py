@@ -36,30 +36,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+BLOCK = 4096
+
+
+def _blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """ids and unit-length matrix (bytes) of blocks of about ``size`` vectors."""
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(g["v"].to_numpy()).astype(np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        return pd.DataFrame({"ids": [g["id"].to_numpy()], "m": [m.tobytes()]})
+
+    n = max(1, -(-vectors.count() // size))
+    block = F.pmod(F.xxhash64("id"), F.lit(n))
+    return vectors.select("id", "v").where("id is not null and v is not null").groupBy(block).applyInPandas(pack, "ids array<long>, m binary")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, size: int = BLOCK) -> DataFrame:
     """The ``k`` vectors (id, v) of highest cosine to each query (id, v) besides itself, exact.
 
-    The query set is small by definition and is laid against all rows in blocks of one matrix each;
-    every block gives its own best ``k``, so ``k`` rows a query and block are shuffled.
+    A stated query set against all rows, in blocks: every block of queries meets every block of
+    vectors in one matrix product, which gives its own best ``k``; only those are shuffled. Null
+    vectors are left out.
     """
-    asked = queries.select("id", "v").orderBy("id").toPandas()
-    ids = asked["id"].to_numpy()
-    matrix = np.stack(asked["v"].to_numpy()).astype(np.float64) if len(asked) else np.zeros((0, 1))
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def block(batches):
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            m = np.stack(b["v"].to_numpy()).astype(np.float64)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            own = b["id"].to_numpy()
-            s = matrix @ m.T
-            s[ids[:, None] == own[None, :]] = -2
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "e": own[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
-
-    found = vectors.select("id", "v").mapInPandas(block, "q long, e long, cosine double").where("cosine > -2").withColumn("cosine", F.round("cosine", 6))
+
+    def product(batches):
+        for batch in batches:
+            for qi, qm, ei, em in zip(batch["qi"], batch["qm"], batch["ei"], batch["em"]):
+                qi, ei = np.asarray(qi), np.asarray(ei)
+                s = np.frombuffer(qm).reshape(len(qi), -1) @ np.frombuffer(em).reshape(len(ei), -1).T
+                s[qi[:, None] == ei[None, :]] = -2
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"q": np.repeat(qi, top.shape[1]), "e": ei[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
+
+    asked = _blocks(queries, size).toDF("qi", "qm")
+    pairs = asked.crossJoin(_blocks(vectors, size).toDF("ei", "em"))
+    found = pairs.mapInPandas(product, "q long, e long, cosine double").where("cosine > -2").withColumn("cosine", F.round("cosine", 6))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "e"))).where(F.col("rank") <= k)
 
 

@@ -35,14 +35,15 @@ def rescore_and_prune(kg: DataFrame, least: float = 0.35) -> DataFrame:
 
 
 def saliency(kg: DataFrame) -> DataFrame:
-    """The rows that are not rejected with their saliency within their document."""
-    active = kg.where("status <> 'rejected'").withColumns({"_s": F.lower("s"), "_o": F.lower("o")})
+    """The rows that are not rejected with their saliency within their document (column ``_doc``); a
+    row without a document is one of its own."""
+    active = kg.where("status <> 'rejected'").withColumns({"_s": F.lower("s"), "_o": F.lower("o"), "_doc": F.coalesce("doc", F.concat(F.lit("\x01"), "seq"))})
     # A document has few rows: its names are counted by a window over their two endpoints.
-    ends = active.select("doc", "seq", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_s").alias("name")), F.struct(F.lit(1).alias("side"), F.col("_o").alias("name")))).alias("e"))
-    counted = ends.select("doc", "seq", "e.side", F.count(F.lit(1)).over(Window.partitionBy("doc", "e.name")).alias("n"))
-    per_row = counted.groupBy("doc", "seq").agg(F.sum("n").alias("both"), F.max("n").alias("more"))
-    joined = active.join(per_row.withColumnRenamed("doc", "_doc"), (active["seq"] == per_row["seq"]) & active["doc"].eqNullSafe(F.col("_doc"))).drop(per_row["seq"]).drop("_doc")
-    top = F.max("more").over(Window.partitionBy("doc"))
+    ends = active.select("_doc", "seq", F.explode(F.array(F.col("_s"), F.col("_o"))).alias("name"))
+    counted = ends.select("_doc", "seq", F.count(F.lit(1)).over(Window.partitionBy("_doc", "name")).alias("n"))
+    per_row = counted.groupBy("_doc", "seq").agg(F.sum("n").alias("both"), F.max("n").alias("more"))
+    joined = active.join(per_row, ["_doc", "seq"])
+    top = F.max("more").over(Window.partitionBy("_doc"))
     weight = F.coalesce(*[F.when(F.col("rel") == r, w) for r, w in schema.SALIENCE.items()])
     strength = F.when(F.length("ev") > 0, F.least(F.length("ev") / 200, F.lit(1.0))).otherwise(0.3)
     return joined.withColumn("salience", F.round(0.35 * weight + 0.30 * (F.col("both") / 2 / top) + 0.15 * strength + 0.20 * F.col("conf"), 9)).drop("_s", "_o", "both", "more")
@@ -53,5 +54,5 @@ def most_salient(kg: DataFrame, k: int = 20) -> DataFrame:
 
     Documents of up to ``k`` rows keep them all.
     """
-    top = saliency(kg).withColumn("_n", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("salience"), "seq"))).where(F.col("_n") <= k)
-    return top.drop("_n").unionByName(kg.where("status = 'rejected'").withColumn("salience", F.lit(None).cast("double")))
+    top = saliency(kg).withColumn("_n", F.row_number().over(Window.partitionBy("_doc").orderBy(F.desc("salience"), "seq"))).where(F.col("_n") <= k)
+    return top.drop("_n", "_doc").unionByName(kg.where("status = 'rejected'").withColumn("salience", F.lit(None).cast("double")))

@@ -172,7 +172,7 @@ f as (select least(p.node_id, q.node_id) as id_1, greatest(p.node_id, q.node_id)
 select id_1, id_2, case min(r) when 1 then 'name' when 2 then 'substring' else 'alias' end as reason from f group by 1, 2""",
     "pronoun_fill": with_kg(f""", w as (select *, coalesce(case when lower(o) not in {_PN} and ot in ('ThreatActor', 'Campaign') then o end, case when lower(s) not in {_PN} and st in ('ThreatActor', 'Campaign') then s end) as na,
   coalesce(case when lower(o) not in {_PN} and ot in ('Malware', 'Tool') then o end, case when lower(s) not in {_PN} and st in ('Malware', 'Tool') then s end) as nmw from kg),
-l as (select *, last_value(na ignore nulls) over p as a, last_value(nmw ignore nulls) over p as m from w window p as (partition by chunk order by seq rows between unbounded preceding and current row))
+l as (select *, last_value(na ignore nulls) over p as a, last_value(nmw ignore nulls) over p as m from w window p as (partition by coalesce(chunk, chr(1) || seq) order by seq rows between unbounded preceding and current row))
 select seq, case when lower(s) in {_PN} then coalesce(case when st = 'ThreatActor' then a when st in ('Malware', 'Tool') then m end, a, m, s) else s end as s,
   case when lower(o) in {_PN} then coalesce(case when ot = 'ThreatActor' then a when ot in ('Malware', 'Tool') then m end, a, m, o) else o end as o from l""".lstrip()),
 }

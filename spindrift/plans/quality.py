@@ -205,16 +205,16 @@ def _micro(source: str) -> str:
 
 
 def _exact(where: str, doc: str = "doc") -> str:
-    return f"(select {doc} as doc, sum(least(p, g)) as tp, sum(p) as n_pred, sum(g) as n_gold from (select {doc} as doc, ns, rel, no, count(*) filter ({where}) as p, count(*) filter (status = 'validated') as g from keyed where {where} or status = 'validated' group by all) group by 1)"
+    return f"(select doc, sum(case when doc is null then 0 else least(p, g) end) as tp, sum(p) as n_pred, sum(g) as n_gold from (select {doc} as doc, ns, rel, no, count(*) filter ({where}) as p, count(*) filter (status = 'validated') as g from keyed where {where} or status = 'validated' group by all) group by 1)"
 
 
 def _greedy_sql(test: str) -> str:
     """One pass of the greedy matcher as recursion over each document's predictions in order."""
     return f"""with recursive {KEYED}, pr as (select *, row_number() over (partition by doc order by seq) as i from pred), gr as (select *, row_number() over (partition by doc order by seq) as j from gold),
-hits as (select p.doc, p.i, list(g.j order by g.j) as js from pr p join gr g on p.doc is not distinct from g.doc and {test} group by 1, 2),
-walk(doc, i, used) as (select distinct doc, cast(0 as bigint), cast([] as bigint[]) from pr
+hits as (select p.doc, p.i, list(g.j order by g.j) as js from pr p join gr g on p.doc = g.doc and {test} group by 1, 2),
+walk(doc, i, used) as (select distinct doc, cast(0 as bigint), cast([] as bigint[]) from pr where doc is not null
   union all select w.doc, w.i + 1, case when h.js is null then w.used else w.used || list_filter(h.js, lambda j: not list_contains(w.used, j))[1:1] end
-  from walk w join pr p on p.doc is not distinct from w.doc and p.i = w.i + 1 left join hits h on h.doc is not distinct from w.doc and h.i = w.i + 1),
+  from walk w join pr p on p.doc = w.doc and p.i = w.i + 1 left join hits h on h.doc = w.doc and h.i = w.i + 1),
 tps as (select doc, max(len(used)) as tp from walk group by 1)
 {_micro("(select (select sum(tp) from tps) as tp, (select count(*) from pred) as n_pred, (select count(*) from gold) as n_gold)")}"""
 

@@ -218,7 +218,7 @@ r2 as (select seq, rel, status, case when status = 'rejected' or (ev <> '' and n
   when rel <> 'related_to' then coalesce(weak, rel) else coalesce({_EVIDENCE}, {_TYPES}, rel) end as better from r1)
 select seq, better as rel, case when better <> rel and status = 'validated' then 'repaired' else status end as status from r2""".lstrip()),
     "confidence_rescore": f"with {duck.KG}, {_SCORED}\nselect seq, score, case when status <> 'rejected' and score < 0.6 then 'rejected' else status end as status, round(case when status <> 'rejected' and score >= 0.6 then score else conf end, 6) as conf from scored",
-    "saliency_topk": with_kg(f""", active as (select *, lower(s) as sl, lower(o) as ol from kg where status <> 'rejected'),
+    "saliency_topk": with_kg(f""", active as (select * replace (coalesce(doc, chr(1) || seq) as doc), lower(s) as sl, lower(o) as ol from kg where status <> 'rejected'),
 freq as (select doc, name, count(*) as n from (select doc, sl as name from active union all select doc, ol from active) group by 1, 2), top as (select doc, max(n) as m from freq group by 1),
 scored as (select a.seq, a.doc, a.status, round(cast(0.35 as double) * {_WEIGHT} + cast(0.30 as double) * ((f.n + g.n) / 2 / m) + cast(0.15 as double) * case when length(ev) > 0 then least(length(ev) / 200, 1.0) else 0.3 end + cast(0.20 as double) * conf, 9) as sal
   from active a join freq f on f.doc is not distinct from a.doc and f.name = a.sl join freq g on g.doc is not distinct from a.doc and g.name = a.ol join top t on t.doc is not distinct from a.doc)
