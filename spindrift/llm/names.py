@@ -3,8 +3,10 @@
 A spelling is taken as a canonical name that went through a channel: typing errors, abbreviations,
 short forms of given names, dropped and reordered parts. Attribution goes from tokens to names:
 
-1. Tokens are ranked by how many spellings hold them. Those of many names (given names, trades,
-   legal forms) are common words; each name's distinctive token is among the others.
+1. A token is a common word (given name, trade, legal form) if it stands beside many different
+   distinctive tokens, slips counted with what they are near. How many spellings hold it does not
+   matter: a name of thousands of spellings has few companions, whatever else the table holds.
+   Each name's distinctive token is among the other tokens.
 2. Each token is attached to the candidate of highest posterior: the prior is its frequency, the
    likelihood falls with every edit. Candidates come from an equi-join on deletion variants. An
    unknown long token next to a frequent one is far likelier a slip than a new name, so the
@@ -62,8 +64,9 @@ COMMON = ["national", "institute", "university", "ministry", "department", "sons
 #: Letters with marks and the letters they are often typed as.
 PLAIN = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
 
-#: A token is common if it stands in at least this many spellings, or this share of their root.
-LEAST_COMMON, COMMON_SHARE = 10, 0.3
+#: A token is common from this many narrow companions on, if they are at least half of all its companions;
+#: a narrow companion has itself fewer companions than that.
+LEAST_COMMON = 10
 SHORTEST_ROOT = 5
 SHORTEST_SLIP = 7
 
@@ -90,16 +93,61 @@ def _allowed(length: Column) -> Column:
     return F.when(length < 4, 0).when(length < 10, 1).otherwise(2)
 
 
-def attributed_tokens(tokens: DataFrame) -> DataFrame:
+def settled(links: DataFrame) -> DataFrame:
+    """``links`` (a, b; one row each a, no cycles) with the end of each chain for b. Every round
+    doubles the steps taken, until no link changes."""
+    links = written(links)
+    while True:
+        onward = links.select(F.col("a").alias("b"), F.col("b").alias("_end"))
+        links = written(links.join(onward, "b", "left").select("a", F.coalesce("_end", "b").alias("b"), (F.col("_end") != F.col("b")).alias("_moved")))
+        moved = links.where("_moved").limit(1).count()
+        links = links.select("a", "b")
+        if not moved:
+            return links
+
+
+def slip_pairs(tokens: DataFrame) -> DataFrame:
+    """a, b, d: each token that is not listed and the tokens a few edits from it, itself among them."""
+    return written(near(tokens.where("not listed").select(F.col("token").alias("word")), tokens.select(F.col("token").alias("word")), _allowed))
+
+
+def companions(each: DataFrame, tokens: DataFrame, pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """token, fold, held, companions and narrow of the tokens that are not listed: the most frequent
+    token near it, and of that one the spellings, with how many different tokens it shares a spelling
+    as the rarest other one, and how many of these have few companions themselves.
+
+    So slips of a word beside a name are one companion, and slips of listed words none; a companion
+    stands in two spellings at least. A spelling counts once for each of its tokens.
+    """
+    df = tokens.where("length(token) > 1").select("token", "df", "n")
+    near_ = pairs.join(df.toDF("a", "df", "n"), "a").join(df.toDF("b", "b_df", "b_n"), "b").where(F.struct("b_df", "b_n", "b") >= F.struct("df", "n", "a"))
+    folded = settled(near_.groupBy("a").agg(F.max_by("b", F.struct("b_df", "b_n", "b")).alias("b")))
+    # Ends that are listed have no row of their own in ``folded``.
+    folded = folded.join(tokens.where("listed").select(F.col("token").alias("b")), "b", "left_anti").select("a", "b")
+    stands = lookup(each.select("spelling", "token"), folded.toDF("token", "fold"), "token", hot).select("spelling", F.col("fold").alias("token")).distinct()
+    counts = stands.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    stands = written(lookup(stands, counts.withColumnRenamed("n", "held"), "token", hot_keys(counts, "token")))
+    rarest = F.slice(F.array_sort(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "token")))), 1, 2)
+    beside = stands.join(stands.groupBy("spelling").agg(rarest.alias("r")), "spelling")
+    beside = beside.select("token", F.explode(F.slice(F.filter("r", lambda x: x["token"] != F.col("token")), 1, 1)["token"]).alias("other")).distinct()
+    beside = written(beside)
+    width = beside.groupBy("token").agg(F.count(F.lit(1)).alias("companions"))
+    others = width.where(F.col("companions") >= LEAST_COMMON).select(F.col("token").alias("other"), F.lit(1).alias("_wide"))
+    narrow = beside.join(others, "other", "left").groupBy("token").agg(F.count(F.lit(1)).alias("companions"), F.count(F.when(F.col("_wide").isNull(), 1)).alias("narrow"))
+    of = counts.withColumnRenamed("n", "held").join(narrow, "token", "left").na.fill(0).withColumnRenamed("token", "fold")
+    return folded.toDF("token", "fold").join(of, "fold").select("token", "fold", "held", "companions", "narrow")
+
+
+def attributed_tokens(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     """token, fixed, common: the token of highest posterior for each, and whether it is a common word.
 
-    ``tokens`` has token, df (spellings that hold it), n (occurrences), common and listed.
+    ``tokens`` has token, df (spellings that hold it), n (occurrences), common and listed; ``pairs``
+    are their ``slip_pairs``.
     """
     known = tokens.select(F.col("token").alias("b"), F.col("df").alias("c_df"), F.col("n").alias("c_n"), F.col("common").alias("c_common"))
     # Common words may be what any token is meant for; other tokens compete among themselves. Listed
     # words stand for themselves; other common words do unless a far commoner one is near.
     open_ = tokens.where("not listed")
-    pairs = near(open_.select(F.col("token").alias("word")), tokens.select(F.col("token").alias("word")), _allowed)
     scored = pairs.join(known, "b").join(open_.select(F.col("token").alias("a"), "df", "n", F.col("common").alias("a_common")), "a").where(
         # Short words are slips of common words only.
         F.col("c_common") | (F.col("a") == F.col("b")) | (F.length("b") >= SHORTEST_SLIP)).where(
@@ -125,18 +173,24 @@ def entities_of(names: DataFrame) -> DataFrame:
     spelled = names.select("name", "n", tokens_of(F.col("name")).alias("words")).withColumn("spelling", F.array_join(F.array_sort("words"), " "))
     spelled = written(spelled)
     spellings = spelled.groupBy("spelling").agg(F.sum("n").alias("n"))
-    least = max(LEAST_COMMON, spellings.count() ** 0.5 * COMMON_SHARE)
     each = spellings.select("spelling", "n", F.explode(F.array_distinct(F.split("spelling", " "))).alias("token")).where("token <> ''")
     listed = sorted({*SHORT_FORMS, *SHORT_FORMS.values(), *ABBREVIATIONS, *ABBREVIATIONS.values(), *LEGAL, *COMMON})
     tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).select(
-        "token", "df", "n", F.col("token").isin(listed).alias("listed"), ((F.length("token") > 1) & ((F.col("df") >= least) | F.col("token").isin(listed))).alias("common"))
+        "token", "df", "n", F.col("token").isin(listed).alias("listed"))
+    tokens = written(tokens)
+    pairs, hot = slip_pairs(tokens), hot_keys(tokens.select("token", F.col("df").alias("n")), "token")
+    beside = companions(each, tokens, pairs, hot)
+    wide = (F.col("token") == F.col("fold")) & (F.col("narrow") >= LEAST_COMMON) & (2 * F.col("narrow") >= F.col("companions"))
+    tokens = tokens.join(beside, "token", "left").select(
+        "token", "df", "n", "listed", F.coalesce("held", "df").alias("held"), F.coalesce("companions", F.lit(0)).alias("companions"), ((F.length("token") > 1) & (F.col("listed") | F.coalesce(wide, F.lit(False)))).alias("common"))
     tokens = written(tokens)
-    fixed = attributed_tokens(tokens).join(tokens.select("token", "df"), "token").withColumn("fixed", written_out(F.col("fixed")))
-    hot = hot_keys(tokens.select("token", F.col("df").alias("n")), "token")
+    # Which token is a name's root is decided by what a slip was meant for, not by the slip.
+    meant = tokens.select(F.col("token").alias("fixed"), "companions", "held")
+    fixed = attributed_tokens(tokens, pairs).join(meant, "fixed").withColumn("fixed", written_out(F.col("fixed")))
     parts = lookup(each.select("spelling", "n", "token"), written(fixed), "token", hot)
     shaped = parts.groupBy("spelling").agg(
         F.max("n").alias("n"),
-        F.min(F.when(~F.col("common") & (F.length("fixed") >= SHORTEST_ROOT), F.struct(F.col("df"), (-F.length("fixed")).alias("l"), F.col("fixed").alias("root")))).alias("r"),
+        F.min(F.when(~F.col("common") & (F.length("fixed") >= SHORTEST_ROOT), F.struct("companions", (-F.col("held")).alias("d"), (-F.length("fixed")).alias("l"), F.col("fixed").alias("root")))).alias("r"),
         F.array_sort(F.collect_set("fixed")).alias("all"),
     ).select("spelling", "n", F.col("r.root").alias("root"), "all")
     core = F.filter("all", lambda w: (F.length(w) > 1) & ~w.isin(LEGAL) & ~w.eqNullSafe(F.col("root")))

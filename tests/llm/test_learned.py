@@ -125,6 +125,44 @@ def test_names_edges(spark):
     assert names.entities_of(empty).count() == 0
 
 
+def slip(rng, word):
+    """``word`` with one random slip after its first letter."""
+    i = rng.randrange(1, len(word) - 1)
+    return rng.choice([word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + word[i + 1 :], word[: i + 1] + rng.choice("etaoin") + word[i + 1 :]])
+
+
+def filler(rng, n):
+    """Names of other organisations of the same trades, two spellings each."""
+    out = []
+    for _ in range(n // 2):
+        name = "".join(rng.choice("bdfgjkpqvwxyz") + rng.choice("aeiou") for _ in range(6)).capitalize() + " " + rng.choice(["Cement", "Shipyards", "Mining"])
+        out += [(name + " Limited", 2), (name + " Ltd", 1)]
+    return out
+
+
+@pytest.mark.parametrize("others", [0, 3000])
+def test_hot_name(spark, others):
+    """A name of thousands of spellings keeps its distinctive token, beside few names and many."""
+    rng = random.Random(5)
+    sure = {"Vumtarsolin Cementing Limited", "Vumtarsolin Cementing Ltd", "Cementing, Vumtarsolin", "the Vumtarsolin Cementing Co."}
+    hot = set(sure)
+    while len(hot) < 3000:
+        words = [slip(rng, w) if rng.random() < 0.5 else w for w in ("vumtarsolin", "cementing", rng.choice(["limited", "holdings", "corporation"]))] + rng.sample(["the", "of", "and", "de", "group", "intl"], rng.randrange(3))
+        rng.shuffle(words)
+        hot.add(" ".join(words))
+    got = groups_of(spark, *[(n, 1) for n in sorted(hot)], *filler(rng, others))
+    most = max((g & hot for g in got), key=len)
+    assert sure <= most and len(most) >= 0.97 * len(hot)
+    assert not any(g & hot and g - hot for g in got)
+
+
+def test_names_in_tables_of_two_sizes(spark):
+    rng = random.Random(6)
+    mine = ["Walter Vumtarsolin", "W. Vumtarsolin", "Vumtarsolin, Walter", "Walter Vumtarsloin", "Zikcojepimum Shipyards Limited", "Zikcojepimum Shipyards", "Shipyards Zikcojepimum Ltd", "Zikcojepimmu Shipyards Ltd"] + [f"Walter Vumtarsolin {'x' * 30}{i}" for i in range(12)]
+    few, many = ({frozenset(g & set(mine)) for g in groups_of(spark, *[(n, 1) for n in mine], *filler(rng, n)) if g & set(mine)} for n in (0, 4000))
+    assert few == many and frozenset(mine[:4]) in few and frozenset(mine[4:8]) in few
+
+
 def test_name_pairs(spark, data):
     ents, triples = spark.read.parquet(f"{data}/entities.parquet"), spark.read.parquet(f"{data}/triples.parquet")
     pairs = {tuple(r) for r in names.same_names(ents, triples).collect()}
