@@ -67,8 +67,9 @@ PLAIN = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceee
 #: A token is common from this many narrow companions on, if they are at least half of all its companions;
 #: a narrow companion has itself fewer companions than that.
 LEAST_COMMON = 10
-SHORTEST_ROOT = 5
-SHORTEST_SLIP = 7
+#: Shorter tokens have many neighbours by chance: a slip is taken only for something this much more frequent, as
+#: logarithms by length; the ratio rises with the spellings of the token itself, up to FAR_RARER.
+SHORT, SHORT_RATIO, FAR_RARER = 7, {3: 2.3, 4: 1.0, 5: 1.0, 6: 0.8}, 3.0
 
 
 def _fixed(words: dict[str, str]) -> Column:
@@ -90,7 +91,7 @@ def written_out(token: Column) -> Column:
 
 
 def _allowed(length: Column) -> Column:
-    return F.when(length < 4, 0).when(length < 10, 1).otherwise(2)
+    return F.when(length < 3, 0).when(length < 10, 1).otherwise(2)
 
 
 def settled(links: DataFrame) -> DataFrame:
@@ -149,11 +150,13 @@ def attributed_tokens(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     # words stand for themselves; other common words do unless a far commoner one is near.
     open_ = tokens.where("not listed")
     scored = pairs.join(known, "b").join(open_.select(F.col("token").alias("a"), "df", "n", F.col("common").alias("a_common")), "a").where(
-        # Short words are slips of common words only.
-        F.col("c_common") | (F.col("a") == F.col("b")) | (F.length("b") >= SHORTEST_SLIP)).where(
         # A slip is rarer than what was meant; between equals the first in byte order stays.
         (F.col("a") == F.col("b")) | F.col("c_common") | (F.struct("c_df", "c_n") > F.struct("df", "n")) | ((F.struct("c_df", "c_n") == F.struct("df", "n")) & (F.col("b") < F.col("a"))))
-    posterior = F.when((F.col("a") == F.col("b")) & ~F.col("a_common"), F.lit(-8.0)).otherwise(0.0) + F.log(F.col("c_df").cast("double")) - 1.5 * F.col("d")
+    # What a token keeps for standing for itself: much of it if short, next to nothing if long.
+    own = F.coalesce(*[F.when(F.length("a") <= k, least) for k, least in SHORT_RATIO.items()]) - 1.5
+    short = own + F.least(F.log(F.col("df").cast("double")), F.lit(FAR_RARER))
+    prior = F.when((F.col("a") == F.col("b")) & ~F.col("a_common"), F.when(F.length("a") < SHORT, short).otherwise(-8.0)).otherwise(0.0)
+    posterior = prior + F.log(F.col("c_df").cast("double")) - 1.5 * F.col("d")
     best = scored.groupBy("a").agg(F.max(F.struct(posterior.alias("p"), F.col("c_n").alias("n"), F.col("b").alias("b"), F.col("c_common").alias("common"))).alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.common").alias("common"))
     best = written(best)
     # What a token was attached to may itself be a slip.
@@ -190,7 +193,7 @@ def entities_of(names: DataFrame) -> DataFrame:
     parts = lookup(each.select("spelling", "n", "token"), written(fixed), "token", hot)
     shaped = parts.groupBy("spelling").agg(
         F.max("n").alias("n"),
-        F.min(F.when(~F.col("common") & (F.length("fixed") >= SHORTEST_ROOT), F.struct("companions", (-F.col("held")).alias("d"), (-F.length("fixed")).alias("l"), F.col("fixed").alias("root")))).alias("r"),
+        F.min(F.when(~F.col("common") & (F.length("fixed") > 1), F.struct("companions", (-F.col("held")).alias("d"), (-F.length("fixed")).alias("l"), F.col("fixed").alias("root")))).alias("r"),
         F.array_sort(F.collect_set("fixed")).alias("all"),
     ).select("spelling", "n", F.col("r.root").alias("root"), "all")
     core = F.filter("all", lambda w: (F.length(w) > 1) & ~w.isin(LEGAL) & ~w.eqNullSafe(F.col("root")))

@@ -156,6 +156,27 @@ def test_hot_name(spark, others):
     assert not any(g & hot and g - hot for g in got)
 
 
+def test_short_names(spark):
+    """Distinctive tokens of 3 to 6 letters: slips, initials and legal forms."""
+    want = []
+    for name, wrong in [("Ford", "Frod"), ("Intel", "Intle"), ("Nestle", "Nesle"), ("Sony", "Snoy"), ("Bosch", "Boshc"), ("Hitach", "Hitahc")]:
+        want.append({f"{name} {x}" for x in ("Optics Corporation", "Optics Corp", "Optics", "Optics Ltd", "Optics Holdings")} | {f"{wrong} Optics Inc"})
+    want += [{f"{name} {x}" for x in ("Optics Corporation", "Optics Corp", "Optics", "Optics Ltd")} for name in ("IBM", "KLM")]
+    want.append({"Robert Smith", "Bob Smith", "Smith, Robert", "R. Smith", "Robert Smith Jr", "Robert Smyth"} - {"Robert Smith Jr"})
+    want.append({"Thomas Hart", "Tom Hart", "T. Hart", "Hart, Thomas"})
+    want.append({"Margaret Lee", "Peggy Lee", "M. Lee"})
+    got = groups_of(spark, *[(n, 1) for g in want for n in g])
+    assert got == sorted(want, key=lambda s: sorted(s))
+
+
+def test_short_names_of_their_own(spark):
+    """A short name that many spellings hold is not a slip of a near one, however frequent that is."""
+    rng = random.Random(8)
+    side = ["".join(rng.choice("bdfgkmprtvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(12)]
+    smith, smyth = {f"Robert Smith {s}" for s in side}, {f"Robert Smyth {s}" for s in side}
+    assert not any(g & smith and g & smyth for g in groups_of(spark, *[(n, 1) for n in smith | smyth]))
+
+
 def test_names_in_tables_of_two_sizes(spark):
     rng = random.Random(6)
     mine = ["Walter Vumtarsolin", "W. Vumtarsolin", "Vumtarsolin, Walter", "Walter Vumtarsloin", "Zikcojepimum Shipyards Limited", "Zikcojepimum Shipyards", "Shipyards Zikcojepimum Ltd", "Zikcojepimmu Shipyards Ltd"] + [f"Walter Vumtarsolin {'x' * 30}{i}" for i in range(12)]
