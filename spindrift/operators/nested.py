@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +42,9 @@ def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def occurrences(rec_id: object, column: str, root: object, lists: tuple[str, ...] = LISTS, unwrap: bool = True) -> list[tuple]:
-    """The bridge rows of one value: one for each object in it, at any depth.
+def occurrences(rec_id: object, column: str, root: object, lists: tuple[str, ...] = LISTS, unwrap: bool = True, whole: bool = False) -> list[tuple]:
+    """The bridge rows of one value: one for each object in it, at any depth; with ``whole`` one for
+    each list and for a mere scalar at the root as well, so that the value can be rebuilt.
 
     An explicit stack, no recursion: depth is bounded by the parser alone. Under a key of ``lists``
     a single object counts as a list of one. ``unwrap`` reads JSON text as the value it holds.
@@ -71,14 +73,17 @@ def occurrences(rec_id: object, column: str, root: object, lists: tuple[str, ...
             body[me] = "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{h}" for k, h in sorted(held[me])) + "}"
             digest[me] = _digest(body[me])
         elif isinstance(value, list):
-            digest[me] = _digest("[" + ",".join(h for _, h in sorted(held[me])) + "]")
+            body[me] = "[" + ",".join(h for _, h in sorted(held[me])) + "]"
+            digest[me] = _digest(body[me])
         else:
             digest[me] = json.dumps(value, ensure_ascii=False, default=str)
         if parent >= 0:
             held[parent].append((ordinal if isinstance(order[parent][4], list) else key, digest[me]))
     rows = []
     for me, (path, parent, key, ordinal, value) in enumerate(order):
-        if isinstance(value, dict):
+        if whole and not body[me] and parent < 0:
+            rows.append((rec_id, path, None, key, ordinal, None, _digest(digest[me]), digest[me]))
+        if isinstance(value, dict) or whole and body[me]:
             while parent >= 0 and isinstance(order[parent][4], list):  # the parent is the object that holds the list
                 parent = order[parent][1]
             up = (order[parent][0], digest[parent]) if parent >= 0 else (None, None)
@@ -86,7 +91,7 @@ def occurrences(rec_id: object, column: str, root: object, lists: tuple[str, ...
     return rows
 
 
-def _bridge(key: str, columns: tuple[str, ...], text: tuple[str, ...], lists: tuple[str, ...]):
+def _bridge(key: str, columns: tuple[str, ...], text: tuple[str, ...], lists: tuple[str, ...], whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("rec_id", pa.int64()), ("path", pa.string()), ("parent_path", pa.string()), ("list_name", pa.string()), ("ordinal", pa.int32()), ("parent_hash", pa.string()), ("object_hash", pa.string()), ("body", pa.string())])
         for batch in batches:
@@ -95,21 +100,21 @@ def _bridge(key: str, columns: tuple[str, ...], text: tuple[str, ...], lists: tu
             for i, column in enumerate(columns):
                 for rec_id, value in zip(ids, batch.column(i + 1).to_pylist()):
                     if value is not None:
-                        rows.extend(occurrences(rec_id, column, value, lists, column in text))
+                        rows.extend(occurrences(rec_id, column, value, lists, column in text, whole))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
 
     return run
 
 
-def bridge(records: DataFrame, key: str = "rec_id", columns: tuple[str, ...] = (*LISTS, "contents"), text: tuple[str, ...] = ("contents",), lists: tuple[str, ...] = LISTS) -> DataFrame:
-    """One row for each occurrence of an object in ``columns``; ``text`` are those that hold JSON text.
+def bridge(records: DataFrame, key: str = "rec_id", columns: tuple[str, ...] = (*LISTS, "contents"), text: tuple[str, ...] = ("contents",), lists: tuple[str, ...] = LISTS, whole: bool = False) -> DataFrame:
+    """One row for each occurrence of an object (``whole``: or list, or scalar at the root) in ``columns``; ``text`` are those that hold JSON text.
 
     ``list_name`` is the key that the object, or the list it is a member of, stands under, empty
     for members of a list that is itself a member of a list; ``ordinal`` is its position in its
     list, null outside one. Nulls and text that is not complete JSON give no rows, nor do scalars.
     ``body`` is the object's canonical form, in which each object or list below stands as its hash.
     """
-    return records.select(F.col(key).cast("long"), *columns).mapInArrow(_bridge(key, columns, text, lists), BRIDGE)
+    return records.select(F.col(key).cast("long"), *columns).mapInArrow(_bridge(key, columns, text, lists, whole), BRIDGE)
 
 
 def objects(occurring: DataFrame) -> DataFrame:
@@ -123,3 +128,39 @@ def objects(occurring: DataFrame) -> DataFrame:
 def listed(occurring: DataFrame, lists: tuple[str, ...] = LISTS) -> DataFrame:
     """The occurrences that are members of one of ``lists``."""
     return occurring.where(F.col("list_name").isin(*lists) & F.col("ordinal").isNotNull())
+
+
+def members(body: str) -> dict | list | object:
+    """What ``body`` holds, one level deep; an object or list below it is the bytes of its hash."""
+    at = 1
+
+    def scalar() -> object:
+        nonlocal at
+        if (m := _HASH.match(body, at)) is not None:
+            at = m.end()
+            return m.group().encode()
+        value, at = _JSON.raw_decode(body, at)
+        return value
+
+    if body[:1] not in ("{", "["):
+        return json.loads(body)
+    held: dict | list = {} if body[0] == "{" else []
+    while body[at] not in "]}":
+        if isinstance(held, dict):
+            name, at = _JSON.raw_decode(body, at)
+            at += 1
+            held[name] = scalar()
+        else:
+            held.append(scalar())
+        at += body[at] == ","
+    return held
+
+
+_HASH, _JSON = re.compile(r"[0-9a-f]{32}(?=[,}\]])"), json.JSONDecoder()
+
+
+def rebuilt(object_hash: str, bodies: dict[str, str]) -> object:
+    """The value of ``object_hash``, from the bodies by hash; those of ``whole`` bridges are complete."""
+    part = lambda v: rebuilt(v.decode(), bodies) if isinstance(v, bytes) else v
+    held = members(bodies[object_hash])
+    return {k: part(v) for k, v in held.items()} if isinstance(held, dict) else [part(v) for v in held] if isinstance(held, list) else held

@@ -14,7 +14,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(nested.bridge(table(spark, d, "mitre")))
+    return nested.objects(nested.bridge(table(spark, d, "mitre"), whole=True))
+
+
+def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Where each of ``p2_objects`` stands; the two together hold every record whole."""
+    return nested.bridge(table(spark, d, "mitre"), whole=True).drop("body")
 
 
 def p2_phases(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +28,7 @@ def p2_phases(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rec_id", "ordinal", F.col("p.kill_chain_name").alias("chain"), F.col("p.phase_name").alias("phase"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_objects": p2_objects, "p2_phases": p2_phases}
+QUERIES = {f.__name__: f for f in (p2_found, p2_objects, p2_bridge, p2_phases)}
 
 SQL = {
     "p2_phases": """

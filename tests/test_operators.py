@@ -121,6 +121,25 @@ def test_equal_objects_share_a_hash():
     assert by["c.x"] == by["c.y"] != by["c.z"]
 
 
+def test_records_can_be_rebuilt(spark, data):
+    """From objects and bridge, scalars in lists and lists in lists included."""
+    cases = [{"a": [1, "x", None, [2, [True, "{"], []], {"b": ["y"]}], "e": {}}, [], [[["z"]]], "plain", 3.5, {"kill_chain_phases": {"p": "\"q,]}"}}]
+    for value in cases:
+        rows = nested.occurrences(1, "c", value, lists=(), unwrap=False, whole=True)
+        assert nested.rebuilt(next(r[6] for r in rows if r[1] == "c"), {r[6]: r[7] for r in rows}) == value
+    records = spark.read.parquet(f"{data}/mitre.parquet")
+    bridge = nested.bridge(records, columns=("contents",), lists=(), whole=True)
+    bodies = {r.object_hash: r.body for r in nested.objects(bridge).collect()}
+    roots = {r.rec_id: r.object_hash for r in bridge.where("path = 'contents'").collect()}
+
+    def read(v):
+        v = nested.unwrapped(v)
+        return {k: read(x) for k, x in v.items()} if isinstance(v, dict) else [read(x) for x in v] if isinstance(v, list) else v
+
+    want = {r.rec_id: read(r.contents) for r in records.where("contents is not null").collect()}
+    assert {k: nested.rebuilt(h, bodies) for k, h in roots.items()} == want
+
+
 def test_nested_edge_rows(spark):
     schema = "rec_id long, external_references array<struct<source_name:string,external_id:string>>, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>, contents string, path string"
     deep = "[" * 300 + '{"kill_chain_phases": {"a": 1}}' + "]" * 300
