@@ -14,8 +14,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spindrift.lineage import written
+from spindrift.operators.skew import hot_keys, lookup
 
 BRIDGE = "rec_id long, path string, parent_path string, list_name string, ordinal int, parent_hash string, object_hash string, body string"
 
@@ -164,3 +169,22 @@ def rebuilt(object_hash: str, bodies: dict[str, str]) -> object:
     part = lambda v: rebuilt(v.decode(), bodies) if isinstance(v, bytes) else v
     held = members(bodies[object_hash])
     return {k: part(v) for k, v in held.items()} if isinstance(held, dict) else [part(v) for v in held] if isinstance(held, list) else held
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _texts(body: pd.Series) -> pd.Series:
+    text = lambda v: v if v is None or isinstance(v, str) else v.decode() if isinstance(v, bytes) else json.dumps(v, ensure_ascii=False)
+    return body.map(lambda b: {k: text(v) for k, v in members(b).items()})
+
+
+def flat(occurring: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
+    """The members of the lists called ``name``, at any depth: their place and parent, and the values
+    of ``fields`` as text (the hash of what is itself an object or a list, null where there is none).
+
+    Each distinct object is read once; a hot one is broadcast back to its occurrences.
+    """
+    rows = written(listed(occurring, (name,)))
+    each = objects(rows)
+    hot = hot_keys(each, "object_hash", "occurrences")
+    values = written(each.select("object_hash", _texts("body").alias("v")).select("object_hash", *[F.try_element_at("v", F.lit(f)).alias(f) for f in fields]))
+    return lookup(rows.select("rec_id", "path", "parent_path", "parent_hash", "ordinal", "object_hash"), values, "object_hash", written(hot))

@@ -23,12 +23,22 @@ def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_phases(spark: SparkSession, d: str) -> DataFrame:
-    """Kill-chain phases of the column, one row each, for an SQL check of values and links."""
+    """Kill-chain phases of the column only, for the SQL check; ``p2_phase_rows`` has all."""
     rows = table(spark, d, "mitre").select("rec_id", F.posexplode("kill_chain_phases").alias("ordinal", "p")).where("p is not null")
     return rows.select("rec_id", "ordinal", F.col("p.kill_chain_name").alias("chain"), F.col("p.phase_name").alias("phase"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_objects, p2_bridge, p2_phases)}
+def p2_phase_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All kill-chain phases, in the column and at any depth of contents."""
+    return nested.flat(nested.bridge(table(spark, d, "mitre")), "kill_chain_phases", ("kill_chain_name", "phase_name"))
+
+
+def p2_reference_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All external references, in the column and at any depth of contents."""
+    return nested.flat(nested.bridge(table(spark, d, "mitre")), "external_references", ("source_name", "external_id", "url", "description"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_objects, p2_bridge, p2_phases, p2_phase_rows, p2_reference_rows)}
 
 SQL = {
     "p2_phases": """

@@ -140,6 +140,18 @@ def test_records_can_be_rebuilt(spark, data):
     assert {k: nested.rebuilt(h, bodies) for k, h in roots.items()} == want
 
 
+def test_flat_tables(spark, data):
+    """Every place of p2_found is a row of one of the two tables, with its values."""
+    from spindrift.plans import nested as plans
+
+    phases, references = plans.p2_phase_rows(spark, data), plans.p2_reference_rows(spark, data)
+    places = lambda *dfs: sorted((r.rec_id, r.path) for df in dfs for r in df.collect())
+    assert places(phases, references) == places(plans.p2_found(spark, data))
+    column = {(r.rec_id, r.ordinal, r.kill_chain_name, r.phase_name) for r in phases.where("parent_path is null").collect()}
+    assert column == {(r.rec_id, r.ordinal, r.chain, r.phase) for r in plans.p2_phases(spark, data).collect()}
+    assert phases.where("path like 'contents%' and phase_name is not null").count() and references.where("source_name is not null").count()
+
+
 def test_nested_edge_rows(spark):
     schema = "rec_id long, external_references array<struct<source_name:string,external_id:string>>, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>, contents string, path string"
     deep = "[" * 300 + '{"kill_chain_phases": {"a": 1}}' + "]" * 300
