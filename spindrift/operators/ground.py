@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from spindrift.functions.names import alnum_words
 from spindrift.functions.text import squash
+from spindrift.operators import retrieve
 
 #: Which alias table a type looks names up in.
 ALIAS_KINDS = {"ThreatActor": "group", "Campaign": "group", "Malware": "software", "Tool": "software", "Software": "software"}
@@ -79,3 +80,42 @@ def ground_techniques(names: DataFrame, catalogue: DataFrame, least: float = 0.6
         "name", "technique_id", "rec_id", F.when(F.col("norm") == F.col("t_norm"), 1.0).otherwise(F.col("c") / (F.col("n") + F.col("t_n") - F.col("c"))).alias("score"), (F.col("norm") == F.col("t_norm")).alias("same"))
     best = scored.where(F.col("score") >= least).groupBy("name").agg(F.max(F.struct("same", "score", (-F.col("rec_id")).alias("r"), "technique_id")).alias("b"))
     return best.select("name", "b.technique_id", F.round("b.score", 6).alias("score"))
+
+
+def canonicalized(kg: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``kg`` with the canonical names of both ends of the rows not rejected."""
+    named = canonical_names(kg, aliases).groupBy("seq").agg(*[F.max(F.when(F.col("side") == i, F.col("canonical"))).alias(c) for i, c in ((0, "_s"), (1, "_o"))])
+    rows = kg.join(named, "seq", "left")
+    return rows.withColumns({"s": F.coalesce("_s", "s"), "o": F.coalesce("_o", "o")}).select(*kg.columns)
+
+
+def with_techniques(kg: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``kg`` with the catalogue's name of each technique end that it has, in the rows not rejected,
+    and the ids of both appended to ``aids``, each once."""
+    live = F.col("status") != "rejected"
+    asked = kg.where(live).select(F.explode(F.array(*[F.when(F.col(t) == "Technique", F.col(n)) for t, n in (("st", "s"), ("ot", "o"))])).alias("name")).where("name is not null").distinct()
+    found = ground_techniques(asked, catalogue).join(catalogue.select("technique_id", F.col("name").alias("called")), "technique_id").select("name", "technique_id", "called")
+    rows = kg
+    for t, n in (("st", "s"), ("ot", "o")):
+        rows = rows.join(found.toDF(f"_n{n}", f"_id{n}", f"_c{n}"), live & (F.col(t) == "Technique") & (F.col(n) == F.col(f"_n{n}")), "left")
+    ids = F.array_distinct(F.concat("aids", F.array_compact(F.array("_ids", "_ido"))))
+    return rows.withColumns({"s": F.coalesce("_cs", "s"), "o": F.coalesce("_co", "o"), "aids": F.when(live, ids).otherwise(F.col("aids"))}).select(*kg.columns)
+
+
+def aligned(kg: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """``kg`` with similar names of a type (``vectors``: type, name, v) under the most frequent one, the
+    first of equals; if any were merged, only the first of the rows not rejected that are now the same."""
+    ends = kg.where("status <> 'rejected'").select(F.explode(F.array(*[F.struct(F.col(t).alias("type"), F.col(n).alias("name")) for t, n in (("st", "s"), ("ot", "o"))])).alias("e")).select("e.*")
+    counts = ends.groupBy("type", "name").agg(F.count(F.lit(1)).alias("n"))
+    known = counts.join(vectors, ["type", "name"]).withColumn("id", F.row_number().over(Window.partitionBy("type").orderBy("name")).cast("long"))
+    groups = known.groupBy("type").applyInPandas(lambda g: retrieve.led(g, least).merge(g[["id", "type", "name", "n"]], on="id"), "id long, leader long, type string, name string, n long")
+    best = groups.groupBy("type", "leader").agg(F.max_by("name", F.struct("n", -F.col("id"))).alias("into"))
+    merged = groups.join(best, ["type", "leader"]).where("name <> into").select("type", "name", "into")
+    if not merged.limit(1).count():
+        return kg
+    rows, live = kg, F.col("status") != "rejected"
+    for t, n in (("st", "s"), ("ot", "o")):
+        rows = rows.join(merged.toDF(f"_t{n}", f"_n{n}", f"_i{n}"), live & (F.col(t) == F.col(f"_t{n}")) & (F.col(n) == F.col(f"_n{n}")), "left")
+    rows = rows.withColumns({"s": F.coalesce("_is", "s"), "o": F.coalesce("_io", "o")}).select(*kg.columns)
+    kept = rows.where(live).groupBy(F.trim(F.lower("s")), "rel", F.trim(F.lower("o"))).agg(F.min("seq").alias("seq")).select("seq")
+    return rows.where(live).join(kept, "seq", "left_semi").unionByName(rows.where("status = 'rejected'"))

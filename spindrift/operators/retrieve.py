@@ -75,23 +75,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, size: int = BLOC
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "e"))).where(F.col("rank") <= k)
 
 
+def led(g: pd.DataFrame, least: float) -> pd.DataFrame:
+    """id, leader of one group (id, v)."""
+    g = g.sort_values("id")
+    m = np.stack(g["v"].to_numpy()).astype(np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    ids = g["id"].to_numpy()
+    leader = np.full(len(ids), -1)
+    for i in range(len(ids)):
+        if leader[i] < 0:
+            take = (leader < 0) & (m @ m[i] >= least)
+            take[:i] = False
+            take[i] = True
+            leader[take] = i
+    return pd.DataFrame({"id": ids, "leader": ids[leader]})
+
+
 def leaders(vectors: DataFrame, group: str, least: float) -> DataFrame:
     """id, leader: in the order of ids each vector that no leader takes becomes one and takes all
     later free ones of its group with a cosine of ``least`` to it. Not transitive, so in order; a
     group is what one document or type holds."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        m = np.stack(g["v"].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        ids = g["id"].to_numpy()
-        leader = np.full(len(ids), -1)
-        for i in range(len(ids)):
-            if leader[i] < 0:
-                take = (leader < 0) & (m @ m[i] >= least)
-                take[:i] = False
-                take[i] = True
-                leader[take] = i
-        return pd.DataFrame({"id": ids, "leader": ids[leader]})
-
-    return vectors.groupBy(group).applyInPandas(run, "id long, leader long")
+    return vectors.groupBy(group).applyInPandas(lambda g: led(g, least), "id long, leader long")

@@ -1,4 +1,5 @@
-"""The steps in order, over all documents at once: repair, validate, rescore, keep the salient, fuse."""
+"""The steps in order, over all documents at once: repair, validate, rescore, keep the salient, resolve
+names, ground techniques, align, fuse."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.lineage import written
-from spindrift.operators import fuse, pairs, relation_repair, salience, validate
+from spindrift.operators import fuse, ground, pairs, relation_repair, salience, validate
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,9 @@ class Steps:
     validation: bool = True
     rescore_below: float | None = None
     keep_per_document: int | None = None
+    canonical: bool = True
+    techniques: bool = True
+    align_from: float | None = None
     fuse_from: float = 0.5
     policy: validate.Policy = validate.Policy()
 
@@ -44,9 +48,23 @@ def processed(kg: DataFrame, steps: Steps = Steps()) -> DataFrame:
     return kg
 
 
-def graph(kg: DataFrame, steps: Steps = Steps()) -> tuple[DataFrame, DataFrame]:
+def resolved(kg: DataFrame, mitre: DataFrame, steps: Steps = Steps(), vectors: DataFrame | None = None) -> DataFrame:
+    """``kg`` under canonical names and grounded techniques; with ``align_from``, similar names (``vectors``:
+    type, name, v, as an embedding model gives them) under one."""
+    if steps.canonical:
+        kg = written(ground.canonicalized(kg, ground.alias_table(mitre)))
+    if steps.techniques:
+        kg = written(ground.with_techniques(kg, ground.technique_catalogue(mitre)))
+    if steps.align_from is not None:
+        if vectors is None:
+            raise ValueError("alignment needs vectors of the names")
+        kg = written(ground.aligned(kg, vectors, steps.align_from))
+    return kg
+
+
+def graph(kg: DataFrame, mitre: DataFrame, steps: Steps = Steps(), vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and fused edges of all documents."""
-    done = processed(kg, steps)
+    done = resolved(processed(kg, steps), mitre, steps, vectors)
     return fuse.entity_map(done), fuse.fuse_edges(done, steps.fuse_from)
 
 

@@ -9,6 +9,7 @@ from spindrift import pipeline, schema
 from spindrift.functions import identifiers as ids
 from spindrift.operators import relation_repair, salience, validate
 from spindrift.plans import duck
+from spindrift.tables import table
 from spindrift.plans.base import kg
 from spindrift.plans.duck import any_of, ladder, listed, pairs, with_kg
 
@@ -33,6 +34,14 @@ def pipeline_ablation(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.ablation(kg(spark, d), [pipeline.Steps(pronouns=False, repair=False, validation=False), pipeline.Steps(), pipeline.Steps(rescore_below=0.6, keep_per_document=5)])
 
 
+def pipeline_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.graph(kg(spark, d), table(spark, d, "mitre"))[0]
+
+
+def pipeline_edges(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.graph(kg(spark, d), table(spark, d, "mitre"))[1]
+
+
 def dedup_keep_best(spark: SparkSession, d: str) -> DataFrame:
     return validate.keep_best(kg(spark, d)).select("seq", "status")
 
@@ -202,7 +211,7 @@ _SCORED = f"""scored as (select *, round(cast(0.35 as double) * case when ev = '
 _WEIGHT = "case rel " + " ".join(f"when '{r}' then cast({w} as double)" for r, w in schema.SALIENCE.items()) + " end"
 
 QUERIES = {
-    "validate_core": validate_core, "validate_full": validate_full, "validation_log": validation_log, "pipeline_ablation": pipeline_ablation, "dedup_keep_best": dedup_keep_best, "relation_repair": relation_repaired,
+    "validate_core": validate_core, "validate_full": validate_full, "validation_log": validation_log, "pipeline_ablation": pipeline_ablation, "pipeline_nodes": pipeline_nodes, "pipeline_edges": pipeline_edges, "dedup_keep_best": dedup_keep_best, "relation_repair": relation_repaired,
     "confidence_rescore": confidence_rescore, "saliency_topk": saliency_topk, "identifiers": identifiers,
 }
 

@@ -233,6 +233,25 @@ def test_leaders_and_nearest_edges(spark):
     assert retrieve.nearest(v.where("false"), v.where("id = 1"), 1).count() == 0
 
 
+def test_graph_resolves_names(spark):
+    """Aliases, techniques and similar names come together before edges are fused."""
+    from spindrift import pipeline
+
+    raw = "seq long, doc string, chunk string, s string, st string, rel string, o string, ot string, ev string, conf double, status string, aids array<string>"
+    rows = [(1, "d1", "c1", "APT29", "ThreatActor", "uses", "spear-phishing", "Technique", "", 0.8, "validated", ["T1"]), (2, "d2", "c2", "Cozy Bear", "ThreatActor", "uses", "Spear Phishing", "Technique", "", 0.9, "validated", []),
+            (3, "d3", "c3", "APT 29", "ThreatActor", "uses", "Spear Phishing", "Technique", "", 0.7, "validated", []), (4, "d3", "c3", "Cozy Bear", "ThreatActor", "uses", "spear-phishing", "Technique", "", 0.7, "rejected", [])]
+    mitre = spark.createDataFrame([(1, "intrusion-set", "APT29", ["Cozy Bear"], None, []), (2, "attack-pattern", "Spear Phishing", [], "T1566", [])], "rec_id long, type string, name string, aliases array<string>, mitre_id string, kill_chain_phases array<struct<kill_chain_name:string,phase_name:string>>").selectExpr(
+        "*", "type as object_type", "name as title", "cast(array() as array<struct<source_name:string,external_id:string>>) as external_references")
+    vectors = spark.createDataFrame([("ThreatActor", "APT29", [1.0, 0.0]), ("ThreatActor", "APT 29", [1.0, 0.1])], "type string, name string, v array<double>")
+    kg, steps = spark.createDataFrame(rows, raw), pipeline.Steps(pronouns=False, repair=False, validation=False)
+    done = {r.seq: r for r in pipeline.resolved(kg, mitre, steps).collect()}
+    assert [(done[i].s, done[i].o, done[i].aids) for i in (1, 2, 4)] == [("APT29", "Spear Phishing", ["T1", "T1566"]), ("APT29", "Spear Phishing", ["T1566"]), ("Cozy Bear", "spear-phishing", [])]
+    nodes, edges = pipeline.graph(kg, mitre, steps)
+    assert nodes.count() == 3 and sorted((r.ks, r.docs, r.conf) for r in edges.collect()) == [("apt 29", 1, 0.7), ("apt29", 2, 0.95)]
+    same = pipeline.resolved(kg, mitre, pipeline.Steps(pronouns=False, repair=False, validation=False, align_from=0.9), vectors).collect()
+    assert sorted((r.seq, r.s) for r in same) == [(1, "APT29"), (4, "Cozy Bear")]
+
+
 def test_pipeline_labels(spark):
     arms = pipeline.ablation(kg(spark, {}, {"s": ""}), [pipeline.Steps(), pipeline.Steps(validation=False)]).collect()
     assert {(r.arm, r.status, r.n) for r in arms} == {("P+R+V", "rejected", 1), ("P+R+V", "validated", 1), ("P+R", "raw", 2)}
