@@ -17,15 +17,24 @@ def word_set(text: Column) -> Column:
 
 
 def few_shot(queries: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` examples (id, text) of highest Jaccard with each query (id, text), plus 25 by the
-    example's length, ties to the smaller id; examples without a common word do not count.
+    """The ``k`` examples (id, text) of highest score for each query (id, text), ties to the smaller id:
+    0.7 times the Jaccard of the texts, 0.25 times that of the query and the example's ``output`` if
+    there is this column, plus 25 by the example's length. Examples without a common word do not
+    count, nor those whose ``doc`` is the query's ``doc``, if both have this column.
 
     Pairs come from an equi-join on words: the number of common words is its count.
     """
-    q = queries.select(F.col("id").alias("q"), word_set(F.col("text")).alias("ws")).select("q", F.size("ws").alias("qn"), F.explode("ws").alias("w"))
-    e = examples.select(F.col("id").alias("e"), F.length("text").alias("len"), word_set(F.col("text")).alias("ws")).select("e", "len", F.size("ws").alias("en"), F.explode("ws").alias("w"))
-    common = q.join(e, "w").groupBy("q", "e", "qn", "en", "len").agg(F.count(F.lit(1)).alias("c"))
-    scored = common.select("q", "e", F.round(0.7 * (F.col("c") / (F.col("qn") + F.col("en") - F.col("c"))) + F.lit(25.0) / F.col("len"), 9).alias("score"))
+    no = F.lit(None).cast("string")
+    own = "doc" in queries.columns and "doc" in examples.columns
+    doc = F.col("doc").cast("string") if own else no
+    output = word_set(F.coalesce(F.col("output"), F.lit(""))) if "output" in examples.columns else F.array().cast("array<string>")
+    q = queries.select(F.col("id").alias("q"), doc.alias("q_doc"), word_set(F.col("text")).alias("ws")).select("q", "q_doc", F.size("ws").alias("qn"), F.explode("ws").alias("w"))
+    e = examples.select(F.col("id").alias("e"), doc.alias("e_doc"), F.greatest(F.length("text"), F.lit(1)).alias("len"), word_set(F.coalesce("text", F.lit(""))).alias("ws"), output.alias("os"))
+    e = e.select("e", "e_doc", "len", F.size("ws").alias("en"), F.size("os").alias("on"), "ws", "os", F.explode(F.array_union("ws", "os")).alias("w"))
+    e = e.withColumns({"in_t": F.array_contains("ws", F.col("w")).cast("int"), "in_o": F.array_contains("os", F.col("w")).cast("int")}).drop("ws", "os")
+    common = q.join(e, "w").where("q_doc is null or e_doc is null or q_doc <> e_doc").groupBy("q", "e", "qn", "en", "on", "len").agg(F.sum("in_t").alias("c"), F.sum("in_o").alias("oc"))
+    part = lambda c, n: F.col(c) / (F.col("qn") + F.col(n) - F.col(c))
+    scored = common.select("q", "e", F.round(0.7 * part("c", "en") + 0.25 * part("oc", "on") + F.lit(25.0) / F.col("len"), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "e"))).where(F.col("rank") <= k)
 
 

@@ -233,6 +233,14 @@ def test_leaders_and_nearest_edges(spark):
     assert retrieve.nearest(v.where("false"), v.where("id = 1"), 1).count() == 0
 
 
+def test_few_shot_outputs_and_own_document(spark):
+    q = spark.createDataFrame([(1, "alpha beta", "d1")], "id long, text string, doc string")
+    e = spark.createDataFrame([(1, "alpha beta", "zeta", "d1"), (2, "alpha gamma", "beta", "d2"), (3, "delta", "alpha beta", "d3"), (4, "delta", "eta", "d4")], "id long, text string, output string, doc string")
+    got = [(r.e, r.score) for r in retrieve.few_shot(q, e, 5).orderBy("rank").collect()]
+    want = {2: 0.7 / 3 + 0.25 / 2 + 25 / 11, 3: 0.25 + 25 / 5}
+    assert got == sorted(((k, round(v, 9)) for k, v in want.items()), key=lambda x: -x[1])
+
+
 def test_graph_resolves_names(spark):
     """Aliases, techniques and similar names come together before edges are fused."""
     from spindrift import pipeline
