@@ -20,6 +20,8 @@ ATTACK_ID = r"^(?:T\d{4}(?:\.\d{3})?|TA\d{4}|S\d{4}|G\d{4})$"
 FILE_NAME = r"\.(?:exe|dll|ps1|bat|doc|docx|xls|xlsx|pdf|js|vbs|hta|lnk|scr|msi|iso|zip|rar|7z)$"
 PLAIN_DOMAIN = r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.[a-z]{2,}$"
 
+SOFTWARE_WORDS = list(dict.fromkeys(w for name in schema.SOFTWARE_NAMES for w in name.split()))
+
 
 def refang(value: Column) -> Column:
     """Defanged dots, colons, at signs and schemes as they were."""
@@ -47,6 +49,17 @@ def ipv4(value: Column) -> Column:
     return F.when(v.rlike(IPV4) & F.forall(parts, lambda p: p.between(0, 255)), F.array_join(parts, "."))
 
 
+def domain(value: Column) -> Column:
+    """The domain refanged and in lower case; null if it is none."""
+    v = F.lower(refang(value))
+    return F.when(v.rlike(DOMAIN), v)
+
+
+def digest(value: Column) -> Column:
+    """The hash stripped and in lower case; null if it is none."""
+    return F.when(F.trim(value).rlike(HASH), F.lower(F.trim(value)))
+
+
 def attack_id(value: Column) -> Column:
     return F.trim(value).rlike(ATTACK_ID)
 
@@ -54,7 +67,7 @@ def attack_id(value: Column) -> Column:
 def normal_ioc(value: Column) -> Column:
     """An indicator in the normal form of its subtype; others as they are."""
     kind = ioc_subtype(value)
-    return F.when(kind == "ip", F.coalesce(ipv4(value), value)).when(kind == "domain", F.lower(refang(value))).when((kind == "hash") & F.trim(value).rlike(HASH), F.lower(F.trim(value))).otherwise(value)
+    return F.when(kind == "ip", F.coalesce(ipv4(value), value)).when(kind == "domain", domain(value)).when(kind == "hash", F.coalesce(digest(value), value)).otherwise(value)
 
 
 def type_of_untyped(name: Column) -> Column:
@@ -69,5 +82,5 @@ def type_of_untyped(name: Column) -> Column:
         .when(low.contains("extension") | low.startswith("."), "File")
         .when(any_of(low, schema.CAMPAIGN_HINTS), "Campaign")
         .when(any_of(low, schema.ACTOR_HINTS), "ThreatActor")
-        .when(F.arrays_overlap(words(low), F.array(*map(F.lit, schema.SOFTWARE_WORDS))), "Software")
+        .when(F.arrays_overlap(words(low), F.array(*map(F.lit, SOFTWARE_WORDS))), "Software")
     )

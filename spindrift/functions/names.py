@@ -21,18 +21,12 @@ def node_id(kind: Column, name: Column) -> Column:
 
 def for_match(name: Column) -> Column:
     """Lower case, leading articles and demonstratives dropped, white space collapsed."""
-    name = F.lower(F.trim(name))
-    for lead in LEADS:
-        name = F.when(name.startswith(lead), F.substr(name, F.lit(len(lead) + 1))).otherwise(name)
-    return squash(name)
+    return squash(F.regexp_replace(F.lower(F.trim(name)), "^" + "".join(f"(?:{lead})?" for lead in LEADS), ""))
 
 
 def for_comparison(name: Column) -> Column:
     """Lower case without a leading article and without punctuation."""
-    name = F.lower(F.trim(name))
-    for lead in ("the ", "a "):
-        name = F.when(name.startswith(lead), F.substr(name, F.lit(len(lead) + 1))).otherwise(name)
-    return strip(F.translate(name, "()'\",;.-_", ""))
+    return strip(F.translate(F.regexp_replace(F.lower(F.trim(name)), "^(?:the )?(?:a )?", ""), "()'\",;.-_", ""))
 
 
 def alnum_words(name: Column) -> Column:
@@ -67,8 +61,7 @@ def names_match(a: Column, b: Column, ta: Column, tb: Column, share: float) -> C
 
 def clean_name(name: Column) -> Column:
     """Without a leading article, a trailing qualifier and a lead-in on what attackers do."""
-    for lead in ("the ", "a ", "an "):
-        name = F.when(F.lower(name).startswith(lead) & (F.length(name) > len(lead) + 2), F.substr(name, F.lit(len(lead) + 1))).otherwise(name)
+    name = F.regexp_replace(name, r"(?is)^(?:the (?=.{3}))?(?:a (?=.{3}))?(?:an (?=.{3}))?", "")
     name = F.regexp_replace(name, r"\s+(?:for|from|against|on|in|of|by|via|through|within|across)\s+(?:the\s+)?(?:[A-Z]|\w{2,}).*$", "")
     name = F.regexp_replace(name, r"^(?i)(?:threat actors? to execute|attackers? to execute|allows? (?:attackers?|threat actors?) to (?:execute|run|deploy))\s+", "")
     return strip(name)

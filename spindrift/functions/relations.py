@@ -10,11 +10,18 @@ from spindrift.functions.columns import ladder, mapped
 from spindrift.functions.text import strip
 
 
+def _by_stem(wording: str) -> str:
+    return next((r for r, stems in schema.RELATION_STEMS if any(x in wording for x in stems)), "related_to")
+
+
+#: The wordings that the stems would misread: only these need a lookup before the stems.
+EXCEPTIONS = {w: r for r, ws in schema.RELATION_WORDINGS.items() for w in ws if _by_stem(w) != r}
+
+
 def normalize_relation(raw: Column) -> Column:
     """A free relation by its wording, else by the first stem it contains, else ``related_to``."""
     key = strip(F.lower(raw))
-    wordings = {w: r for r, ws in schema.RELATION_WORDINGS.items() for w in ws}
-    return mapped(key, wordings, ladder(key, schema.RELATION_STEMS, F.lit("related_to")))
+    return mapped(key, EXCEPTIONS, ladder(key, schema.RELATION_STEMS, F.lit("related_to")))
 
 
 def resolve_relation(raw: Column) -> Column:

@@ -34,10 +34,11 @@ def entity_map(kg: DataFrame) -> DataFrame:
 def fuse_edges(kg: DataFrame, least: float = 0.5, bonus: float = 0.05) -> DataFrame:
     """One edge for each subject, relation and object (letter case ignored) of the rows not rejected
     with a confidence of ``least``: the row of highest confidence (the first of equals), the number
-    of rows and documents, and its confidence raised by ``bonus`` for every further document."""
+    of rows and documents (rows without one count as one document more), and its confidence raised by
+    ``bonus`` for every further document."""
     kept = kg.where((F.col("status") != "rejected") & (F.col("conf") >= least))
     edges = kept.groupBy(F.lower("s").alias("ks"), "rel", F.lower("o").alias("ko")).agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("doc").alias("docs"), F.max("conf").alias("top"), F.max_by("seq", F.struct("conf", -F.col("seq"))).alias("seq"))
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(F.coalesce("doc", F.lit(""))).alias("docs"), F.max("conf").alias("top"), F.max_by("seq", F.struct("conf", -F.col("seq"))).alias("seq"))
     return edges.select("ks", "rel", "ko", "seq", "rows", "docs", F.round(F.least(F.lit(1.0), F.col("top") + bonus * F.greatest(F.col("docs") - 1, F.lit(0))), 6).alias("conf"))
 
 

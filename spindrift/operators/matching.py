@@ -7,15 +7,17 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift import schema
 from spindrift.functions.names import for_match, names_match, token_set
+from spindrift.operators.retrieve import cosine
 
 
-def keyed(kg: DataFrame) -> DataFrame:
-    """seq, doc, rel and the normal forms and word sets of both names."""
+def keyed(kg: DataFrame, stemmed: bool = True) -> DataFrame:
+    """seq, doc, rel and the normal forms and word sets of both names, the words stemmed or not."""
     return kg.select("seq", "doc", "rel", for_match(F.col("s")).alias("ns"), for_match(F.col("o")).alias("no")).withColumns(
-        {"ts": token_set(F.col("ns"), True), "to": token_set(F.col("no"), True)})
+        {"ts": token_set(F.col("ns"), stemmed), "to": token_set(F.col("no"), stemmed)})
 
 
 def compatible(a: Column, b: Column, table: list[tuple[str, str]] = schema.COMPATIBLE_WIDE) -> Column:
@@ -49,9 +51,9 @@ def covered(pred: DataFrame, gold: DataFrame, protocol: str) -> DataFrame:
     protocol: exact, rel_eq (soft names, equal relation), compat (soft names, compatible relation,
     either way round) or pair (soft names, either way round). A semi-join by document."""
     p, g = pred.alias("p"), gold.alias("g")
-    soft = lambda x, tx, y, ty: names_match(F.col(x), F.col(y), F.col(tx), F.col(ty), 0.5)
-    forth = soft("p.ns", "p.ts", "g.ns", "g.ts") & soft("p.no", "p.to", "g.no", "g.to")
-    back = soft("p.ns", "p.ts", "g.no", "g.to") & soft("p.no", "p.to", "g.ns", "g.ts")
+    near = lambda x, tx, y, ty: names_match(F.col(x), F.col(y), F.col(tx), F.col(ty), 0.5)
+    forth = near("p.ns", "p.ts", "g.ns", "g.ts") & near("p.no", "p.to", "g.no", "g.to")
+    back = near("p.ns", "p.ts", "g.no", "g.to") & near("p.no", "p.to", "g.ns", "g.ts")
     same = F.col("p.rel") == F.col("g.rel")
     test = {
         "exact": same & (F.col("p.ns") == F.col("g.ns")) & (F.col("p.no") == F.col("g.no")), "rel_eq": same & forth,
@@ -64,40 +66,47 @@ def covered(pred: DataFrame, gold: DataFrame, protocol: str) -> DataFrame:
 # grouped Arrow function does it for each document. Its predicates mirror the columns' ones.
 
 
-def _soft(a: str, ta: set, b: str, tb: set) -> bool:
+def soft(a: str, ta: frozenset, b: str, tb: frozenset, share: float = 0.5) -> bool:
     if a in b or b in a:
         return True
     small = min(len(ta), len(tb))
-    return small > 0 and len(ta & tb) / small >= 0.5
+    return small > 0 and len(ta & tb) / small >= share
 
 
 _COMPAT = {frozenset(p) for p in schema.COMPATIBLE_WIDE}
-Edge = tuple[str, set, str, str, set]
+Edge = tuple[str, frozenset, str, str, frozenset]
+Test = Callable[[Edge, Edge], bool]
 
 
-def _forth(p: Edge, g: Edge) -> bool:
-    return _soft(p[0], p[1], g[0], g[1]) and _soft(p[3], p[4], g[3], g[4])
+def _passes() -> dict[str, list[Test]]:
+    """The passes of each matcher; every pass goes over the edges that are still free. A name meets
+    another once, whatever the number of edges and passes that they share."""
+    known: dict[tuple[str, str], bool] = {}
 
+    def same(a: str, ta: frozenset, b: str, tb: frozenset) -> bool:
+        if (a, b) not in known:
+            known[a, b] = soft(a, ta, b, tb)
+        return known[a, b]
 
-def _back(p: Edge, g: Edge) -> bool:
-    return _soft(p[0], p[1], g[3], g[4]) and _soft(p[3], p[4], g[0], g[1])
+    forth: Test = lambda p, g: same(p[0], p[1], g[0], g[1]) and same(p[3], p[4], g[3], g[4])
+    back: Test = lambda p, g: same(p[0], p[1], g[3], g[4]) and same(p[3], p[4], g[0], g[1])
+    rel: Test = lambda p, g: p[2] == g[2] or frozenset((p[2], g[2])) in _COMPAT
+    words: Test = lambda p, g: soft(p[2], frozenset(p[2].split()), g[2], frozenset(g[2].split()))
+    return {
+        "exact": [lambda p, g: (p[0], p[2], p[3]) == (g[0], g[2], g[3])],
+        "rel_eq": [lambda p, g: p[2] == g[2] and forth(p, g)],
+        "compat": [lambda p, g: rel(p, g) and (forth(p, g) or back(p, g))],
+        "pair": [lambda p, g: forth(p, g) or back(p, g)],
+        "triplet": [lambda p, g: (p[0], p[2], p[3]) == (g[0], g[2], g[3]), lambda p, g: p[2] == g[2] and forth(p, g), lambda p, g: rel(p, g) and (forth(p, g) or back(p, g))],
+        "swapped": [forth, back],
+        "strict": [lambda p, g: forth(p, g) and words(p, g)],
+    }
 
 
-def _rel(p: Edge, g: Edge) -> bool:
-    return p[2] == g[2] or frozenset((p[2], g[2])) in _COMPAT
+PASSES = _passes()
 
 
-#: The passes of each matcher; every pass goes over the edges that are still free.
-PASSES: dict[str, list[Callable[[Edge, Edge], bool]]] = {
-    "exact": [lambda p, g: (p[0], p[2], p[3]) == (g[0], g[2], g[3])],
-    "rel_eq": [lambda p, g: p[2] == g[2] and _forth(p, g)],
-    "compat": [lambda p, g: _rel(p, g) and (_forth(p, g) or _back(p, g))],
-    "pair": [lambda p, g: _forth(p, g) or _back(p, g)],
-    "triplet": [lambda p, g: (p[0], p[2], p[3]) == (g[0], g[2], g[3]), lambda p, g: p[2] == g[2] and _forth(p, g), lambda p, g: _rel(p, g) and (_forth(p, g) or _back(p, g))],
-}
-
-
-def greedy(preds: list[Edge], golds: list[Edge], passes: list[Callable[[Edge, Edge], bool]]) -> int:
+def greedy(preds: list[Edge], golds: list[Edge], passes: list[Test]) -> int:
     """The number of matches if each edge in turn takes the first free gold edge it matches."""
     free_p, free_g, tp = list(range(len(preds))), list(range(len(golds))), 0
     for test in passes:
@@ -115,31 +124,81 @@ def greedy(preds: list[Edge], golds: list[Edge], passes: list[Callable[[Edge, Ed
 
 def greedy_by_document(pred: DataFrame, gold: DataFrame, matcher: str) -> DataFrame:
     """doc, tp, n_pred, n_gold of the greedy matcher, edges in the order of ``seq``; all documents
-    of either side. Edges without a document count, but match nothing and are not gathered."""
+    of either side. Edges without a document count, but match nothing and are not gathered.
+
+    Matchers that begin with equal keys have that pass done by a window: of each key as many edges
+    of either side match as the other has, the first ones, and only the rest goes to Python.
+    """
+    both = pred.withColumn("is_gold", F.lit(False)).unionByName(gold.withColumn("is_gold", F.lit(True)))
+    lone = both.where("doc is null").agg(F.count_if(~F.col("is_gold")).alias("n_pred"), F.count_if("is_gold").alias("n_gold"))
+    both, skip = both.where("doc is not null").withColumn("done", F.lit(False)), 0
+    if matcher == "triplet":
+        key = Window.partitionBy("doc", "ns", "rel", "no")
+        turn = F.row_number().over(Window.partitionBy("doc", "ns", "rel", "no", "is_gold").orderBy("seq"))
+        paired = F.least(F.count_if("is_gold").over(key), F.count_if(~F.col("is_gold")).over(key))
+        both, skip = both.withColumn("done", turn <= paired), 1
 
     def run(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("seq")
-        edges = [(r.ns, set(r.ts), r.rel, r.no, set(r.to), r.is_gold) for r in doc.itertuples()]
+        done = doc[doc["done"]]
+        rest = doc[~doc["done"]].sort_values("seq")
+        edges = [(r.ns, frozenset(r.ts), r.rel, r.no, frozenset(r.to), r.is_gold) for r in rest.itertuples()]
         p, g = [e[:5] for e in edges if not e[5]], [e[:5] for e in edges if e[5]]
-        return pd.DataFrame({"doc": [doc["doc"].iloc[0]], "tp": [greedy(p, g, PASSES[matcher])], "n_pred": [len(p)], "n_gold": [len(g)]})
+        tp, golds = int((~done["is_gold"]).sum()), int(doc["is_gold"].sum())
+        return pd.DataFrame({"doc": [doc["doc"].iloc[0]], "tp": [tp + greedy(p, g, _passes()[matcher][skip:])], "n_pred": [len(doc) - golds], "n_gold": [golds]})
 
-    both = pred.withColumn("is_gold", F.lit(False)).unionByName(gold.withColumn("is_gold", F.lit(True)))
-    lone = both.where("doc is null").agg(F.count_if(~F.col("is_gold")).alias("n_pred"), F.count_if("is_gold").alias("n_gold"))
-    found = both.where("doc is not null").groupBy("doc").applyInPandas(run, "doc string, tp long, n_pred long, n_gold long")
+    found = both.groupBy("doc").applyInPandas(run, "doc string, tp long, n_pred long, n_gold long")
     return found.unionByName(lone.select(F.lit(None).cast("string").alias("doc"), F.lit(0).cast("long").alias("tp"), "n_pred", "n_gold"))
 
 
 def largest_matching(left: list[list[int]]) -> int:
-    """The size of the largest one-to-one matching; ``left`` has the partners of each left item."""
-    owner: dict[int, int] = {}
+    """The size of the largest one-to-one matching; ``left`` has the partners of each left item.
 
-    def place(i: int, seen: set[int]) -> bool:
-        for j in left[i]:
-            if j not in seen:
-                seen.add(j)
-                if j not in owner or place(owner[j], seen):
-                    owner[j] = i
-                    return True
-        return False
-
-    return sum(place(i, set()) for i in range(len(left)))
+    Each item looks for a free partner, or for one whose owner can move, along a path kept in a
+    list, so the length of a path is not bounded by the depth of calls.
+    """
+    owner: dict[int, int] = {}
+    mine: dict[int, int] = {}
+    for start in range(len(left)):
+        came: dict[int, int] = {}  # partner: the item from which it was reached
+        queue, end = [start], None
+        for i in queue:
+            for j in left[i]:
+                if j not in came:
+                    came[j] = i
+                    if j not in owner:
+                        end = j
+                        break
+                    queue.append(owner[j])
+            if end is not None:
+                break
+        while end is not None:
+            i = came[end]
+            end_before, mine[i], owner[end] = mine.get(i), end, i
+            end = end_before
+    return len(owner)
+
+
+def vector_pairs(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """item, p, g and cosine of each vector (item, id, v) of ``pred`` with each of its item's ``gold``."""
+    return pred.select("item", F.col("id").alias("p"), F.col("v").alias("_p")).join(gold.select("item", F.col("id").alias("g"), F.col("v").alias("_g")), "item").select("item", "p", "g", cosine(F.col("_p"), F.col("_g")).alias("cosine"))
+
+
+def embed_covered(pred: DataFrame, gold: DataFrame, least: float) -> DataFrame:
+    """item, p and whether some vector of its item's ``gold`` has a cosine of ``least`` or more to it;
+    false for those whose item has none."""
+    near = vector_pairs(pred, gold).groupBy("item", "p").agg(F.max("cosine").alias("top"))
+    return pred.select("item", F.col("id").alias("p")).join(near, ["item", "p"], "left").select("item", "p", F.coalesce(F.round("top", 6) >= least, F.lit(False)).alias("covered"))
+
+
+def embed_matches(pred: DataFrame, gold: DataFrame, least: float) -> DataFrame:
+    """item, tp (the largest one-to-one matching of vectors with a cosine of ``least`` or more), n_pred,
+    n_gold of every item. An item is what one document holds; pairs below ``least`` leave the JVM never."""
+    near = vector_pairs(pred, gold).where(F.round("cosine", 6) >= least)
+
+    def run(item: pd.DataFrame) -> pd.DataFrame:
+        left = item.sort_values(["p", "g"]).groupby("p")["g"].apply(list).tolist()
+        return pd.DataFrame({"item": [item["item"].iloc[0]], "tp": [largest_matching(left)]})
+
+    found = near.groupBy("item").applyInPandas(run, "item long, tp long")
+    sizes = pred.select("item", F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select("item", F.lit(0).alias("p"), F.lit(1).alias("g"))).groupBy("item").agg(F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
+    return sizes.join(found, "item", "left").select("item", F.coalesce("tp", F.lit(0).cast("long")).alias("tp"), "n_pred", "n_gold")

@@ -181,10 +181,10 @@ def flat(occurring: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
     """The members of the lists called ``name``, at any depth: their place and parent, and the values
     of ``fields`` as text (the hash of what is itself an object or a list, null where there is none).
 
-    Each distinct object is read once; a hot one is broadcast back to its occurrences.
+    Each distinct object is read once; the occurrences of a hot one meet it in parts.
     """
     rows = written(listed(occurring, (name,)))
     each = objects(rows)
-    hot = hot_keys(each, "object_hash", "occurrences")
+    hot = written(hot_keys(each, "object_hash", "occurrences"))
     values = written(each.select("object_hash", _texts("body").alias("v")).select("object_hash", *[F.try_element_at("v", F.lit(f)).alias(f) for f in fields]))
-    return lookup(rows.select("rec_id", "path", "parent_path", "parent_hash", "ordinal", "object_hash"), values, "object_hash", written(hot))
+    return lookup(rows.select("rec_id", "path", "parent_path", "parent_hash", "ordinal", "object_hash"), values, "object_hash", hot, ["rec_id", "path"])

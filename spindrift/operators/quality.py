@@ -122,3 +122,25 @@ def taxonomy_crosstab(log: DataFrame) -> DataFrame:
     """A row per category with the counts of each action and the documents touched."""
     actions = ["flagged", "repaired", "rejected"]
     return log.groupBy("category").agg(*[F.count_if(F.col("action") == a).alias(a) for a in actions], F.countDistinct(F.when(F.col("doc") != "", F.col("doc"))).alias("docs"))
+
+
+#: Categories that dispute how an entity was typed.
+TYPE_DISPUTES = ["type_misassignment", "impossible_type_pair"]
+
+
+def taxonomy_by_run(log: DataFrame, disputes: list[str] = TYPE_DISPUTES, k: int = 6) -> DataFrame:
+    """run, serving, n, rejected and disputed (shares of the entries), serving_mean (of disputed over the
+    serving's runs) and top (the shares of the ``k`` most frequent categories of all runs, by name).
+
+    ``log`` has run, serving, category, action; it is counted once, all else reads the counts.
+    """
+    counts = log.groupBy("run", "serving", "category", "action").agg(F.count(F.lit(1)).alias("c"))
+    leading = counts.groupBy("category").agg(F.sum("c").alias("all")).orderBy(F.desc("all"), "category").limit(k).select("category", F.lit(1).alias("_top"))
+    each = counts.join(F.broadcast(leading), "category", "left").groupBy("run", "serving", "category", "_top").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("action") == "rejected", F.col("c")).otherwise(0)).alias("r"))
+    n = F.sum("c")
+    runs = each.groupBy("run", "serving").agg(
+        n.alias("n"), share(F.sum("r"), n).alias("rejected"), (F.sum(F.when(F.col("category").isin(disputes), F.col("c")).otherwise(0)) / n).alias("disputed"),
+        F.array_sort(F.collect_list(F.when(F.col("_top").isNotNull(), F.struct("category", "c")))).alias("t"))
+    top = F.array_join(F.transform("t", lambda x: F.format_string("%s=%.3f", x["category"], x["c"] / F.col("n"))), "|")
+    means = runs.groupBy("serving").agg(F.round(F.avg("disputed"), 6).alias("serving_mean"))
+    return runs.join(means, "serving").select("run", "serving", "n", "rejected", F.round("disputed", 6).alias("disputed"), "serving_mean", top.alias("top"))

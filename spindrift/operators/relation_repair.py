@@ -29,12 +29,12 @@ def wrong_relation() -> Column:
     return (
         F.when(org_exploits & has(schema.DISCLOSURE_HINTS), "associated_with")
         .when(org_exploits & has(_H["mitigated_by"], ["release"]), "mitigated_by")
-        .when(org_exploits & ~has(["exploit", "abuse", "attack", "compromise"]), "associated_with")
-        .when(org_exploits & has(["discover", "found", "report", "analyz", "identif", "observ", "track"]), "associated_with")
+        .when(org_exploits & ~has(schema.EXPLOITED_HINTS), "associated_with")
+        .when(org_exploits & has(schema.FOUND_HINTS), "associated_with")
         .when((rel == "exploits") & ~ot.isin("Vulnerability", "Software", "Infrastructure"), F.when(has(_H["targets"]), "targets").otherwise("uses"))
         .when((rel == "exploits") & (st == "Vulnerability") & (ot != "Vulnerability"), F.when(has(_H["targets"], ["impact"]), "targets").otherwise("associated_with"))
-        .when(weak & st.isin("Malware", "Campaign", "Tool", "ThreatActor") & (ot == "ThreatActor") & (st.isin("Malware", "Campaign") | has(_H["attributed_to"], ["linked", "tied", "connected", "operated", "backed"])), "attributed_to")
-        .when(weak & (st == "ThreatActor") & (ot.isin("Malware", "Tool") | ((ot == "Technique") & has(_H["uses"], ["deploy", "wield", "operate"]))), "uses")
+        .when(weak & st.isin("Malware", "Campaign", "Tool", "ThreatActor") & (ot == "ThreatActor") & (st.isin("Malware", "Campaign") | has(_H["attributed_to"], schema.TIED_HINTS)), "attributed_to")
+        .when(weak & (st == "ThreatActor") & (ot.isin("Malware", "Tool") | ((ot == "Technique") & has(_H["uses"], schema.WIELDED_HINTS))), "uses")
         .when(rel.isin("related_to", "exploits", "associated_with") & st.isin("Vulnerability", "Malware") & ot.isin("Technique", "Other", "Malware") & has(_H["variant_of"]), "variant_of")
         .when((rel == "related_to") & st.isin("Campaign", "Infrastructure", "IOC") & ot.isin("Malware", "Tool") & has(_H["delivers"]), "delivers")
         .when(weak & st.isin("Malware", "ThreatActor", "Campaign") & ot.isin("Organization", "Software", "Location") & has(_H["targets"]), "targets")

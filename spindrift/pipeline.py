@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.lineage import written
-from spindrift.operators import fuse, ground, pairs, relation_repair, salience, validate
+from spindrift.operators import fuse, ground, pairs, relation_repair, salience, scoring, validate
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def resolved(kg: DataFrame, mitre: DataFrame, steps: Steps = Steps(), vectors: D
     if steps.canonical:
         kg = written(ground.canonicalized(kg, ground.alias_table(mitre)))
     if steps.techniques:
-        kg = written(ground.with_techniques(kg, ground.technique_catalogue(mitre)))
+        kg = written(ground.with_techniques(kg, mitre))
     if steps.align_from is not None:
         if vectors is None:
             raise ValueError("alignment needs vectors of the names")
@@ -75,3 +75,29 @@ def ablation(kg: DataFrame, arms: list[Steps]) -> DataFrame:
         part = processed(kg, steps).groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("arm", F.lit(steps.label()))
         out = part if out is None else out.unionByName(part)
     return out.select("arm", "status", "n")
+
+
+def empty_rate(extracted: DataFrame, documents: DataFrame) -> DataFrame:
+    """documents, empty and rate: how many of ``documents`` (doc) have no triple in ``extracted`` (doc)."""
+    none = documents.select("doc").distinct().join(extracted.select("doc", F.lit(1).alias("_has")).distinct(), "doc", "left")
+    sums = none.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("_has").isNull()).alias("empty"))
+    return sums.select("*", F.round(F.when(F.col("documents") > 0, F.col("empty") / F.col("documents")).otherwise(0.0), 6).alias("rate"))
+
+
+def ablation_scores(kg: DataFrame, gold: DataFrame, arms: list[Steps], most_empty: float = 0.05) -> DataFrame:
+    """arm, level, tp, precision, recall, f1 and delta (of f1 to the first arm) of the same triples under
+    several choices of steps, against ``gold``.
+
+    An error if more than ``most_empty`` of the documents of ``gold`` have no triple: their scores
+    would say nothing about the steps.
+    """
+    rate = empty_rate(kg.where("doc is not null"), gold.where("doc is not null")).first()["rate"]
+    if rate > most_empty:
+        raise ValueError(f"{rate:.1%} of the documents have no triples")
+    out = None
+    for steps in arms:
+        scores = scoring.extraction_metrics(processed(kg, steps).where("status <> 'rejected'"), gold).withColumn("arm", F.lit(steps.label()))
+        out = scores if out is None else out.unionByName(scores)
+    scores = written(out)
+    first = scores.where(F.col("arm") == arms[0].label()).select("level", F.col("f1").alias("_first"))
+    return scores.join(first, "level").select("arm", "level", "tp", "precision", "recall", "f1", F.round(F.col("f1") - F.col("_first"), 4).alias("delta"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift import schema
 from spindrift.functions import names as nm
 from spindrift.functions import relations as rl
-from spindrift.operators import fuse, ground, pairs
+from spindrift.operators import extract, fuse, ground, pairs
 from spindrift.plans import duck
 from spindrift.plans.base import kg
 from spindrift.plans.duck import listed, with_kg
@@ -32,12 +32,7 @@ def name_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compound_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = kg(spark, d).select("seq", "o", "ot")
-    plain = F.replace(F.replace("o", F.lit(", and "), F.lit(", ")), F.lit(" and "), F.lit(", "))
-    parts = F.filter(F.transform(F.split(plain, r"\s*[,;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
-    long = F.exists(parts, lambda p: F.size(F.split(p, r"\s+")) > 6)
-    ok = F.col("ot").isin("ThreatActor", "Malware", "Tool", "Campaign", "Organization", "Location", "Software", "Technique") & ((F.size(parts) >= 3) | ((F.size(parts) == 2) & ~long))
-    return rows.select("seq", F.posexplode(F.when(ok, parts).otherwise(F.array("o"))).alias("i", "part"))
+    return kg(spark, d).select("seq", F.posexplode(extract.compound(F.col("o"), F.col("ot"))).alias("i", "part"))
 
 
 def alias_table(spark: SparkSession, d: str) -> DataFrame:
@@ -49,14 +44,28 @@ def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def technique_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return ground.technique_catalogue(table(spark, d, "mitre")).select("technique_id", "name", F.array_join("tactics", "|").alias("tactics"))
+    return ground.technique_catalogue(table(spark, d, "mitre")).select("technique_id", "name", "description", F.array_join("tactics", "|").alias("tactics"))
 
 
 def technique_ground(spark: SparkSession, d: str) -> DataFrame:
     """Names of nodes and of catalogue entries' titles against the catalogue."""
     m = table(spark, d, "mitre")
-    names = kg(spark, d).select(F.col("o").alias("name")).unionByName(m.select(F.concat(ground.record_name(), F.lit(" (variant)")).alias("name"))).unionByName(m.select(ground.record_name().alias("name"))).where("name is not null")
-    return ground.ground_techniques(names, ground.technique_catalogue(m))
+    called = ground.records(m).select("name")
+    names = kg(spark, d).select(F.col("o").alias("name")).unionByName(called.select(F.concat("name", F.lit(" (variant)")).alias("name"))).unionByName(called).where("name is not null")
+    return ground.ground_techniques(names, ground.technique_records(m))
+
+
+def alias_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The inverse of the alias table: all aliases of each group."""
+    return ground.known_aliases(ground.alias_table(table(spark, d, "mitre")), "group").select("canonical", F.array_join("aliases", "|").alias("aliases"))
+
+
+def canonical_triples(spark: SparkSession, d: str) -> DataFrame:
+    return ground.canonicalized(kg(spark, d), ground.alias_table(table(spark, d, "mitre"))).select("seq", "s", "o")
+
+
+def grounded_triples(spark: SparkSession, d: str) -> DataFrame:
+    return ground.with_techniques(kg(spark, d), table(spark, d, "mitre")).select("seq", "s", "o", F.array_join("aids", "|").alias("aids"))
 
 
 def entity_map(spark: SparkSession, d: str) -> DataFrame:
@@ -104,21 +113,51 @@ _ENDS = "ends as (select st as t, s as n, seq, 0 as side, doc, chunk, status fro
 _NODE = "lower({t}) || ':' || translate(replace(lower(trim({n})), ' ', '_'), '()''\",;', '')"
 _CMP0 = "case when starts_with({0}, 'the ') then substr({0}, 5) else {0} end"
 _CMP = duck.strip("translate(case when starts_with(z, 'a ') then substr(z, 3) else z end, '()''\",;.-_', '')")
-_NAME = "coalesce(nullif(trim(name), ''), nullif(trim(title), ''))"
-_RK = "case {0} when 'intrusion-set' then 'group' when 'threat-actor' then 'group' when 'malware' then 'software' when 'tool' then 'software' end"
+_RK = "case kind when 'intrusion-set' then 'group' when 'threat-actor' then 'group' when 'malware' then 'software' when 'tool' then 'software' end"
 _AK = "case t when 'ThreatActor' then 'group' when 'Campaign' then 'group' when 'Malware' then 'software' when 'Tool' then 'software' when 'Software' then 'software' end"
-_ALIASES = f"""named as (select rec_id, coalesce({_RK.format('type')}, {_RK.format('object_type')}) as kind, {_NAME} as canonical, aliases from mitre),
-al as (select distinct rec_id, kind, canonical, lower(trim(alias)) as alias from (select rec_id, kind, canonical, unnest(list_concat([canonical], coalesce(aliases, []))) as alias from named) where kind is not null and canonical is not null),
+
+
+def _list(field: str) -> str:
+    return f"case json_type(c, '$.{field}') when 'ARRAY' then json_extract(c, '$.{field}[*]') else cast([] as json[]) end"
+
+
+def _objects(field: str) -> str:
+    """The objects of a list in contents after those of the column, as JSON."""
+    inner = f"list_filter(case json_type(c, '$.{field}') when 'OBJECT' then [json_extract(c, '$.{field}')] else {_list(field)} end, lambda x: json_type(x) = 'OBJECT')"
+    return f"list_concat(list_transform(list_filter(coalesce({field}, []), lambda x: x is not null), lambda x: to_json(x)), {inner})"
+
+
+def _alias(field: str) -> str:
+    return f"nullif(list_filter(list_transform({_list(field)}, lambda x: x ->> '$'), lambda x: x is not null), [])"
+
+
+_RECORDS = f"""rc0 as (select *, case when json_valid(contents) then case when json_type(contents) = 'OBJECT' then cast(contents as json) end end as c from mitre),
+rc as (select rec_id, coalesce(nullif(type, ''), nullif(object_type, '')) as kind, coalesce(nullif(trim(name), ''), nullif(trim(c ->> '$.name'), ''), nullif(trim(title), '')) as name, nullif(mitre_id, '') as mitre_id,
+  substr(coalesce(c ->> '$.description', ''), 1, 200) as description, coalesce(nullif(list_filter(coalesce(aliases, []), lambda x: x is not null), []), {_alias('aliases')}, {_alias('x_mitre_aliases')}, []) as aliases,
+  {_objects('external_references')} as refs, {_objects('kill_chain_phases')} as phases from rc0)"""
+_ALIASES = f"""{_RECORDS}, al as (select distinct rec_id, kind, canonical, lower(trim(alias)) as alias from (select rec_id, {_RK} as kind, name as canonical, unnest(list_concat([name], aliases)) as alias from rc) where kind is not null and canonical is not null),
 alias_table as (select kind, alias, canonical from (select *, row_number() over (partition by kind, alias order by rec_id desc) as k from al where alias is not null and alias <> '') where k = 1)"""
-_CATALOGUE = f"""cat0 as (select rec_id, coalesce(nullif(type, ''), nullif(object_type, '')) as kind, coalesce(nullif(mitre_id, ''), list_filter(external_references, lambda r: r.source_name = 'mitre-attack')[1].external_id) as technique_id,
-  {_NAME} as name, list_transform(list_filter(coalesce(kill_chain_phases, []), lambda p: p.kill_chain_name = 'mitre-attack'), lambda p: p.phase_name) as tactics from mitre),
-catalogue as (select * from (select *, row_number() over (partition by technique_id order by rec_id desc) as k from cat0 where (kind is null or kind = 'attack-pattern') and technique_id is not null and name is not null) where k = 1)"""
+_TECHNIQUES = f"""{_RECORDS}, tr as (select rec_id, coalesce(mitre_id, nullif(list_filter(refs, lambda r: r ->> '$.source_name' = 'mitre-attack')[1] ->> '$.external_id', '')) as technique_id, name, description,
+  list_transform(list_filter(phases, lambda p: p ->> '$.kill_chain_name' = 'mitre-attack'), lambda p: coalesce(p ->> '$.phase_name', '')) as tactics from rc where kind is null or kind = 'attack-pattern'),
+techniques as (select * from tr where technique_id is not null and name is not null),
+catalogue as (select * from (select *, row_number() over (partition by technique_id order by rec_id desc) as k from techniques) where k = 1)"""
 _AN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_CANONICAL = f"""{duck.KG}, {_ENDS}, {_ALIASES}, live as (select *, lower(n) as alias, {_AK} as kind from ends where status <> 'rejected'),
+first as (select t, alias, arg_min(n, seq * 2 + side) as spelled from live group by 1, 2), plain as (select t, alias, {duck.strip("regexp_replace(spelled, '" + duck.WS + "+', ' ', 'g')")} as p from first),
+canonical as (select seq, side, n, coalesce(a.canonical, {duck.mapped('lower(p)', schema.KNOWN_CASING, 'p')}) as canonical from live l join plain f on f.t = l.t and f.alias = l.alias left join alias_table a on a.kind = l.kind and a.alias = l.alias)"""
+_GROUND = f"""asked as (select name, lower(trim(name)) as low, {_AN.format('name')} as norm from names),
+lows as (select lower(name) as low, arg_max(technique_id, rec_id) as technique_id from techniques group by 1),
+lst as (select t_norm, arg_max(technique_id, rec_id) as technique_id, min(rec_id) as place from (select *, {_AN.format('name')} as t_norm from techniques) where t_norm <> '' group by 1),
+aw as (select name, norm, len(list_distinct(string_split(norm, ' '))) as n, unnest(list_distinct(string_split(norm, ' '))) as w from asked where norm <> ''),
+lw as (select *, len(list_distinct(string_split(t_norm, ' '))) as t_n, unnest(list_distinct(string_split(t_norm, ' '))) as w from lst),
+sc as (select name, 3 as level, cast(1 as double) as score, 0 as place, technique_id from asked join lows using (low) union all select name, 2, 1, place, technique_id from asked join lst on norm = t_norm
+  union all select name, 1, count(*) / (n + t_n - count(*)) as score, place, technique_id from aw join lw using (w) group by name, norm, n, technique_id, place, t_norm, t_n having count(*) / (n + t_n - count(*)) >= 0.6),
+found as (select name, technique_id, score from (select *, row_number() over (partition by name order by level desc, score desc, place) as k from sc) where k = 1)"""
 _FITS = " ".join(f"when ta in {listed(a)} and tb in {listed(b)} then '{r}|f' when tb in {listed(a)} and ta in {listed(b)} then '{r}|t'" for r, (a, b) in schema.TYPE_PAIRS.items())
 _PN = listed(schema.PRONOUNS)
 
 QUERIES = {f.__name__: f for f in (
-    relation_resolve, entity_type_resolve, name_forms, compound_split, alias_table, alias_resolve, technique_catalogue, technique_ground, entity_map, fuse_edges, edge_evidence,
+    relation_resolve, entity_type_resolve, name_forms, compound_split, alias_table, alias_lists, alias_resolve, canonical_triples, grounded_triples, technique_catalogue, technique_ground, entity_map, fuse_edges, edge_evidence,
     node_provenance, retention_rate, swap_aware_antijoin, guided_pairs, duplicate_candidates, pronoun_fill)}
 
 SQL = {
@@ -135,21 +174,22 @@ select t, n, {_NODE.format(t='t', n='n')} as node_id, {duck.strip("regexp_replac
 q as (select seq, case when ot in ('ThreatActor', 'Malware', 'Tool', 'Campaign', 'Organization', 'Location', 'Software', 'Technique') and (len(parts) >= 3 or (len(parts) = 2 and len(list_filter(parts, lambda x: len(string_split_regex(x, '\\s+')) > 6)) = 0)) then parts else [o] end as l from p)
 select seq, cast(i - 1 as integer) as i, l[i] as part from (select seq, l, unnest(range(1, len(l) + 1)) as i from q)""".lstrip()),
     "alias_table": f"with {_ALIASES} select * from alias_table",
-    "alias_resolve": f"""with {duck.KG}, {_ENDS}, {_ALIASES}, live as (select *, lower(n) as alias, {_AK} as kind from ends where status <> 'rejected'),
-first as (select t, alias, arg_min(n, seq * 2 + side) as spelled from live group by 1, 2)
-select seq, side, n as name, coalesce(a.canonical, {duck.strip("regexp_replace(spelled, '" + duck.WS + "+', ' ', 'g')")}) as canonical from live l join first f on f.t = l.t and f.alias = l.alias left join alias_table a on a.kind = l.kind and a.alias = l.alias""",
-    "technique_catalogue": f"with {_CATALOGUE} select technique_id, name, array_to_string(tactics, '|') as tactics from catalogue",
-    "technique_ground": f"""with {duck.KG}, {_CATALOGUE}, asked as (select distinct name, {_AN.format('name')} as norm from (select o as name from kg union all select {_NAME} || ' (variant)' from mitre union all select {_NAME} from mitre) where name is not null),
-lst as (select * from (select technique_id, rec_id, {_AN.format('name')} as t_norm, row_number() over (partition by {_AN.format('name')} order by rec_id desc) as kk from catalogue) where kk = 1 and t_norm <> ''),
-aw as (select name, norm, len(list_distinct(string_split(norm, ' '))) as n, unnest(list_distinct(string_split(norm, ' '))) as w from asked where norm <> ''),
-lw as (select technique_id, rec_id, t_norm, len(list_distinct(string_split(t_norm, ' '))) as t_n, unnest(list_distinct(string_split(t_norm, ' '))) as w from lst),
-sc as (select name, technique_id, rec_id, norm = t_norm as same, case when norm = t_norm then 1.0 else count(*) / (n + t_n - count(*)) end as score from aw join lw using (w) group by name, norm, n, technique_id, rec_id, t_norm, t_n)
-select name, technique_id, round(score, 6) as score from (select *, row_number() over (partition by name order by same desc, score desc, rec_id) as k from sc where score >= 0.6) where k = 1""",
+    "alias_lists": f"with {_ALIASES} select canonical, string_agg(alias, '|' order by alias) as aliases from alias_table where kind = 'group' and alias <> lower(canonical) group by 1",
+    "alias_resolve": f"with {_CANONICAL} select seq, side, n as name, canonical from canonical",
+    "canonical_triples": f"with {_CANONICAL} select k.seq, coalesce(a.canonical, k.s) as s, coalesce(b.canonical, k.o) as o from kg k left join canonical a on a.seq = k.seq and a.side = 0 left join canonical b on b.seq = k.seq and b.side = 1",
+    "technique_catalogue": f"with {_TECHNIQUES} select technique_id, name, description, array_to_string(tactics, '|') as tactics from catalogue",
+    "technique_ground": f"""with {duck.KG}, {_TECHNIQUES}, names as (select distinct name from (select o as name from kg union all select name || ' (variant)' from rc union all select name from rc) where name is not null), {_GROUND}
+select name, technique_id, round(score, 6) as score from found""",
+    "grounded_triples": f"""with {duck.KG}, {_TECHNIQUES}, names as (select s as name from kg where st = 'Technique' and status <> 'rejected' union select o from kg where ot = 'Technique' and status <> 'rejected'), {_GROUND},
+called as (select f.name, f.technique_id, c.name as called from found f join catalogue c using (technique_id)),
+j as (select k.seq, coalesce(a.called, k.s) as s, coalesce(b.called, k.o) as o, status, aids as own, list_filter(list_concat(aids, [a.technique_id, b.technique_id]), lambda x: x is not null) as l
+  from kg k left join called a on k.status <> 'rejected' and k.st = 'Technique' and a.name = k.s left join called b on k.status <> 'rejected' and k.ot = 'Technique' and b.name = k.o)
+select seq, s, o, array_to_string(case when status = 'rejected' then own else list_filter(l, lambda x, i: list_position(l, x) = i) end, '|') as aids from j""",
     "entity_map": with_kg(f""", {_ENDS}, live as (select *, {_NODE.format(t='t', n='n')} as node_id, concat_ws(':', doc, chunk) as mention, seq * 2 + side as pos from ends where status <> 'rejected'),
 sp as (select node_id, n, min(pos) as pos, arg_min(t, pos) as t from live group by 1, 2), f as (select node_id, arg_min(n, pos) as canonical_name, arg_min(t, pos) as type from sp group by 1)
 select f.node_id, canonical_name, type, (select count(distinct mention) from live l where l.node_id = f.node_id) as n_mentions,
   coalesce((select string_agg(n, ' | ' order by pos) from sp where sp.node_id = f.node_id and sp.n <> f.canonical_name), '') as aliases from f""".lstrip()),
-    "fuse_edges": with_kg("""select ks, rel, ko, arg_max(seq, r) as seq, count(*) as rows, count(distinct doc) as docs, round(least(1.0, max(conf) + cast(0.05 as double) * greatest(count(distinct doc) - 1, 0)), 6) as conf
+    "fuse_edges": with_kg("""select ks, rel, ko, arg_max(seq, r) as seq, count(*) as rows, count(distinct coalesce(doc, '')) as docs, round(least(1.0, max(conf) + cast(0.05 as double) * greatest(count(distinct coalesce(doc, '')) - 1, 0)), 6) as conf
 from (select lower(s) as ks, rel, lower(o) as ko, seq, doc, conf, row_number() over (partition by lower(s), rel, lower(o) order by conf, seq desc) as r from kg where status <> 'rejected' and conf >= 0.5) group by 1, 2, 3"""),
     "edge_evidence": with_kg(""", t as (select lower(s) as ks, rel, lower(o) as ko, ev as evidence, min(seq) as f from kg where status <> 'rejected' and ev <> '' group by 1, 2, 3, 4)
 select ks, rel, ko, cast(row_number() over (partition by ks, rel, ko order by f) as integer) as position, evidence from t""".lstrip()),

@@ -91,19 +91,19 @@ def matcher_agreement(spark: SparkSession, d: str) -> DataFrame:
     return stats.agreement(items.select("p.protocol", "p.judge", "type", "human"))
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Predictions (raw and repaired deliveries) and gold (validated ones), keyed."""
     rows = kg(spark, d)
     return matching.keyed(rows.where("status in ('raw', 'repaired')")), matching.keyed(rows.where("status = 'validated'"))
 
 
 def exact_match_prf(spark: SparkSession, d: str) -> DataFrame:
-    return matching.micro(matching.exact_by_document(*_sides(spark, d)))
+    return matching.micro(matching.exact_by_document(*sides(spark, d)))
 
 
 def pooled_match_prf(spark: SparkSession, d: str) -> DataFrame:
     """The same matcher with all documents pooled: matches across documents count too."""
-    pooled = [x.withColumn("doc", F.lit("all")) for x in _sides(spark, d)]
+    pooled = [x.withColumn("doc", F.lit("all")) for x in sides(spark, d)]
     return matching.micro(matching.exact_by_document(*pooled))
 
 
@@ -120,14 +120,14 @@ def removal_decomposition(spark: SparkSession, d: str) -> DataFrame:
 
 def _covered(protocol: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return matching.covered(*_sides(spark, d), protocol)
+        return matching.covered(*sides(spark, d), protocol)
 
     return run
 
 
 def _greedy(matcher: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return matching.micro(matching.greedy_by_document(*_sides(spark, d), matcher))
+        return matching.micro(matching.greedy_by_document(*sides(spark, d), matcher))
 
     return run
 
@@ -222,6 +222,9 @@ tps as (select doc, max(len(used)) as tp from walk group by 1)
 _ENDS2 = "ed as (select distinct doc, st || '::' || s as a, ot || '::' || o as b from kg where status <> 'rejected' and doc is not null)"
 _CC = f"{_ENDS2}, adj as (select doc, a, b from ed union select doc, b, a from ed), reach(doc, n, m) as (select distinct doc, a, a from adj union select r.doc, r.n, adj.b from reach r join adj on adj.doc = r.doc and adj.a = r.m), cc as (select r.doc, n as node, min(m) as component, (select count(distinct b) from adj where adj.doc = r.doc and adj.a = n) as degree from reach r group by 1, 2)"
 
+#: The components of documents with their sizes and main nodes (t), after ``duck.KG`` in a recursive query.
+MAIN = f"{_CC}, t as (select doc, component, count(*) as size, arg_min(node, r) as main_node from (select *, row_number() over (partition by doc, component order by degree desc, node) as r from cc) group by 1, 2)"
+
 QUERIES = {f.__name__: f for f in (
     quality_metrics, stix_compliance, stix_violations, normalization_loss, structure_metrics, name_hygiene, cross_doc_coverage, corpus_histogram, taxonomy_summary, taxonomy_crosstab,
     protocol_ranks, rank_reversals, pass_variance, effect_2x2, matcher_agreement, exact_match_prf, pooled_match_prf, removal_decomposition, doc_components, main_nodes, graph_metrics, simple_digraph)}
@@ -247,7 +250,7 @@ SQL = {
     "pooled_match_prf": f"with {KEYED} {_micro(_exact('status in (' + duck.lit('raw') + ', ' + duck.lit('repaired') + ')', duck.lit('all')))}",
     "removal_decomposition": f"with {KEYED}, x as (select sum(tp) as tp, sum(n_pred) as n from {_exact('status in (' + duck.lit('raw') + ', ' + duck.lit('repaired') + ')')}), y as (select sum(tp) as tp, sum(n_pred) as n from {_exact('status = ' + duck.lit('raw'))}), z as (select cast(greatest(0, x.tp - y.tp) as bigint) as lost_tp, cast(greatest(0, x.n - x.tp - (y.n - y.tp)) as bigint) as dropped_fp from x, y) select lost_tp, dropped_fp, {_share('dropped_fp', '(lost_tp + dropped_fp)')} as rate from z",
     "doc_components": f"with recursive {duck.KG}, {_CC} select * from cc",
-    "main_nodes": f"with recursive {duck.KG}, {_CC}, t as (select doc, component, count(*) as size, arg_min(node, r) as main_node from (select *, row_number() over (partition by doc, component order by degree desc, node) as r from cc) group by 1, 2) select *, cast(row_number() over (partition by doc order by size desc, component) as integer) as rank from t",
+    "main_nodes": f"with recursive {duck.KG}, {MAIN} select *, cast(row_number() over (partition by doc order by size desc, component) as integer) as rank from t",
     "graph_metrics": with_kg(f", e as (select count(*) as edges, count(*) filter (status in ('validated', 'repaired')) as accepted, count(*) filter (status = 'rejected') as rejected, round(avg(case when ev = '' then 0 else len(string_split(ev, ' | ')) end), 6) as evidence from kg), n as (select count(*) as nodes, count(*) filter (not linked) as isolated from (select n, max(status in ('validated', 'repaired')) as linked from (select lower(s) as n, status from kg union all select lower(o), status from kg) group by 1)) select nodes, edges, accepted, rejected, isolated, evidence, {_share('accepted', 'edges')} as accepted_rate, {_share('isolated', 'nodes')} as isolated_rate, round(accepted / (nodes * (nodes - 1)), 12) as density from e, n"),
     "simple_digraph": with_kg("select lower(s) as src, lower(o) as dst, arg_max(rel, seq) as rel, count(*) as parallel from kg where status in ('validated', 'repaired') group by 1, 2"),
 } | {f"edge_covered_{p}": f"with {KEYED} select seq from pred p where exists (select 1 from gold g where g.doc = p.doc and {t})" for p, t in _TEST.items()} | {f"greedy_f1_{p}": _greedy_sql(t) for p, t in _TEST.items()}

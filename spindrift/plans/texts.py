@@ -58,7 +58,20 @@ _WORDS = "list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Z
 
 QUERIES = {f.__name__: f for f in (sentences, focus_sentences, chunks, evidence_backfill, fewshot_topk, nearest_vectors, leader_clusters, event_windows)}
 
+_PLAIN = duck.strip("text")
+#: Sentences before a capital or a digit, cut where an end mark and white space precede one.
+_FOCUS_SENT = f"list_filter(list_transform(string_split(regexp_replace({_PLAIN}, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {duck.strip('x')}), lambda x: x <> '')"
+_FOCUS_SCORE = "case when length(x) < 45 then -1 else 0 end + " + " + ".join(f"case when regexp_matches(lower(x), {duck.lit(p)}) then {n} else 0 end" for n, p in segment.FOCUS)
+_ALL_SENT = f"list_transform(string_split(regexp_replace({duck.strip('c.text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x)"
+_HELD = "contains(lower(x), lower({0}))"
+
 SQL = {
+    "focus_sentences": f"""with s as (select doc_id, l[i] as x, i from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, {_FOCUS_SENT} as l from documents where text is not null))),
+r as (select doc_id, x, i, {_FOCUS_SCORE} as score from s), k as (select *, row_number() over (partition by doc_id order by score desc, i) as n, max(score) over (partition by doc_id) as best from r)
+select doc_id, count(*) as n_sentences, string_agg(x, chr(10) order by i) as text from k where case when best > 0 then n <= 6 and score > 0 else i <= 3 end group by 1""",
+    "evidence_backfill": f"""with c as (select chunk_id, min(text) as text from chunks where text is not null group by 1), t as (select seq, subject, object, source_chunk_id from triples where coalesce(trim(evidence_text), '') = '' and subject is not null and object is not null),
+p as (select seq, subject as s, object as o, {_ALL_SENT} as l from t join c on c.chunk_id = t.source_chunk_id)
+select seq, {duck.strip(f"coalesce(list_filter(l, lambda x: {_HELD.format('s')} and {_HELD.format('o')})[1], list_filter(l, lambda x: {_HELD.format('s')} or {_HELD.format('o')})[1], '')")} as evidence from p""",
     "sentences": f"select doc_id, cast(len(s) as integer) as n, cast(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) as integer) as chars from (select doc_id, {_SENT} as s from documents where text is not null)",
     "fewshot_topk": f"""with q as (select doc_id as q, unnest(ws) as w, len(ws) as qn from (select doc_id, {_WORDS} as ws from documents where doc_id % 100 = 0 and text is not null)),
 e as (select item_id as e, len, unnest(ws) as w, len(ws) as en from (select item_id, length(text) as len, {_WORDS} as ws from eval_items)),

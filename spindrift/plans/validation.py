@@ -99,7 +99,7 @@ def _guess(c: str) -> str:
         f"case when {_m(c, '(?i)CVE-[0-9]{4}-[0-9]+')} then 'Vulnerability' when {_m(c, ids.IPV4)} or {_m(c, ids.HASH)} or {_m(low, ids.PLAIN_DOMAIN)} or {_m(low, ids.FILE_NAME)} then 'IOC'"
         f" when {_m(f'trim({c})', '^T[0-9]{4}(?:[.][0-9]{3})?$')} then 'Technique' when {low} in {listed(schema.TECHNIQUE_NAMES)} or {any_of(low, long)} or {any_of(low, schema.CRYPTO_HINTS)} then 'Technique'"
         f" when contains({low}, 'extension') or starts_with({low}, '.') then 'File' when {any_of(low, schema.CAMPAIGN_HINTS)} then 'Campaign' when {any_of(low, schema.ACTOR_HINTS)} then 'ThreatActor'"
-        f" when len(list_intersect(string_split_regex({low}, '\\s+'), [{listed(schema.SOFTWARE_WORDS)[1:-1]}])) > 0 then 'Software' end"
+        f" when len(list_intersect(string_split_regex({low}, '\\s+'), [{listed(ids.SOFTWARE_WORDS)[1:-1]}])) > 0 then 'Software' end"
     )
 
 
@@ -141,7 +141,7 @@ v17 as (select *, r13 is null and ev <> '' and not s_in and not o_in as neither,
 v18 as (select *, case when neither then greatest(c3 - 0.3, 0.1) when one_in then greatest(c3 - 0.1, 0.1) else c3 end as c4 from v17),
 v19 as (select *, case when r13 is not null then r13 when c4 <= 0.15 then 'confidence_lowered' end as reason,
   s_ch or o_ch or (s_open and s_guess is not null) or (o_open and o_guess is not null) or shadow or disclosed or swap as fixed from v18),
-validated as (select seq, doc, s11 as s, st11 as st, rel8 as rel, o11 as o, ot11 as ot, c4 as conf, reason, case when reason is not null then 'rejected' when fixed then 'repaired' else 'validated' end as status,
+validated as (select seq, doc, chunk, ev, s11 as s, st11 as st, rel8 as rel, o11 as o, ot11 as ot, c4 as conf, reason, case when reason is not null then 'rejected' when fixed then 'repaired' else 'validated' end as status,
   case when r13 is null then good else aids end as aids,
   list_filter([
     case when r1 is not null then 'empty_field|rejected' end, case when s_ch then 'repaired_identifier|repaired' end, case when r1 is null and s_named and s_cve is null then 'malformed_identifier|flagged' end,
@@ -210,6 +210,26 @@ _SCORED = f"""scored as (select *, round(cast(0.35 as double) * case when ev = '
   + cast(0.15 as double) * (case st when 'Other' then 0.0 else 0.5 end + case ot when 'Other' then 0.0 else 0.5 end), 4) as score from kg)"""
 _WEIGHT = "case rel " + " ".join(f"when '{r}' then cast({w} as double)" for r, w in schema.SALIENCE.items()) + " end"
 
+_REPAIRED = f"""r1 as (select *, {_WRONG} as wrong, case when rel = 'uses' then 'uses' when rel = 'drops' then case when ot in {_CARRIED} then 'drops' else 'uses' end
+  when ev <> '' and {_has('associated_with')} then 'associated_with' end as weak,
+  s <> '' and o <> '' and contains(lower(ev), {_squash('s')}) and contains(lower(ev), {_squash('o')}) as named from kg),
+r2 as (select *, case when status = 'rejected' or (ev <> '' and not named) then rel when wrong is not null and wrong <> rel then wrong when rel = 'associated_with' then rel
+  when rel <> 'related_to' then coalesce(weak, rel) else coalesce({_EVIDENCE}, {_TYPES}, rel) end as better from r1),
+repaired as materialized (select * exclude (better) replace (better as rel, case when better <> rel and status = 'validated' then 'repaired' else status end as status) from r2)"""
+_SALIENT = f"""active as (select * replace (coalesce(doc, chr(1) || seq) as doc), lower(s) as sl, lower(o) as ol from kg where status <> 'rejected'),
+freq as (select doc, name, count(*) as n from (select doc, sl as name from active union all select doc, ol from active) group by 1, 2), top as (select doc, max(n) as m from freq group by 1),
+scored as (select a.seq, a.doc, a.status, round(cast(0.35 as double) * {_WEIGHT} + cast(0.30 as double) * ((f.n + g.n) / 2 / m) + cast(0.15 as double) * case when length(ev) > 0 then least(length(ev) / 200, 1.0) else 0.3 end + cast(0.20 as double) * conf, 9) as sal
+  from active a join freq f on f.doc is not distinct from a.doc and f.name = a.sl join freq g on g.doc is not distinct from a.doc and g.name = a.ol join top t on t.doc is not distinct from a.doc),
+kept as materialized (select *, row_number() over (partition by doc order by sal desc, seq) as k from scored)"""
+_PN = listed(schema.PRONOUNS)
+_NAMED = lambda n, t, kinds: f"case when lower({n}) not in {_PN} and {t} in {kinds} then {n} end"
+_PUT = lambda n, t: f"case when lower({n}) in {_PN} then coalesce(case when {t} = 'ThreatActor' then a when {t} in ('Malware', 'Tool') then m end, a, m, {n}) else {n} end"
+_FILLED = f"""pn as (select *, coalesce({_NAMED('o', 'ot', "('ThreatActor', 'Campaign')")}, {_NAMED('s', 'st', "('ThreatActor', 'Campaign')")}) as na, coalesce({_NAMED('o', 'ot', "('Malware', 'Tool')")}, {_NAMED('s', 'st', "('Malware', 'Tool')")}) as nm from kg),
+pl as (select *, last_value(na ignore nulls) over p as a, last_value(nm ignore nulls) over p as m from pn window p as (partition by coalesce(chunk, chr(1) || seq) order by seq rows between unbounded preceding and current row)),
+filled as materialized (select * exclude (na, nm, a, m) replace ({_PUT('s', 'st')} as s, {_PUT('o', 'ot')} as o) from pl)"""
+#: The validator without a threshold, over the repaired rows.
+_CHECKED = VALIDATED[VALIDATED.index("v1 as (") :].replace("from kg", "from repaired").replace("c4 <= 0.15", "false").replace("validated as (", "validated as materialized (")
+
 QUERIES = {
     "validate_core": validate_core, "validate_full": validate_full, "validation_log": validation_log, "pipeline_ablation": pipeline_ablation, "pipeline_nodes": pipeline_nodes, "pipeline_edges": pipeline_edges, "dedup_keep_best": dedup_keep_best, "relation_repair": relation_repaired,
     "confidence_rescore": confidence_rescore, "saliency_topk": saliency_topk, "identifiers": identifiers,
@@ -220,18 +240,13 @@ SQL = {
     "validate_full": f"with {VALIDATED}\nselect seq, s, st, rel, o, ot, round(conf, 6) as conf, status, reason, cast(len(aids) as integer) as n_aids, cast(len(log) as integer) as n_log from validated",
     "validation_log": f"with {VALIDATED}\nselect split_part(e, '|', 1) as category, split_part(e, '|', 2) as action, count(*) as n, count(distinct doc) as docs from (select doc, unnest(log) as e from validated) group by 1, 2",
     "dedup_keep_best": with_kg(f"select seq, status from ({_BEST.format('kg')})"),
-    "relation_repair": with_kg(f""", r1 as (select *, {_WRONG} as wrong, case when rel = 'uses' then 'uses' when rel = 'drops' then case when ot in {_CARRIED} then 'drops' else 'uses' end
-  when ev <> '' and {_has('associated_with')} then 'associated_with' end as weak,
-  s <> '' and o <> '' and contains(lower(ev), {_squash('s')}) and contains(lower(ev), {_squash('o')}) as named from kg),
-r2 as (select seq, rel, status, case when status = 'rejected' or (ev <> '' and not named) then rel when wrong is not null and wrong <> rel then wrong when rel = 'associated_with' then rel
-  when rel <> 'related_to' then coalesce(weak, rel) else coalesce({_EVIDENCE}, {_TYPES}, rel) end as better from r1)
-select seq, better as rel, case when better <> rel and status = 'validated' then 'repaired' else status end as status from r2""".lstrip()),
+    "relation_repair": f"with {duck.KG}, {_REPAIRED}\nselect seq, rel, status from repaired",
+    "pipeline_ablation": f"""with {duck.KG}, {_FILLED}, {_REPAIRED.replace('from kg', 'from filled')}, {_CHECKED}, best as materialized ({_BEST.format('validated')}),
+{_SCORED.replace('from kg', 'from best')}, pruned as materialized (select * replace (case when status <> 'rejected' and score < 0.6 then 'rejected' else status end as status, case when status <> 'rejected' and score >= 0.6 then score else conf end as conf) from scored),
+{_SALIENT.replace('from kg', 'from pruned').replace('scored as', 'sals as').replace('from scored', 'from sals')}
+select 'none' as arm, status, count(*) as n from kg group by all union all select 'P+R+V', status, count(*) from best group by all
+union all select 'P+R+V+C+S', status, count(*) from (select status from kept where k <= 5 union all select status from pruned where status = 'rejected') group by all""",
     "confidence_rescore": f"with {duck.KG}, {_SCORED}\nselect seq, score, case when status <> 'rejected' and score < 0.6 then 'rejected' else status end as status, round(case when status <> 'rejected' and score >= 0.6 then score else conf end, 6) as conf from scored",
-    "saliency_topk": with_kg(f""", active as (select * replace (coalesce(doc, chr(1) || seq) as doc), lower(s) as sl, lower(o) as ol from kg where status <> 'rejected'),
-freq as (select doc, name, count(*) as n from (select doc, sl as name from active union all select doc, ol from active) group by 1, 2), top as (select doc, max(n) as m from freq group by 1),
-scored as (select a.seq, a.doc, a.status, round(cast(0.35 as double) * {_WEIGHT} + cast(0.30 as double) * ((f.n + g.n) / 2 / m) + cast(0.15 as double) * case when length(ev) > 0 then least(length(ev) / 200, 1.0) else 0.3 end + cast(0.20 as double) * conf, 9) as sal
-  from active a join freq f on f.doc is not distinct from a.doc and f.name = a.sl join freq g on g.doc is not distinct from a.doc and g.name = a.ol join top t on t.doc is not distinct from a.doc)
-select seq, status, round(sal, 6) as salience from (select *, row_number() over (partition by doc order by sal desc, seq) as k from scored) where k <= 5
-union all select seq, status, null from kg where status = 'rejected'""".lstrip()),
+    "saliency_topk": f"with {duck.KG}, {_SALIENT}\nselect seq, status, round(sal, 6) as salience from kept where k <= 5 union all select seq, status, null from kg where status = 'rejected'",
     "identifiers": with_kg(f"select o, {_refang('o')} as refanged, {_subtype('o')} as subtype, {_cve('o')} as cve, {_ipv4('o')} as ipv4, {_m('trim(o)', ids.ATTACK_ID)} as attack_id, {_guess('o')} as guess, {_normal('o')} as normal from (select distinct o from kg)"),
 }

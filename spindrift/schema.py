@@ -69,17 +69,39 @@ COMPATIBLE_WIDE = COMPATIBLE + [("attributed_to", "drops"), ("related_to", "miti
 #: Types that count as one in scoring.
 TYPE_CLASSES = {"Tool": "Tool_SW_Mal", "Software": "Tool_SW_Mal", "Malware": "Tool_SW_Mal", "Technique": "Technique", "Tactic": "Technique", "Infrastructure": "Infra_IOC", "IOC": "Infra_IOC", "File": "Infra_IOC"}
 
-#: Relations written freely whose wording the stems below would misread.
+#: The wordings of free relations that are known as such.
 RELATION_WORDINGS = {
-    "uses": ["executes", "installs", "installed", "runs on", "allows attacker to", "developed in", "hired people specialized in", "enables", "allows", "intended to achieve", "can execute"],
-    "targets": ["impersonated", "impersonates", "stole", "stolen", "included sectors", "modifies", "modified", "conducts", "conducted"],
-    "exploits": ["affected by"],
-    "delivers": ["attempted to deploy", "could propagate", "propagates"],
-    "communicates_with": ["sends", "receives", "calls back to"],
-    "attributed_to": ["is behind", "created", "developed", "maintained by", "was released by", "released by", "from"],
-    "associated_with": ["is connected to", "potentially connected to", "overlaps with", "shares similarities with", "found", "analyzed", "monitors", "investigated", "disclosed", "has", "has been active since", "is known for"],
-    "variant_of": ["is", "is a"],
-    "located_in": ["resided in", "operates in", "occurred in"],
+    "uses": [
+        "uses", "use", "used", "is used by", "has started using", "leverages", "leveraged", "are using", "began using", "executes", "installs", "installed", "runs on", "switched to",
+        "attempted to use", "is written in", "written in", "developed in", "built with", "coded in", "launches", "launched", "utilizes", "employs", "employed", "used by",
+        "hired people specialized in", "enables", "allows", "allows attacker to", "intended to achieve", "can perform", "can execute", "performs", "provides", "is used for", "used for", "was used by",
+        "operates",
+    ],
+    "targets": [
+        "targets", "target", "targeted", "has targeted", "are targeting", "is targeting", "began targeting", "is attacking", "attacked", "attempts to stop", "attempts to delete", "stops", "deletes",
+        "encrypts", "encrypted", "steals", "exfiltrates", "scans", "infects", "compromised", "compromises", "affects", "affected", "impacts", "impacted", "impersonated", "impersonates", "stole",
+        "stolen", "included sectors", "modifies", "modified", "conducts", "conducted", "breached", "focuses on", "focused on", "collects", "harvests", "captures",
+    ],
+    "exploits": [
+        "exploits", "exploit", "exploited", "exploiting", "are exploiting", "is exploiting", "have been exploiting", "attempt to exploit", "attempted to exploit", "abuses", "abused",
+        "takes advantage of", "affected by", "has vulnerability", "is a vulnerability in", "exploited vulnerability in", "has exploited", "has been exploited",
+    ],
+    "delivers": ["delivers", "delivered", "deliver", "distribute", "distributed via", "distributed through", "attempted to deploy", "could propagate", "propagates"],
+    "communicates_with": ["communicates_with", "communicates with", "connects to", "sends", "receives", "contacts", "beacons to", "calls back to", "resolves to"],
+    "drops": ["drops", "dropped", "deploys", "deployed", "downloads", "downloaded", "downloads and installs", "loads", "loaded", "is deployed by", "was deployed"],
+    "attributed_to": [
+        "attributed to", "attributed_to", "is attributed to", "is behind", "is linked to", "linked to", "created", "created by", "developed by", "operated by", "maintained by", "was released by",
+        "released by", "from", "is responsible for", "responsible for", "developed", "authored",
+    ],
+    "associated_with": [
+        "associated with", "associated_with", "is associated with", "is connected to", "overlaps with", "shares similarities with", "is also known as", "also known as", "observed", "discovered",
+        "identified", "found", "detected", "reported", "analyzed", "tracked", "monitors", "investigated", "is tracked as", "tracked as", "disclosed", "includes", "potentially connected to", "include",
+        "contain", "contains", "has", "has been active since", "uncovered", "released", "released joint statement regarding", "include those manufactured by", "has been observed", "was observed",
+        "is known for", "published", "issued", "warned about",
+    ],
+    "variant_of": ["variant of", "variant_of", "is a type of", "is successor of", "rebranded as", "is", "is a", "is a variant of", "had rebrands", "is classified as", "described as"],
+    "located_in": ["located in", "located_in", "is based in", "are located in", "resided in", "hosted on", "hosted in", "operates in", "based in", "occurred in", "is located in"],
+    "mitigated_by": ["mitigated by", "mitigated_by", "patched", "fixes", "addresses", "patched in", "recommended", "advises"],
 }
 #: Stems of free relations in the order in which they are tried.
 RELATION_STEMS = [
@@ -141,20 +163,37 @@ SALIENCE = {
     "located_in": 0.7, "associated_with": 0.5, "related_to": 0.3,
 }
 
-#: What makes an untyped name a technique, a file, a campaign, an actor or software.
+#: Names of techniques, which make an untyped name one.
 TECHNIQUE_NAMES = [
     "credential dumping", "spear phishing", "spearphishing", "lateral movement", "privilege escalation", "dll sideloading", "dll side-loading", "dll injection", "process injection",
     "command and control", "data exfiltration", "keylogging", "screen capture", "brute force", "pass the hash", "pass the ticket", "phishing", "watering hole", "supply chain", "code signing",
     "obfuscation", "rootkit", "living off the land", "lolbin", "registry modification", "scheduled task", "persistence", "defense evasion", "initial access", "execution", "discovery",
     "collection", "impact", "resource development", "social engineering", "drive-by compromise", "exploit public-facing",
 ]
+#: Parts of names of techniques of encryption.
 CRYPTO_HINTS = ["aes", "rsa", "ctr", "cbc", "gcm", "encryption", "cipher", "key exchange"]
+#: Parts of names of campaigns.
 CAMPAIGN_HINTS = ["campaign", "operation", "project"]
+#: Parts of names of actors.
 ACTOR_HINTS = ["apt", "group", "gang", "hacker", "team", "bear", "panda", "kitten", "spider", "typhoon", "sandworm", "lazarus"]
-SOFTWARE_WORDS = [
-    "windows", "linux", "macos", "mac", "os", "ios", "android", "chrome", "firefox", "safari", "edge", "opera", "microsoft", "office", "outlook", "exchange", "sharepoint",
+#: Software and platforms; a name that shares a word with one of them is software.
+SOFTWARE_NAMES = [
+    "windows", "linux", "macos", "mac os", "ios", "android", "chrome", "firefox", "safari", "edge", "opera", "microsoft office", "outlook", "exchange", "sharepoint",
     "python", "java", "rust", "c++", "c#", ".net", "vmware", "citrix", "oracle", "sap", "cisco", "adobe", "wordpress", "apache", "nginx", "iis",
 ]
+#: Further words in evidence that decide between relations.
+EXPLOITED_HINTS = ["exploit", "abuse", "attack", "compromise"]
+FOUND_HINTS = ["discover", "found", "report", "analyz", "identif", "observ", "track"]
+TIED_HINTS = ["linked", "tied", "connected", "operated", "backed"]
+WIELDED_HINTS = ["deploy", "wield", "operate"]
+#: Names in the spelling they are known by.
+KNOWN_CASING = {
+    "cobalt strike": "Cobalt Strike", "mimikatz": "Mimikatz", "metasploit": "Metasploit", "emotet": "Emotet", "trickbot": "TrickBot", "ryuk": "Ryuk", "conti": "Conti", "lockbit": "LockBit",
+    "revil": "REvil", "darkside": "DarkSide", "blackcat": "BlackCat", "alphv": "ALPHV", "blackmatter": "BlackMatter", "ragnarlocker": "RagnarLocker", "wannacry": "WannaCry", "notpetya": "NotPetya",
+    "stuxnet": "Stuxnet", "lazarus": "Lazarus Group", "lazarus group": "Lazarus Group", "apt28": "APT28", "apt29": "APT29", "apt41": "APT41", "fin7": "FIN7", "fin11": "FIN11", "fin12": "FIN12",
+    "sandworm": "Sandworm", "turla": "Turla", "kimsuky": "Kimsuky", "powershell": "PowerShell", "psexec": "PsExec", "bloodhound": "BloodHound", "nmap": "Nmap", "windows": "Windows", "linux": "Linux",
+    "macos": "macOS", "exchange": "Microsoft Exchange", "microsoft exchange": "Microsoft Exchange",
+}
 #: Words in evidence that show a vulnerability was disclosed, not exploited.
 DISCLOSURE_HINTS = ["disclos", "reported", "tracked as", "research", "researchers", "discovered", "identified", "observed"]
 
@@ -162,13 +201,13 @@ DISCLOSURE_HINTS = ["disclos", "reported", "tracked as", "research", "researcher
 HINTS = {
     "uses": ["used", "using", "leverag", "employ", "written in", "built with", "utiliz", "execut", "ran ", "runs ", "running", "psexec", "powershell", "cobalt strike"],
     "exploits": ["exploit", "abuse", "vulnerability", "cve-", "take advantage", "zero-day", "0-day"],
-    "targets": ["target", "victim", "against", "encrypt", "steal", "exfiltrat", "compromis", "affect", "attack", "infect", "breach", "intrusion into", "directed at", "stop", "shut", "disabl", "wipe", "destroy", "delet", "disrupt", "lock", "render", "hit "],
+    "targets": ["target", "victim", "against", "encrypt", "steal", "exfiltrat", "compromis", "affect", "attack", "infect", "breach", "intrusion into", "directed at", "stop", "shut", "disabl", "wipe", "destroy", "delet", "disrupt", "lock", "render", "hit ", "victimized", "victims in", "targets in"],
     "delivers": ["deliver", "distribut", "payload", "dropper", "sent", "propagat", "spread", "phish"],
-    "drops": ["drop", "download", "deploy", "install", "load", "write to disk", "side-load"],
+    "drops": ["drop", "download", "deploy", "install", "load", "write to disk", "side-load", "sideload"],
     "communicates_with": ["communicat", "beacon", "contact", "connect", "c2", "command and control", "callback", "phone home", "resolv"],
     "attributed_to": ["attribut", "linked to", "behind", "operated by", "created by", "developed by", "responsible for", "traced to", "associated with the group"],
     "located_in": ["located in", "based in", "hosted in", "operates in", "originat"],
     "mitigated_by": ["patch", "fix", "mitigat", "address", "remediat", "update"],
     "associated_with": ["linked to", "associated with", "connected to", "related to", "observed", "seen", "discovered", "confirmed", "classified", "described as"],
-    "variant_of": ["variant", "family", "type of", "rebrand", "successor", "evolved from", "fork of", "based on", "is a ", "classified as", "categorized as", "form of", "known as", "also called", "renamed", "previously known", "formerly"],
+    "variant_of": ["variant", "family", "type of", "rebrand", "successor", "evolved from", "fork of", "based on", "is a ", "classified as", "categorized as", "form of", "known as", "also called", "renamed", "rebranded", "previously known", "formerly"],
 }

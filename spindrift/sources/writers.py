@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.quality import taxonomy
+from spindrift.sources.responses import parsed
+
 ACCEPTED = ["validated", "repaired"]
 
 
@@ -31,3 +34,22 @@ def write_graph(entities: DataFrame, triples: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").json(f"{path}/edges")
     counts = edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(entities.agg(F.count(F.lit(1)).alias("nodes")))
     counts.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def triple_rows(triples: DataFrame) -> DataFrame:
+    """The eleven columns under which triples of a run are kept."""
+    return triples.select("event_id", "subject", "subject_type", "relation", "object", "object_type", "evidence_text", "source_doc_id", "confidence", "validation_status", "rejection_reason")
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """``log`` (category, action and others) as JSON lines below ``path``/log, and its summary by category,
+    by action and in all below ``path``/summary."""
+    log.write.mode("overwrite").json(f"{path}/log")
+    taxonomy(log).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def unreadable(answers: DataFrame) -> DataFrame:
+    """chunk_id made fit for a file name, prompt and response of the answers that give no triple: what is
+    put aside for another look."""
+    failed = answers.where(F.coalesce(F.size(parsed(F.col("response"))), F.lit(0)) <= 0)
+    return failed.select(F.regexp_replace("chunk_id", "[^A-Za-z0-9_.-]+", "_").alias("chunk_id"), "prompt", "response")

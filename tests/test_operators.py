@@ -10,15 +10,7 @@ from pyspark.sql import functions as F
 from spindrift import pipeline
 from spindrift.operators import fuse, graphs, matching, nested, pairs, retrieve, salience, segment, skew, validate
 from spindrift.plans.base import graph_triples
-
-KG = "seq long, doc string, chunk string, s string, st string, rel string, o string, ot string, ev string, conf double, status string, aids array<string>"
-
-
-def kg(spark, *rows):
-    full = [dict(seq=i, doc="d", chunk="c", s="Fox", st="Malware", rel="uses", o="Nmap", ot="Tool", ev="Fox uses Nmap", conf=0.9, status="raw", aids=[]) | r for i, r in enumerate(rows)]
-    names = [c.split()[0] for c in KG.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in full], KG)
-
+from tests_kg import kg
 
 def test_graph_triples_nulls(spark):
     schema = "seq long, subject string, subject_type string, relation string, object string, object_type string, evidence_text string, source_doc_id string, source_chunk_id string, attack_ids array<string>, confidence double, validation_status string, s int"
@@ -69,13 +61,25 @@ def test_duplicate_candidates(spark):
 
 
 def test_hot_keys_and_lookup(spark):
-    rows = spark.createDataFrame([(1, "h")] * 60 + [(2, "a"), (3, None), (4, "zz")], "i int, k string")
-    counts = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    hot = skew.hot_keys(counts, "k", parts=4, least=1)
-    assert [r.k for r in hot.collect()] == ["h"]
-    entries = spark.createDataFrame([("h", 10), ("a", 20)], "k string, v int")
-    assert skew.lookup(rows, entries, "k", hot).count() == 61
-    assert skew.lookup(rows, entries, "k", hot, "left").count() == 63
+    rows = spark.createDataFrame([(i, "h") for i in range(60)] + [(i, "b") for i in range(60, 69)] + [(80, "a"), (81, None), (82, None), (84, "zz")], "i int, k string")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = skew.hot_keys(counts, "k", most=8)
+    assert {(r.k, r.parts) for r in hot.collect()} == {("h", 8), ("b", 2)}
+    entries = spark.createDataFrame([("h", 10), ("a", 20), ("b", 30)], "k string, v int")
+    found = skew.lookup(rows, entries, "k", hot, ["i"])
+    assert sorted((r.i, r.v) for r in found.collect()) == [(i, 10) for i in range(60)] + [(i, 30) for i in range(60, 69)] + [(80, 20)]
+    assert sorted(found.columns) == ["i", "k", "v"]
+    left = {r.i: r.v for r in skew.lookup(rows, entries, "k", hot, ["i"], "left").collect()}
+    assert len(left) == rows.count() and left[81] is None and left[84] is None and left[5] == 10
+
+
+def test_a_key_of_many_rows_is_split(spark):
+    """No task of the lookup gets more than a few times ``most`` rows of one key, in whatever share it is."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 250 < 249, F.concat(F.lit("k"), F.col("id") % 3)).otherwise("rare").alias("k"))
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = skew.hot_keys(counts, "k", most=100)
+    joined = skew.lookup(rows, counts.withColumnRenamed("n", "v"), "k", hot, ["id"])
+    assert joined.count() == 4000 and {r.parts for r in hot.collect()} == {14}
 
 
 # nested records
@@ -256,7 +260,8 @@ def test_graph_resolves_names(spark):
     assert [(done[i].s, done[i].o, done[i].aids) for i in (1, 2, 4)] == [("APT29", "Spear Phishing", ["T1", "T1566"]), ("APT29", "Spear Phishing", ["T1566"]), ("Cozy Bear", "spear-phishing", [])]
     nodes, edges = pipeline.graph(kg, mitre, steps)
     assert nodes.count() == 3 and sorted((r.ks, r.docs, r.conf) for r in edges.collect()) == [("apt 29", 1, 0.7), ("apt29", 2, 0.95)]
-    same = pipeline.resolved(kg, mitre, pipeline.Steps(pronouns=False, repair=False, validation=False, align_from=0.9), vectors).collect()
+    assert pipeline.resolved(kg, mitre, pipeline.Steps(pronouns=False, repair=False, validation=False, align_from=0.9), vectors).count() == 4  # each document by itself
+    same = pipeline.resolved(kg.withColumn("doc", F.lit("d1")), mitre, pipeline.Steps(pronouns=False, repair=False, validation=False, align_from=0.9), vectors).collect()
     assert sorted((r.seq, r.s) for r in same) == [(1, "APT29"), (4, "Cozy Bear")]
 
 

@@ -6,9 +6,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from spindrift.plans import fusion, nested, quality, texts, validation
+from spindrift.plans import extraction, fusion, nested, quality, scoring, texts, validation
 
-MODULES = [nested, validation, fusion, quality, texts]
+MODULES = [nested, validation, fusion, quality, texts, extraction, scoring]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings triples raw_triples chunks entities match_pairs provenance mitre eval_items ref_values".split()

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from spindrift.sources import readers, responses, writers
+from spindrift.sources import adapters, readers, responses, writers
 from spindrift.streaming import flows
 
 
@@ -40,17 +40,94 @@ def test_expanded(spark):
 
 def test_responses():
     t = {"subject": "a", "relation": "uses", "object": "b"}
-    for text in (json.dumps({"triples": [t]}), "Sure:\n```json\n" + json.dumps([t]) + "\n```", "{'triples': [{'subject': 'a', 'relation': 'uses', 'object': 'b',},]}", '{"triples": [' + json.dumps(t) + ', {"subject": "cut'):
-        assert [(x["subject"], x["object"]) for x in responses.triples_in(text)] == [("a", "b")], text
-    assert responses.triples_in(None) == responses.triples_in("no") == responses.triples_in("{}") == []
-
-
-def test_extracted_and_replayed(spark):
-    df = spark.createDataFrame([("c0", '[{"subject": "a", "subject_type": "apt", "relation": "Uses", "object": "b", "confidence": 7}]'), ("c1", None)], "chunk_id string, response string")
-    assert [(r.event_id, r.subject_type, r.relation, r.confidence) for r in responses.extracted(df).collect()] == [("c0_t0", "ThreatActor", "uses", 0.8)]
+    cut = '{"triples": [' + json.dumps(t) + ", " + json.dumps(t | {"object": "c"}) + ", " + json.dumps(t) + ', {"subject": "cut'
+    ab = [("a", "b")]
+    cases = {
+        json.dumps({"triples": [t]}): ab, "Sure:\n```json\n" + json.dumps([t]) + "\n```": ab, "{'triples': [{'subject': 'a', 'relation': 'uses', 'object': 'b',},]}": ab, cut: [("a", "b"), ("a", "c"), ("a", "b")],
+        "JSON: " + json.dumps({"predicted_triple": t}): ab, "so {x} then " + json.dumps(t) + " }": ab, json.dumps([1, t]): [None, ("a", "b")], json.dumps({"triplets": [{"subject": None, "object": "b"}]}): [(None, "b")],
+        '{"triples": [{"subject": "a}", "object": "b\\" {"}]}': [("a}", 'b" {')],
+    }
+    for text, want in cases.items():
+        assert [x and (x["subject"], x["object"]) for x in responses.triples_in(text)] == want, text
+    assert responses.triples_in(None) == responses.triples_in("no") == responses.triples_in("{}") == responses.triples_in('{"subject": "a", "object": "b"}') == []
+
+
+def test_parsed_fast_and_slow_agree(spark):
+    t = {"subject": "a", "relation": "uses", "object": "b", "evidence": "x"}
+    texts = [json.dumps({"triples": [t, t]}), "```json\n" + json.dumps({"triples": [t]}) + "\n```", json.dumps({"triples": []}), "[]", None, "", json.dumps({"triples": [t | {"object": None}]}), "no json", json.dumps({"triple": t})]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", responses.parsed(F.col("t")).alias("p")).orderBy("i").collect()
+    plain = lambda x: [{k: v for k, v in r.asDict().items()} for r in x or []]
+    assert [plain(r.p) for r in rows] == [responses.triples_in(x) for x in texts]
+
+
+def test_replayed(spark):
     ask = spark.createDataFrame([("m", "p"), ("m", "q")], "model string, prompt string")
     stored = ask.where("prompt = 'p'").select(responses.prompt_key(F.col("model"), F.col("prompt")).alias("key"), F.lit("yes").alias("response"))
-    assert {(r.prompt, r.response) for r in responses.replayed(ask, stored).collect()} == {("p", "yes"), ("q", None)}
+    assert {(r.prompt, r.response) for r in responses.replayed(ask, stored.unionByName(stored)).collect()} == {("p", "yes"), ("q", None)}
+
+
+def test_render(spark):
+    df = spark.createDataFrame([("x", None)], "a string, b string")
+    assert df.select(responses.render("{a}: {b}; {c} {{a}}", a=F.col("a"), b=F.col("b")).alias("t")).first().t == "x: ; {c} {x}"
+
+
+def test_examples_and_gold(spark, tmp_path):
+    good = {"text": " some  text ", "entities": [{"entity_name": "Fox", "entity_type": "Malware"}], "explicit_triplets": [{"subject": "Fox", "relation": "hit", "object": "Ox"}] * 9}
+    (tmp_path / "a.json").write_text(json.dumps(good))
+    (tmp_path / "b.json").write_text(json.dumps({"text": "", "explicit_triplets": []}))
+    (tmp_path / "c.json").write_text("{")
+    row = readers.examples(spark, str(tmp_path), triples=2, chars=6).collect()
+    assert len(row) == 1 and (row[0].doc, row[0].text) == ("a", "some t")
+    assert json.loads(row[0].output)["triples"] == [{"subject": "Fox", "subject_type": "Malware", "relation": "hit", "object": "Ox", "object_type": "Other", "evidence": ""}] * 2
+    df = spark.createDataFrame([("d", json.dumps([{"sub": "a", "rel": "r", "obj": "b"}, {"sub": "", "obj": "c"}, {"sub": "x", "obj": "y"}])), ("e", "[")], "file_name string, ground_truth_json string")
+    assert [tuple(r) for r in readers.gold_records(df).orderBy("i").collect()] == [("d", 0, "a", "r", "b"), ("d", 2, "x", "", "y")]
+
+
+def test_systems_and_calibration(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/1.json").write_text(json.dumps({"file_name": "d", "generated_graph": {"relations": [{"sub": "a", "rel": None, "obj": ["x", " ", "y"]}, {"sub": "b", "rel": "r", "obj": ""}]}}))
+    (tmp_path / "s/2.json").write_text("nope")
+    assert {tuple(r) for r in readers.system_outputs(spark, str(tmp_path / "s")).collect()} == {("d", "a", "", "x"), ("d", "a", "", "y")}
+    edge = {"sub": "a", "rel": "r", "obj": "b"}
+    rows = [
+        {"Human Agreement": "Agree", "Review edge": edge, "Type": "Precision", "Ground Truth Graph": [edge], "LLM Decision": "TP"},
+        {"Human Agreement": "Disagree", "Review edge": edge, "Type": "Recall", "Predict Graph": "{'relations': [{'sub': 'x', 'rel': 'r', 'obj': 'y'}]}", "LLM Decision": "fn"},
+        {"Human Agreement": "Undecided", "Review edge": edge, "Type": "Recall", "Predict Graph": [edge], "LLM Decision": "TP"},
+        {"Human Agreement": "Agree", "Review edge": {"sub": "", "obj": "b"}, "Type": "Precision", "Ground Truth Graph": [edge], "LLM Decision": "TP"},
+        {"Human Agreement": "Agree", "Review edge": edge, "Type": "Precision", "Ground Truth Graph": [], "LLM Decision": "TP"},
+    ]
+    (tmp_path / "reviewer.json").write_text(json.dumps(rows))
+    got = readers.calibration_items(spark, str(tmp_path / "reviewer.json")).orderBy("type").collect()
+    assert [(r.type, r.judge, r.human, [tuple(g) for g in r.graph]) for r in got] == [("Precision", True, True, [("a", "r", "b")]), ("Recall", False, True, [("x", "r", "y")])]
+
+
+def test_sentence_table_and_runs(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('sentence,x,y,tactic,gold,baseline\n"one, two",,,t,"[a, r, b]","[a, r] [c]"\n')
+    row = readers.sentence_table(spark, str(tmp_path / "s.csv")).first()
+    assert (row.sentence, row.tactic, [tuple(g) for g in row.gold], [tuple(g) for g in row.baseline]) == ("one, two", "t", [("a", "r", "b")], [("a", "r", "")])
+    for n, f1 in ((1, 0.5), (2, None)):
+        (tmp_path / f"runs/pass_{n}").mkdir(parents=True)
+        (tmp_path / f"runs/pass_{n}/r.json").write_text(json.dumps({"B": {"f1": f1}, "C": {"f1": 0.7}}))
+    assert {tuple(r) for r in readers.run_results(spark, str(tmp_path / "runs"), {"b": "B.f1", "c": "C.f1"}).collect()} == {("1", "b", 0.5), ("1", "c", 0.7), ("2", "c", 0.7)}
+
+
+def test_adapters(spark):
+    value = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x")).alias("y")).first().y
+    assert [value(adapters.first_type, x) for x in ("Threat Actor", "indicator:file", "thing")] == ["ThreatActor", "IOC", "Other"]
+    assert [value(adapters.second_type, x) for x in ("vulnerable_software", "attack-pattern", "Registy", "System")] == ["Software", "Technique", "IOC", "Software"]
+    assert [value(adapters.second_relation, x) for x in ("Beacon-To", "deployed on", "is behind", "eats")] == ["communicates_with", "uses", "attributed_to", "related_to"]
+    text = "1. Fox (malware); use; Ox(Tool)\n* Owl; target; Elm (organization)\nbad; line\n"
+    rows = adapters.text_triples(spark.createDataFrame([("d", "t", text), ("e", "t", None)], "doc string, tactic string, text string")).orderBy("i").collect()
+    assert [(r.s, r.st, r.rel, r.o, r.ot) for r in rows] == [("Fox", "Malware", "uses", "Ox", "Tool"), ("Owl", "Other", "targets", "Elm", "Organization")]
+
+
+def test_log_sink_and_unreadable(spark, tmp_path):
+    log = spark.createDataFrame([("a", "flagged", 1), ("a", "rejected", 2)], "category string, action string, seq int")
+    writers.write_log(log, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    assert {(r.level, r.value, r.n) for r in spark.read.json(str(tmp_path / "summary")).collect()} >= {("all", "", 2), ("category", "a", 2)}
+    df = spark.createDataFrame([("c/1 x", "p", "no"), ("c2", "p", '{"triples": [{"subject": "a"}]}')], "chunk_id string, prompt string, response string")
+    assert [r.chunk_id for r in writers.unreadable(df).collect()] == ["c_1_x"]
 
 
 def test_verdicts_and_sentences(spark):
