@@ -125,9 +125,9 @@ def companions(each: DataFrame, tokens: DataFrame, pairs: DataFrame, hot: DataFr
     folded = settled(near_.groupBy("a").agg(F.max_by("b", F.struct("b_df", "b_n", "b")).alias("b")))
     # Ends that are listed have no row of their own in ``folded``.
     folded = folded.join(tokens.where("listed").select(F.col("token").alias("b")), "b", "left_anti").select("a", "b")
-    stands = lookup(each.select("spelling", "token"), folded.toDF("token", "fold"), "token", hot).select("spelling", F.col("fold").alias("token")).distinct()
+    stands = lookup(each.select("spelling", "token"), folded.toDF("token", "fold"), "token", hot, ["spelling"]).select("spelling", F.col("fold").alias("token")).distinct()
     counts = stands.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    stands = written(lookup(stands, counts.withColumnRenamed("n", "held"), "token", hot_keys(counts, "token")))
+    stands = written(lookup(stands, counts.withColumnRenamed("n", "held"), "token", written(hot_keys(counts, "token")), ["spelling"]))
     rarest = F.slice(F.array_sort(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "token")))), 1, 2)
     beside = stands.join(stands.groupBy("spelling").agg(rarest.alias("r")), "spelling")
     beside = beside.select("token", F.explode(F.slice(F.filter("r", lambda x: x["token"] != F.col("token")), 1, 1)["token"]).alias("other")).distinct()
@@ -181,7 +181,7 @@ def entities_of(names: DataFrame) -> DataFrame:
     tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n")).select(
         "token", "df", "n", F.col("token").isin(listed).alias("listed"))
     tokens = written(tokens)
-    pairs, hot = slip_pairs(tokens), hot_keys(tokens.select("token", F.col("df").alias("n")), "token")
+    pairs, hot = slip_pairs(tokens), written(hot_keys(tokens.select("token", F.col("df").alias("n")), "token"))
     beside = companions(each, tokens, pairs, hot)
     wide = (F.col("token") == F.col("fold")) & (F.col("narrow") >= LEAST_COMMON) & (2 * F.col("narrow") >= F.col("companions"))
     tokens = tokens.join(beside, "token", "left").select(
@@ -190,7 +190,7 @@ def entities_of(names: DataFrame) -> DataFrame:
     # Which token is a name's root is decided by what a slip was meant for, not by the slip.
     meant = tokens.select(F.col("token").alias("fixed"), "companions", "held")
     fixed = attributed_tokens(tokens, pairs).join(meant, "fixed").withColumn("fixed", written_out(F.col("fixed")))
-    parts = lookup(each.select("spelling", "n", "token"), written(fixed), "token", hot)
+    parts = lookup(each.select("spelling", "n", "token"), written(fixed), "token", hot, ["spelling"])
     shaped = parts.groupBy("spelling").agg(
         F.max("n").alias("n"),
         F.min(F.when(~F.col("common") & (F.length("fixed") > 1), F.struct("companions", (-F.col("held")).alias("d"), (-F.length("fixed")).alias("l"), F.col("fixed").alias("root")))).alias("r"),

@@ -100,13 +100,14 @@ def entries_of(values: DataFrame, reference: DataFrame) -> DataFrame:
         "list_name", "written", F.coalesce("best.entry", F.lit(UNMATCHED)).alias("entry"), F.coalesce(-F.col("best.s"), F.lit(0.0)).alias("score"))
 
 
-def mapped(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """``rows`` (list_name, written and others) with entry and score; rows with a null value are left out."""
+def mapped(rows: DataFrame, reference: DataFrame, spread: list[str]) -> DataFrame:
+    """``rows`` (list_name, written and others) with entry and score; rows with a null value are left
+    out. ``spread`` are columns that tell rows of one value apart."""
     counted = stored(rows.where("written is not null").groupBy("list_name", "written").agg(F.count(F.lit(1)).alias("n")))
     key = F.struct("list_name", "written")
     found = entries_of(counted, reference).select(key.alias("_value"), "entry", "score")
-    hot = hot_keys(counted.select(key.alias("_value"), "n"), "_value")
-    return lookup(rows.where("written is not null").withColumn("_value", key), found, "_value", hot).drop("_value")
+    hot = stored(hot_keys(counted.select(key.alias("_value"), "n"), "_value"))
+    return lookup(rows.where("written is not null").withColumn("_value", key), found, "_value", hot, spread).drop("_value")
 
 
 def entered_values(triples: DataFrame, entities: DataFrame, reference: DataFrame) -> DataFrame:
@@ -118,4 +119,4 @@ def entered_values(triples: DataFrame, entities: DataFrame, reference: DataFrame
     sources = entities.select(F.lit("external_ids").alias("field"), F.lit("id_source").alias("list_name"), F.col("node_id").alias("record_key"), F.explode(F.map_keys("external_ids")).alias("written"))
     exact = reference.select("list_name", F.col("form").alias("written")).distinct()
     free = relations.unionByName(sources).join(exact, ["list_name", "written"], "left_anti")
-    return mapped(free, reference).select("field", "record_key", "written", "entry", "score")
+    return mapped(free, reference, ["field", "record_key"]).select("field", "record_key", "written", "entry", "score")

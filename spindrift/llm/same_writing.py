@@ -1,8 +1,10 @@
 """Records that differ only in how they are written: letter case, white space, punctuation, field order.
 
-Hot keys are found exactly from partial counts. Rows of hot keys go through a salted two-level
-aggregation (their number is bounded, so their result may be broadcast back); all other rows take
-one shuffle by key, in which the smallest identifier and the number of copies come from a window.
+Each record becomes its identifier and the hash of its canonical key, stored once. Hot keys (more
+rows than one task should get) are found exactly from partial counts. Their rows go through a salted
+two-level aggregation, with as many parts a key as its rows need; there is at most one such key for
+every ``MOST`` rows, so their results are broadcast back. All other rows take one shuffle by key, in
+which the smallest identifier and the number of copies come from a window.
 """
 
 from __future__ import annotations
@@ -18,11 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spindrift.functions.text import alnum_key
-from spindrift.lineage import checkpointed
-from spindrift.operators.skew import PARTS, hot_keys
+from spindrift.lineage import checkpointed, written
+from spindrift.operators.skew import MOST, hot_keys
 
 FIELDS = ("subject", "relation", "object")
-SALTS = 32
 
 _parsed = T.StructType([T.StructField("ok", T.BooleanType())] + [T.StructField(f, T.StringType()) for f in FIELDS])
 _fence = re.compile(r"^\s*```\w*\s*(.*?)\s*```\s*$", re.S)
@@ -72,23 +73,23 @@ def claim_records(triples: DataFrame, raw: DataFrame) -> DataFrame:
     return triples.select("seq", *FIELDS).unionByName(lines)
 
 
-def collapse(records: DataFrame, ident: str, fields: tuple[str, ...], parts: int = PARTS, least: int = 10_000) -> DataFrame:
+def collapse(records: DataFrame, ident: str, fields: tuple[str, ...], most: int = MOST) -> DataFrame:
     """``ident``, ``first`` (the smallest ident of the group) and ``copies`` of every record.
 
     Two records are copies if ``fields`` agree one by one after ``alnum_key``; null equals empty.
     Records whose fields are all empty are copies of one another. Other columns are ignored. The
     key is a 128-bit hash of the folded fields, so long texts are never shuffled.
     """
-    keyed = records.select(F.col(ident).alias("_id"), F.unhex(F.md5(F.concat_ws("\x01", *[alnum_key(F.col(f)) for f in fields]))).alias("_key"))
-    # At most `parts` rows, needed twice: counted once.
-    hot = checkpointed(hot_keys(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", parts=parts, least=least))
-    flagged = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_key", "left")
+    # Counting, salting and collapsing all read this: the records are parsed and folded once.
+    keyed = written(records.select(F.col(ident).alias("_id"), F.unhex(F.md5(F.concat_ws("\x01", *[alnum_key(F.col(f)) for f in fields]))).alias("_key")))
+    hot = checkpointed(hot_keys(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", most=most))
+    flagged = keyed.join(F.broadcast(hot), "_key", "left")
     rest = Window.partitionBy("_key")
-    cold = flagged.where("_hot is null").select("_id", F.min("_id").over(rest).alias("first"), F.count(F.lit(1)).over(rest).alias("copies"))
-    warm = flagged.where("_hot")
-    first_level = warm.groupBy("_key", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")).agg(F.min("_id").alias("m"), F.count(F.lit(1)).alias("c"))
+    cold = flagged.where("parts is null").select("_id", F.min("_id").over(rest).alias("first"), F.count(F.lit(1)).over(rest).alias("copies"))
+    warm = flagged.where("parts is not null")
+    first_level = warm.groupBy("_key", F.pmod(F.xxhash64("_id"), F.col("parts")).alias("_salt")).agg(F.min("_id").alias("m"), F.count(F.lit(1)).alias("c"))
     groups = first_level.groupBy("_key").agg(F.min("m").alias("first"), F.sum("c").alias("copies"))
-    # At most `parts` rows: each holds one in `parts` of all records or more.
+    # One row for every `most` rows or more.
     back = warm.join(F.broadcast(groups), "_key").select("_id", "first", "copies")
     return cold.unionByName(back).withColumnRenamed("_id", ident)
 
