@@ -14,6 +14,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("event_id", *[F.coalesce(f"{f}_from", F.lit(-1)).alias(f"{f}_seq") for f in ("confidence", "evidence", "status")])
 
 
+def p1_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors by completeness, trust and recency of whole records, filled from deeper layers."""
+    best = survivors.whole_survivors(table(spark, d, "triples"))
+    return best.select("event_id", "n", *[F.coalesce(f"{f}_from", F.lit(-1)).alias(f"{f}_seq") for f in ("confidence", "evidence", "status")])
+
+
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.surviving_records(table(spark, d, "triples"))
 
@@ -97,6 +103,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_layers": p1_layers,
     "p1_survivors": p1_survivors,
     "p3_found": p3_found,
     "p3_claims": p3_claims,
@@ -133,6 +140,21 @@ select event_id,
  coalesce(first(seq order by s desc, loaded_at desc nulls last, seq desc) filter (s is not null), -1) as status_seq
 from u group by event_id"""
 
+#: Peeling by longest chains of dominance: a record's layer is the length of the longest one that ends at it.
+_LAYERS = f"""
+with recursive t as materialized (select seq, event_id, coalesce(epoch_us(loaded_at), -9223372036854775808) as ts, coalesce(lower(regexp_replace(regexp_replace(validation_status,'^{_WS}+',''),'{_WS}+$','')),'') as st,
+ case when confidence>=0 and confidence<=1 and not isnan(confidence) then confidence end as conf, nullif(length(regexp_replace(evidence_text,'{_WS}+','','g')),0) as ev,
+ count(*) over (partition by event_id) as n from triples where event_id is not null),
+u as materialized (select *, case st when 'validated' then 4 when 'repaired' then 3 when 'raw' then 2 when 'rejected' then 1 end as s, bool_and(st='rejected') over (partition by event_id) as allrej from t where n >= 2),
+v as materialized (select *, (conf is not null)::int + (ev is not null)::int + (s is not null)::int as full_, coalesce(s, 0) as trust from u),
+over_ as materialized (select a.seq as hi, b.seq as lo from v a join v b on a.event_id = b.event_id and a.full_ >= b.full_ and a.trust >= b.trust and (a.ts > b.ts or (a.ts = b.ts and a.seq > b.seq))),
+chain(seq, l) as (select seq, 1 from v union select o.lo, c.l + 1 from chain c join over_ o on o.hi = c.seq where c.l < {survivors.LAYERS + 1}),
+d as (select v.*, -l as l from v join (select seq, max(l) as l from chain group by 1) using (seq)),
+w as (select *, case when st<>'rejected' or allrej then conf end as c, case when st<>'rejected' or allrej then ev end as e from d)
+select event_id, count(*) as n, coalesce(first(seq order by l desc, c desc, ts desc, seq desc) filter (c is not null), -1) as confidence_seq,
+ coalesce(first(seq order by l desc, e desc, ts desc, seq desc) filter (e is not null), -1) as evidence_seq, coalesce(first(seq order by l desc, s desc, ts desc, seq desc) filter (s is not null), -1) as status_seq
+from w group by event_id"""
+
 _PARAGRAPHS = """
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
 p as (select *, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as start, length(ltrim(line, ' ' || chr(9) || chr(13))) as l_left, length(rtrim(line, ' ' || chr(9) || chr(13))) as l_right from l),
@@ -163,6 +185,7 @@ select distinct item_id, doc_id from e join d using (g)"""
 
 SQL = {
     "p1_found": _SURVIVORS,
+    "p1_layers": _LAYERS,
     "p1_survivors": f"""
 with best as ({_SURVIVORS}), counted as (select event_id, count(*) as n from triples group by 1)
 select b.event_id, c.n as deliveries, x.confidence, y.evidence_text, z.validation_status from best b join counted c on c.event_id = b.event_id
