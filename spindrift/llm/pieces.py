@@ -4,7 +4,12 @@ A rolling hash over the last ``WINDOW`` code points marks landmarks that depend
 text around them. Going through the text, each piece ends at the first landmark between the
 smallest and the largest size, moved to the nearest natural boundary of the strongest kind there is
 within reach: end of a paragraph, of a line, of a sentence, of a clause, of a word. An edit moves
-the cuts near it; after the next landmark the pieces are the same again.
+the cuts near it; after the next landmark the pieces are the same again. After every cut, whatever
+its kind, the next piece begins within ``overlap`` before it: at the earliest sentence there, else at
+the earliest word, else exactly that far back.
+
+A cut that is no end of a paragraph tells the paragraph it divides: what lies between the ends of
+paragraphs, the strongest of the boundaries, on either side of it.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -36,23 +42,9 @@ class Sizes:
 
 #: Kinds of natural boundaries, the strongest first; a match ends where a piece may end.
 _KINDS = [re.compile(p) for p in (r"\n(?:[ \t\r]*\n)+", r"\n+", r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+", r"(?<=[,;:–—])\s+", r"\s+")]
-_BLANK = re.compile(r"\n(?:[ \t\r]*\n)+")
 _EDGE = " \t\r\n"
 
 
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Spans of the runs of lines that are not blank, without spaces, tabs and line ends around them."""
-    spans, at = [], 0
-    for m in [*_BLANK.finditer(text), None]:
-        end = m.start() if m else len(text)
-        part = text[at:end]
-        if body := part.strip(_EDGE):
-            start = at + len(part) - len(part.lstrip(_EDGE))
-            spans.append((start, start + len(body)))
-        at = m.end() if m else end
-    return spans
-
-
 def landmarks(text: str, bits: int) -> np.ndarray:
     """Positions after which the rolling hash of the last WINDOW code points ends in ``bits`` zeros."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -70,15 +62,17 @@ def landmarks(text: str, bits: int) -> np.ndarray:
     return np.nonzero(rolled >> np.uint64(64 - bits) == 0)[0] + WINDOW
 
 
-def cuts(text: str, sizes: Sizes) -> list[tuple[int, int, str]]:
-    """Start, end and the kind of boundary at the end of each piece; the pieces cover the text."""
+def cuts(text: str, sizes: Sizes) -> list[tuple[int, int, str, tuple[int, int] | None]]:
+    """Start, end and the kind of boundary at the end of each piece, and the span of the paragraph that
+    the end divides, without white space around it (None if it divides none, or the same as the end
+    before). The pieces cover the text."""
     n = len(text)
     if n <= sizes.largest:
-        return [(0, n, "end")] if n else []
+        return [(0, n, "end", None)] if n else []
     marks = landmarks(text, sizes.landmark_bits)
     bounds = [np.fromiter((m.end() for m in kind.finditer(text)), np.int64) for kind in _KINDS]
     names = ["paragraph", "line", "sentence", "clause", "word"]
-    out, start, last = [], 0, 0
+    out, start, last, told = [], 0, 0, -1
     while n - start > sizes.largest:
         low, high = max(last + 1, start + sizes.smallest), start + sizes.largest
         i = int(np.searchsorted(marks, low))
@@ -93,15 +87,23 @@ def cuts(text: str, sizes: Sizes) -> list[tuple[int, int, str]]:
                     break
             if kind != "none":
                 break
-        out.append((start, cut, kind))
-        # The next piece begins at the earliest sentence or word within the overlap.
-        last, start = cut, cut
+        divided = None
+        if kind != "paragraph":
+            k = int(np.searchsorted(bounds[0], cut, side="right"))
+            a, b = int(bounds[0][k - 1]) if k else 0, int(bounds[0][k]) if k < len(bounds[0]) else n
+            body = text[a:b].strip(_EDGE)
+            if body and told != a:
+                first = a + len(text[a:b]) - len(text[a:b].lstrip(_EDGE))
+                divided, told = (first, first + len(body)), a
+        out.append((start, cut, kind, divided))
+        back = max(cut - sizes.overlap, start + 1)
+        last, start = cut, back
         for at in (bounds[2], bounds[4]):
-            a, b = np.searchsorted(at, [max(cut - sizes.overlap, out[-1][0] + 1), cut])
-            if a < b and kind not in ("paragraph", "line"):
+            a, b = np.searchsorted(at, [back, cut])
+            if a < b:
                 start = int(at[a])
                 break
-    out.append((start, n, "end"))
+    out.append((start, n, "end", None))
     return out
 
 
@@ -114,14 +116,8 @@ def _rows(sizes: Sizes, with_text: bool):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None or not text.strip():
                     continue
-                spans = paragraphs(text)
-                ends, before = [e for _, e in spans], None
-                for i, (start, end, kind) in enumerate(cuts(text, sizes)):
-                    k = int(np.searchsorted(ends, end, side="right"))
-                    cut = k if k < len(spans) and spans[k][0] < end < spans[k][1] else None
-                    inside = spans[k] if cut is not None and cut != before else (None, None)
-                    before = cut
-                    rows.append((doc, i, f"doc{doc}_chunk{i}", text[start:end] if with_text else None, start, end, kind, *inside))
+                for i, (start, end, kind, divided) in enumerate(cuts(text, sizes)):
+                    rows.append((doc, i, f"doc{doc}_chunk{i}", text[start:end] if with_text else None, start, end, kind, *(divided or (None, None))))
                     if len(rows) >= 4000:
                         yield _batch(rows, schema)
                         rows = []
@@ -138,8 +134,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def split_texts(documents: DataFrame, sizes: Sizes = Sizes(), key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """Pieces of every text: doc_id, chunk_index, chunk_id, text, char_start, char_end (zero-based
     code points, end exclusive), boundary (what the piece ends at; ``none`` where the text has no
-    boundary between the sizes), and the span of the paragraph that its end is the first to cut, null
-    if none. ``with_text`` false leaves text null and spares its way out of Python.
+    boundary between the sizes), and the span of the paragraph that its end is the first to divide,
+    null if none. Each piece but the first begins before the one before it ends, by at most the
+    overlap. ``with_text`` false leaves text null and spares its way out of Python.
 
     Null, empty and blank texts give no pieces; a text within the limit is one. Every piece is the
     stored text between its offsets. Repeated ids give pieces of each row. No shuffle.
@@ -151,8 +148,21 @@ def split_texts(documents: DataFrame, sizes: Sizes = Sizes(), key: str = "doc_id
 def oversized_paragraphs(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, char_start, char_end of each paragraph longer than the largest piece.
 
-    Pieces end at most that far apart, so at least one cut lies inside each such paragraph: the
-    cuts give the candidates, the length decides.
+    Pieces end at most that far apart, so at least one of them ends inside each such paragraph and
+    divides it: the cuts tell the paragraphs, the length decides.
     """
     cut = split_texts(documents, sizes, with_text=False).where(F.col("inside_end") - F.col("inside_start") > sizes.largest)
     return cut.select("doc_id", F.col("inside_start").alias("char_start"), F.col("inside_end").alias("char_end"))
+
+
+def coverage(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+    """doc_id, chars (of its text), gaps, too_long and apart of each text with pieces: characters that no
+    piece has, pieces beyond the limit, and pieces that do not overlap the one before or do so by more
+    than the overlap. What it costs is one window over the pieces' offsets."""
+    rows = split_texts(documents, sizes, with_text=False)
+    by = Window.partitionBy("doc_id").orderBy("chunk_index")
+    shared = F.lag("char_end").over(by) - F.col("char_start")
+    each = rows.select("doc_id", "char_start", "char_end", shared.alias("shared"))
+    return each.groupBy("doc_id").agg(
+        F.max("char_end").alias("chars"), (F.max("char_end") - F.sum(F.col("char_end") - F.col("char_start")) + F.coalesce(F.sum("shared"), F.lit(0))).alias("gaps"),
+        F.count_if(F.col("char_end") - F.col("char_start") > sizes.largest).alias("too_long"), F.count_if((F.col("shared") <= 0) | (F.col("shared") > sizes.overlap)).alias("apart"))

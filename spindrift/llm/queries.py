@@ -53,6 +53,10 @@ def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(table(spark, d, "documents")).drop("inside_start", "inside_end")
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.coverage(table(spark, d, "documents"))
+
+
 def _entered(spark: SparkSession, d: str) -> DataFrame:
     return reference_values.entered_values(*[table(spark, d, t) for t in ("triples", "entities", "ref_values")])
 
@@ -109,6 +113,7 @@ QUERIES = {
     "p3_claims": p3_claims,
     "p4_found": p4_found,
     "p4_chunks": p4_chunks,
+    "p4_coverage": p4_coverage,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -191,6 +196,7 @@ with best as ({_SURVIVORS}), counted as (select event_id, count(*) as n from tri
 select b.event_id, c.n as deliveries, x.confidence, y.evidence_text, z.validation_status from best b join counted c on c.event_id = b.event_id
   left join triples x on x.seq = b.confidence_seq left join triples y on y.seq = b.evidence_seq left join triples z on z.seq = b.status_seq""",
     "p4_found": _PARAGRAPHS,
+    "p4_coverage": f"select doc_id, cast(length(text) as bigint) as chars, cast(0 as bigint) as gaps, cast(0 as bigint) as too_long, cast(0 as bigint) as apart from documents where regexp_replace(text, '{_WS}+', '', 'g') <> ''",
     "p5_found": _GROUPS,
     "p9_found": _LEAKS,
     "p8_decoded": "select doc_id, case when text is null then '' else text end as text from documents",
