@@ -82,8 +82,19 @@ def segments(word: str, k: int) -> set[str]:
 
 
 @F.pandas_udf(T.IntegerType())
-def edit_distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y, int(k)) for x, y, k in zip(a, b, most)], dtype="int32")
+def _with_swaps(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else distance(x, y, int(k)) for x, y, k in zip(a, b, most)], dtype="Int32")
+
+
+def edit_distance(a: Column, b: Column, most: Column) -> Column:
+    """Edits from ``a`` to ``b``, a swap of neighbours being one; more than ``most`` (at most three) if so.
+
+    The JVM's distance counts a swap as two: it settles what is at most one edit apart and what is more
+    than twice ``most`` apart, and only the pairs between go through Python.
+    """
+    plain = F.levenshtein(a, b, 6)
+    open_ = plain.between(2, 2 * most)
+    return F.when(open_, _with_swaps(F.when(open_, a), b, most)).when(plain.between(0, 1), plain).otherwise(most + 1)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,4 +131,4 @@ def near(left: DataFrame, right: DataFrame, edits) -> DataFrame:
     # Their number grows with the words, which the planner cannot see: never a broadcast.
     pairs = a.join(b.hint("merge"), "variant").select("a", "b").distinct()
     most = edits(F.greatest(F.length("a"), F.length("b")))
-    return pairs.withColumn("d", edit_distance("a", "b", most)).where(F.col("d") <= most)
+    return pairs.withColumn("d", edit_distance(F.col("a"), F.col("b"), most)).where(F.col("d") <= most)

@@ -9,12 +9,15 @@ short forms of given names, dropped and reordered parts. Attribution goes from t
    Each name's distinctive token is among the other tokens.
 2. Each token is attached to the candidate of highest posterior: the prior is its frequency, the
    likelihood falls with every edit. Candidates come from an equi-join on deletion variants. An
-   unknown long token next to a frequent one is far likelier a slip than a new name, so the
-   token itself is a candidate of low prior.
-3. Abbreviations and short forms are written out from fixed lists.
-4. A name is its distinctive token and its core: the other words without legal forms. Names that
-   have initials only, or nothing, for a core are attached to the most frequent core of the same
-   distinctive token that starts so.
+   unknown long token next to a frequent one is far likelier a slip than a new name, so the token
+   itself is a candidate of low prior. What a token is attached to may be a slip as well: links are
+   followed to their ends. Listed abbreviations and short forms are certain and written out.
+3. A name is its distinctive token and its core: the other words without legal forms. The cores that
+   occur with a distinctive token are the canonical names, each with its frequency for a prior.
+   Every name is attached to the one of highest posterior: itself, one of which it has dropped a
+   word, or, if it has initials only or nothing for a core, those of these initials or all. Initials
+   count in the order written: the first is the given name's, a later one hardly ever.
+4. A name between equals is attached to none of them.
 
 All steps are joins and aggregations with bounded rows per key; no group is gathered.
 """
@@ -58,7 +61,7 @@ SHORT_FORMS = {
 #: Words that do not tell one organisation from another.
 LEGAL = ["corporation", "company", "incorporated", "limited", "international", "technologies", "holdings", "group", "the", "of", "and", "de", "for"]
 
-#: Words of institutions and trades that are common however few names there are.
+#: Words of institutions that are common however few names there are.
 COMMON = ["national", "institute", "university", "ministry", "department", "sons", "brothers", "association", "bank", "savings", "insurance", "services", "transport", "broadcasting"]
 
 #: Letters with marks and the letters they are often typed as.
@@ -70,6 +73,10 @@ LEAST_COMMON = 10
 #: Shorter tokens have many neighbours by chance: a slip is taken only for something this much more frequent, as
 #: logarithms by length; the ratio rises with the spellings of the token itself, up to FAR_RARER.
 SHORT, SHORT_RATIO, FAR_RARER = 7, {3: 2.3, 4: 1.0, 5: 1.0, 6: 0.8}, 3.0
+#: Logarithms of likelihoods: of an edit, of a word dropped from a name, of an initial that is not the first.
+EDIT, DROPPED, LATER_INITIAL = -1.5, -6.0, -4.0
+#: Share of a distinctive token's names that one core needs for a name without core or initials to be it.
+SURE = 0.9
 
 
 def _fixed(words: dict[str, str]) -> Column:
@@ -85,9 +92,9 @@ def tokens_of(name: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def written_out(token: Column) -> Column:
-    """An abbreviation or short form in full, any other token as it is."""
-    return F.coalesce(F.try_element_at(_fixed(ABBREVIATIONS | SHORT_FORMS), token), token)
+def _big(df: DataFrame) -> DataFrame:
+    """Never a broadcast: a stored table of tokens or names looks far smaller than it is in memory."""
+    return df.hint("merge")
 
 
 def _allowed(length: Column) -> Column:
@@ -100,7 +107,7 @@ def settled(links: DataFrame) -> DataFrame:
     links = written(links)
     while True:
         onward = links.select(F.col("a").alias("b"), F.col("b").alias("_end"))
-        links = written(links.join(onward, "b", "left").select("a", F.coalesce("_end", "b").alias("b"), (F.col("_end") != F.col("b")).alias("_moved")))
+        links = written(links.join(_big(onward), "b", "left").select("a", F.coalesce("_end", "b").alias("b"), (F.col("_end") != F.col("b")).alias("_moved")))
         moved = links.where("_moved").limit(1).count()
         links = links.select("a", "b")
         if not moved:
@@ -121,7 +128,7 @@ def companions(each: DataFrame, tokens: DataFrame, pairs: DataFrame, hot: DataFr
     stands in two spellings at least. A spelling counts once for each of its tokens.
     """
     df = tokens.where("length(token) > 1").select("token", "df", "n")
-    near_ = pairs.join(df.toDF("a", "df", "n"), "a").join(df.toDF("b", "b_df", "b_n"), "b").where(F.struct("b_df", "b_n", "b") >= F.struct("df", "n", "a"))
+    near_ = pairs.join(_big(df.toDF("a", "df", "n")), "a").join(_big(df.toDF("b", "b_df", "b_n")), "b").where(F.struct("b_df", "b_n", "b") >= F.struct("df", "n", "a"))
     folded = settled(near_.groupBy("a").agg(F.max_by("b", F.struct("b_df", "b_n", "b")).alias("b")))
     # Ends that are listed have no row of their own in ``folded``.
     folded = folded.join(tokens.where("listed").select(F.col("token").alias("b")), "b", "left_anti").select("a", "b")
@@ -129,41 +136,43 @@ def companions(each: DataFrame, tokens: DataFrame, pairs: DataFrame, hot: DataFr
     counts = stands.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     stands = written(lookup(stands, counts.withColumnRenamed("n", "held"), "token", written(hot_keys(counts, "token")), ["spelling"]))
     rarest = F.slice(F.array_sort(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "token")))), 1, 2)
-    beside = stands.join(stands.groupBy("spelling").agg(rarest.alias("r")), "spelling")
+    beside = stands.join(_big(stands.groupBy("spelling").agg(rarest.alias("r"))), "spelling")
     beside = beside.select("token", F.explode(F.slice(F.filter("r", lambda x: x["token"] != F.col("token")), 1, 1)["token"]).alias("other")).distinct()
     beside = written(beside)
     width = beside.groupBy("token").agg(F.count(F.lit(1)).alias("companions"))
     others = width.where(F.col("companions") >= LEAST_COMMON).select(F.col("token").alias("other"), F.lit(1).alias("_wide"))
-    narrow = beside.join(others, "other", "left").groupBy("token").agg(F.count(F.lit(1)).alias("companions"), F.count(F.when(F.col("_wide").isNull(), 1)).alias("narrow"))
-    of = counts.withColumnRenamed("n", "held").join(narrow, "token", "left").na.fill(0).withColumnRenamed("token", "fold")
-    return folded.toDF("token", "fold").join(of, "fold").select("token", "fold", "held", "companions", "narrow")
+    narrow = beside.join(_big(others), "other", "left").groupBy("token").agg(F.count(F.lit(1)).alias("companions"), F.count(F.when(F.col("_wide").isNull(), 1)).alias("narrow"))
+    of = counts.withColumnRenamed("n", "held").join(_big(narrow), "token", "left").na.fill(0).withColumnRenamed("token", "fold")
+    return folded.toDF("token", "fold").join(_big(of), "fold").select("token", "fold", "held", "companions", "narrow")
 
 
 def attributed_tokens(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """token, fixed, common: the token of highest posterior for each, and whether it is a common word.
+    """token, fixed, common: the token of highest posterior for each, written out if it is an abbreviation
+    or short form, and whether it is a common word.
 
     ``tokens`` has token, df (spellings that hold it), n (occurrences), common and listed; ``pairs``
     are their ``slip_pairs``.
     """
     known = tokens.select(F.col("token").alias("b"), F.col("df").alias("c_df"), F.col("n").alias("c_n"), F.col("common").alias("c_common"))
-    # Common words may be what any token is meant for; other tokens compete among themselves. Listed
-    # words stand for themselves; other common words do unless a far commoner one is near.
-    open_ = tokens.where("not listed")
-    scored = pairs.join(known, "b").join(open_.select(F.col("token").alias("a"), "df", "n", F.col("common").alias("a_common")), "a").where(
+    # Common words may be what any token is meant for, and are themselves meant for common ones only;
+    # other tokens compete among themselves. Listed words are no slips; other common words are if a far
+    # commoner one is near.
+    open_ = tokens.where("not listed").select(F.col("token").alias("a"), "df", "n", F.col("common").alias("a_common"))
+    scored = pairs.join(_big(known), "b").join(_big(open_), "a").where(
         # A slip is rarer than what was meant; between equals the first in byte order stays.
-        (F.col("a") == F.col("b")) | F.col("c_common") | (F.struct("c_df", "c_n") > F.struct("df", "n")) | ((F.struct("c_df", "c_n") == F.struct("df", "n")) & (F.col("b") < F.col("a"))))
+        (F.col("a") == F.col("b")) | F.col("c_common") | (~F.col("a_common") & ((F.struct("c_df", "c_n") > F.struct("df", "n")) | ((F.struct("c_df", "c_n") == F.struct("df", "n")) & (F.col("b") < F.col("a"))))))
     # What a token keeps for standing for itself: much of it if short, next to nothing if long.
-    own = F.coalesce(*[F.when(F.length("a") <= k, least) for k, least in SHORT_RATIO.items()]) - 1.5
+    own = F.coalesce(*[F.when(F.length("a") <= k, least) for k, least in SHORT_RATIO.items()]) + EDIT
     short = own + F.least(F.log(F.col("df").cast("double")), F.lit(FAR_RARER))
     prior = F.when((F.col("a") == F.col("b")) & ~F.col("a_common"), F.when(F.length("a") < SHORT, short).otherwise(-8.0)).otherwise(0.0)
-    posterior = prior + F.log(F.col("c_df").cast("double")) - 1.5 * F.col("d")
-    best = scored.groupBy("a").agg(F.max(F.struct(posterior.alias("p"), F.col("c_n").alias("n"), F.col("b").alias("b"), F.col("c_common").alias("common"))).alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.common").alias("common"))
-    best = written(best)
-    # What a token was attached to may itself be a slip.
-    further = best.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("common").alias("_c"))
-    first = best.join(further, best["b"] == further["_a"], "left").select("a", F.coalesce("_b", "b").alias("b"), F.coalesce("_c", "common").alias("common"))
-    slips = first.join(further, first["b"] == further["_a"], "left").select(F.col("a").alias("token"), F.coalesce("_b", "b").alias("fixed"), F.coalesce("_c", "common").alias("common"))
-    return slips.unionByName(tokens.where("listed").select("token", F.col("token").alias("fixed"), "common"))
+    posterior = prior + F.log(F.col("c_df").cast("double")) + EDIT * F.col("d")
+    best = scored.groupBy("a").agg(F.max(F.struct(posterior.alias("p"), F.col("c_n").alias("n"), F.col("b").alias("b"))).alias("x")).select("a", F.col("x.b").alias("b"))
+    ends = settled(best.where("a <> b"))
+    slips = best.where("a = b").select(F.col("a").alias("token"), F.col("b").alias("fixed")).unionByName(ends.select(F.col("a").alias("token"), F.col("b").alias("fixed")))
+    fixed = slips.unionByName(tokens.where("listed").select("token", F.col("token").alias("fixed"))).join(_big(known.select(F.col("b").alias("fixed"), F.col("c_common").alias("common"))), "fixed")
+    # A listed abbreviation or short form is taken for what it stands for, whichever of the two is more
+    # frequent: how often a table writes a word in full tells nothing about what the short form means.
+    return fixed.select("token", F.coalesce(F.try_element_at(_fixed(ABBREVIATIONS | SHORT_FORMS), F.col("fixed")), F.col("fixed")).alias("fixed"), "common")
 
 
 def entities_of(names: DataFrame) -> DataFrame:
@@ -173,7 +182,8 @@ def entities_of(names: DataFrame) -> DataFrame:
     as names of the same words.
     """
     names = names.where(F.col("name").isNotNull() & ~fold(strip(F.col("name"))).isin(NO_NAME))
-    spelled = names.select("name", "n", tokens_of(F.col("name")).alias("words")).withColumn("spelling", F.array_join(F.array_sort("words"), " "))
+    spelled = names.select("name", "n", tokens_of(F.col("name")).alias("words")).withColumn("spelling", F.array_join(F.concat(
+        F.array_sort(F.filter("words", lambda w: F.length(w) > 1)), F.filter("words", lambda w: F.length(w) == 1)), " "))
     spelled = written(spelled)
     spellings = spelled.groupBy("spelling").agg(F.sum("n").alias("n"))
     each = spellings.select("spelling", "n", F.explode(F.array_distinct(F.split("spelling", " "))).alias("token")).where("token <> ''")
@@ -184,35 +194,61 @@ def entities_of(names: DataFrame) -> DataFrame:
     pairs, hot = slip_pairs(tokens), written(hot_keys(tokens.select("token", F.col("df").alias("n")), "token"))
     beside = companions(each, tokens, pairs, hot)
     wide = (F.col("token") == F.col("fold")) & (F.col("narrow") >= LEAST_COMMON) & (2 * F.col("narrow") >= F.col("companions"))
-    tokens = tokens.join(beside, "token", "left").select(
+    tokens = tokens.join(_big(beside), "token", "left").select(
         "token", "df", "n", "listed", F.coalesce("held", "df").alias("held"), F.coalesce("companions", F.lit(0)).alias("companions"), ((F.length("token") > 1) & (F.col("listed") | F.coalesce(wide, F.lit(False)))).alias("common"))
     tokens = written(tokens)
     # Which token is a name's root is decided by what a slip was meant for, not by the slip.
+    attributed = written(attributed_tokens(tokens, pairs))
     meant = tokens.select(F.col("token").alias("fixed"), "companions", "held")
-    fixed = attributed_tokens(tokens, pairs).join(meant, "fixed").withColumn("fixed", written_out(F.col("fixed")))
-    parts = lookup(each.select("spelling", "n", "token"), written(fixed), "token", hot, ["spelling"])
+    fixed = written(attributed.join(_big(meant), "fixed", "left").na.fill(0, ["companions", "held"]))
+    parts = lookup(each.select("spelling", "n", "token"), fixed, "token", hot, ["spelling"])
     shaped = parts.groupBy("spelling").agg(
         F.max("n").alias("n"),
         F.min(F.when(~F.col("common") & (F.length("fixed") > 1), F.struct("companions", (-F.col("held")).alias("d"), (-F.length("fixed")).alias("l"), F.col("fixed").alias("root")))).alias("r"),
         F.array_sort(F.collect_set("fixed")).alias("all"),
     ).select("spelling", "n", F.col("r.root").alias("root"), "all")
     core = F.filter("all", lambda w: (F.length(w) > 1) & ~w.isin(LEGAL) & ~w.eqNullSafe(F.col("root")))
-    initials = F.filter("all", lambda w: F.length(w) == 1)
+    initials = F.filter(F.split("spelling", " "), lambda w: F.length(w) == 1)
     shaped = written(shaped.select("spelling", "n", "root", F.array_join(core, " ").alias("core"), initials.alias("initials"), F.array_join("all", " ").alias("all")))
-
     rooted = shaped.where("root is not null")
-    full = rooted.where("core <> ''").groupBy("root", "core").agg(F.sum("n").alias("n"))
-    by_letter = full.select("root", "core", "n", F.explode(F.array_distinct(F.transform(F.split("core", " "), lambda w: F.substring(w, 1, 1)))).alias("letter"))
-    by_letter = by_letter.groupBy("root", "letter").agg(F.max_by("core", F.struct("n", "core")).alias("meant"))
-    alone = full.groupBy("root").agg(F.min("core").alias("meant"), F.count(F.lit(1)).alias("cores")).where("cores = 1").select("root", "meant")
-    short = rooted.where("core = ''")
-    lettered = short.where("size(initials) > 0").select("spelling", "root", F.element_at("initials", 1).alias("letter")).join(by_letter, ["root", "letter"], "left").select(
-        "spelling", "root", F.coalesce("meant", "letter").alias("core"))
-    bare = short.where("size(initials) = 0").select("spelling", "root").join(alone, "root", "left").select("spelling", "root", F.coalesce("meant", F.lit("")).alias("core"))
-    ids = rooted.where("core <> ''").select("spelling", "root", "core").unionByName(lettered).unionByName(bare).select("spelling", F.concat_ws("\x01", "root", "core").alias("entity"))
-    ids = ids.unionByName(shaped.where("root is null").select("spelling", F.concat(F.lit("\x01\x01"), F.col("all")).alias("entity")))
+    named = rooted.join(_big(attached(rooted)), "spelling").select("spelling", F.concat_ws("\x01", "root", "meant").alias("entity"))
+    ids = named.unionByName(shaped.where("root is null").select("spelling", F.concat(F.lit("\x01\x01"), F.col("all")).alias("entity")))
     blank = spelled.where("spelling = ''").select("name", F.concat(F.lit("\x01\x01\x01"), F.col("name")).alias("entity"))
-    return spelled.where("spelling <> ''").join(ids, "spelling").select("name", "entity").unionByName(blank)
+    return spelled.where("spelling <> ''").join(_big(ids), "spelling").select("name", "entity").unionByName(blank)
+
+
+def attached(rooted: DataFrame) -> DataFrame:
+    """spelling and meant: the core of highest posterior for each of ``rooted`` (spelling, n, root, core,
+    initials) among those that occur with its root.
+
+    A core competes with those that have one word more; initials with the most frequent core of each
+    letter, which no other of this letter can beat; a bare root is the core that holds ``SURE`` of its
+    names. Equals leave a name with what it has.
+    """
+    log = lambda c: F.log(F.col(c).cast("double"))
+    full = written(rooted.where("core <> ''").groupBy("root", "core").agg(F.sum("n").alias("n")))
+    words = F.split("core", " ")
+    # A core with one of its words dropped: an equi-join, as with the letters of tokens.
+    fewer = full.where(F.size(words) > 1).select("root", F.col("core").alias("whole"), "n", F.explode(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_join(F.filter(words, lambda w, j: j != i), " "))).alias("core"))
+    longer = fewer.groupBy("root", "core").agg(F.max("n").alias("top"), F.max_by("whole", "n").alias("whole"))
+    ties = fewer.join(_big(longer.select("root", "core", "top")), ["root", "core"]).where("n = top").groupBy("root", "core").agg(F.countDistinct("whole").alias("equals"))
+    longer = longer.join(_big(ties), ["root", "core"]).where("equals = 1").select("root", "core", "top", "whole")
+    links = full.join(_big(longer), ["root", "core"]).where(log("top") + DROPPED > log("n")).select(F.struct("root", "core").alias("a"), F.struct("root", F.col("whole").alias("core")).alias("b"))
+    ends = settled(links).select("a.root", "a.core", F.col("b.core").alias("meant"))
+    known = written(full.join(_big(ends), ["root", "core"], "left").select("root", "core", "n", F.coalesce("meant", "core").alias("meant")))
+
+    of = known.groupBy("root", "meant").agg(F.sum("n").alias("n"))
+    letters = of.select("root", "meant", "n", F.explode(F.array_distinct(F.transform(F.split("meant", " "), lambda w: F.substring(w, 1, 1)))).alias("letter"))
+    letters = letters.groupBy("root", "letter", "n").agg(F.count(F.lit(1)).alias("equals"), F.min("meant").alias("meant")).groupBy("root", "letter").agg(F.max(F.struct("n", "equals", "meant")).alias("x"))
+    letters = letters.where("x.equals = 1").select("root", "letter", F.col("x.n").alias("c"), "x.meant")
+    short = rooted.where("core = ''")
+    each = short.where("size(initials) > 0").select("spelling", "root", F.col("initials")[0].alias("first"), F.posexplode("initials").alias("place", "letter"))
+    scored = each.join(_big(letters), ["root", "letter"], "left").groupBy("spelling").agg(F.first("first").alias("first"), F.max(F.when(F.col("meant").isNotNull(), F.struct((log("c") + F.when(F.col("place") > 0, LATER_INITIAL).otherwise(0.0)).alias("p"), (-F.col("place")).alias("o"), "meant"))).alias("x"))
+    lettered = scored.select("spelling", F.coalesce("x.meant", "first").alias("meant"))
+    alone = of.groupBy("root").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("meant", "n").alias("meant")).where(F.col("top") >= SURE * F.col("all")).select("root", "meant")
+    bare = short.where("size(initials) = 0").select("spelling", "root").join(_big(alone), "root", "left").select("spelling", F.coalesce("meant", F.lit("")).alias("meant"))
+    whole = rooted.where("core <> ''").select("spelling", "root", "core").join(_big(known.select("root", "core", "meant")), ["root", "core"]).select("spelling", "meant")
+    return whole.unionByName(lettered).unionByName(bare)
 
 
 def names_of(entities: DataFrame, triples: DataFrame, types: tuple[str, ...] = ("Organization", "ThreatActor")) -> DataFrame:
@@ -227,4 +263,4 @@ def same_names(entities: DataFrame, triples: DataFrame) -> DataFrame:
     """name_1, name_2: each pair of names that mean the same, the smaller first in byte order."""
     meant = written(entities_of(names_of(entities, triples)))
     a, b = meant.select(F.col("name").alias("name_1"), "entity"), meant.select(F.col("name").alias("name_2"), "entity")
-    return a.join(b, "entity").where("name_1 < name_2").select("name_1", "name_2")
+    return a.join(_big(b), "entity").where("name_1 < name_2").select("name_1", "name_2")

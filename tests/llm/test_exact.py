@@ -62,11 +62,62 @@ def test_survivors(spark):
         assert values[e].validation_status == (by[s].validation_status if s is not None else None)
 
 
+def brute_layers(rows, dims):
+    """The layer of each row of one group, by peeling as it is defined."""
+    left, out, k = list(rows), {}, 1
+    worse = lambda c, d: d is not c and d.at > c.at and all(x >= y for x, y in zip(dims(d), dims(c)))
+    while left:
+        top = [c for c in left if not any(worse(c, d) for d in left)]
+        out |= {c.id: k for c in top}
+        left, k = [c for c in left if c not in top], k + 1
+    return out
+
+
 def test_layers_fill_nulls(spark):
-    """A field that only a dominated record has is filled from its layer."""
-    df = spark.createDataFrame([(1, "k", 1.0, 5), (2, "k", None, 9), (3, "k", 0.5, 1)], "id long, k string, v double, t int")
-    one = survivors.skyline(df, "k", [survivors.Field("v", F.col("v"))], F.lit(1.0), F.lit(False), F.col("t"), "id").first()
-    assert (one.n, one.v_from) == (3, 1)
+    """A field that only dominated records have is filled from the next layer, not from the best score."""
+    df = spark.createDataFrame([(1, "k", 0.9, None, 1, 1), (2, "k", None, "x", 3, 9), (3, "k", 0.5, None, 2, 5), (4, "k", 1.0, None, 1, 0)], "id long, k string, v double, w string, trust int, t int")
+    fields = [survivors.Field("v", F.col("v")), survivors.Field("w", F.when(F.col("w").isNotNull(), 1.0))]
+    one = survivors.skyline(df, "k", fields, [F.col("trust")], F.lit(False), F.col("t"), "id").first()
+    assert (one.n, one.v_from, one.w_from) == (4, 3, 2)
+    shallow = survivors.skyline(df, "k", fields, [F.col("trust")], F.lit(False), F.col("t"), "id", layers=1).first()
+    assert (shallow.v_from, shallow.w_from) == (4, 2)  # beyond the layers told apart the policy decides
+
+
+@pytest.mark.parametrize("most", [10, 2000])
+def test_layers_by_definition(spark, most):
+    """Hot groups, small batches and parts give what peeling whole groups gives."""
+    from collections import namedtuple
+
+    row = namedtuple("row", "id k v trust full at")
+    rng = random.Random(4)
+    rows = [row(i, rng.choice(["hot", f"k{rng.randrange(20)}"]), rng.choice([None, 0.1, 0.5, 0.5, 0.9]), rng.randrange(4), rng.randrange(3), i * 7919 % 600) for i in range(600)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        df = spark.createDataFrame([tuple(r) for r in rows], "id long, k string, v double, trust int, full int, at int").repartition(3)
+        got = {r.k: (r.n, r.v_from) for r in survivors.skyline(df, "k", [survivors.Field("v", F.col("v"))], [F.col("trust"), F.col("full")], F.lit(False), F.col("at"), "id", most=most).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = defaultdict(list)
+    for r in rows:
+        by[r.k].append(r)
+    want = {}
+    for k, g in by.items():
+        layer = brute_layers(g, lambda r: (r.trust, r.full))
+        usable = [(-min(layer[r.id], survivors.LAYERS + 1), r.v, r.at, r.id) for r in g if r.v is not None]
+        if len(g) > 1:
+            want[k] = (len(g), max(usable)[-1] if usable else None)
+    assert got == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=120))
+def test_layers_side_by_side_and_one_by_one(rows):
+    rows = sorted(rows, key=lambda r: r[0])
+    group, v = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], float)
+    want = []
+    for i, r in enumerate(rows):
+        want.append(1 + max([want[j] for j in range(i) if group[j] == group[i] and (v[j] >= v[i]).all()], default=0))
+    assert survivors.layers_of(group, v, 3).tolist() == [min(x, 4) for x in want]
 
 
 # 3: same writing
@@ -83,13 +134,13 @@ def brute_groups(records):
     return {s: (min(v), len(v)) for v in g.values() for s in v}
 
 
-@pytest.mark.parametrize("least", [1, 10_000])
-def test_collapse_hot_and_cold(spark, least):
+@pytest.mark.parametrize("most", [40, 299, 10_000])
+def test_collapse_hot_and_cold(spark, most):
     rng = random.Random(2)
     spell = ["Fox", " fox", "F-O-X", "fo​x", None, "", "Straße", "STRASSE", "ox", "x" * 50_000]
     rows = [(i, *(("Fox", "uses", "A") if i % 3 == 0 else (rng.choice(spell), rng.choice(["uses", "Uses!"]), rng.choice(spell)))) for i in range(900)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "seq long, subject string, relation string, object string, first string")
-    got = {r.seq: (r.first, r.copies) for r in same_writing.collapse(df, "seq", same_writing.FIELDS, parts=5, least=least).collect()}
+    got = {r.seq: (r.first, r.copies) for r in same_writing.collapse(df, "seq", same_writing.FIELDS, most=most).collect()}
     assert got == brute_groups(rows)
     assert same_writing.collapse(df.where("false"), "seq", same_writing.FIELDS).count() == 0
 
@@ -126,15 +177,20 @@ SMALL = pieces.Sizes(largest=60, smallest=20, overlap=10, reach=15, landmark_bit
 
 @settings(max_examples=200, deadline=None)
 @given(texts)
-def test_pieces_cover(text):
-    cut = pieces.cuts(text, SMALL)
+def test_pieces_cover_and_overlap(text):
+    """Pieces cover the text, none exceeds the limit, and each begins before the one before it ends."""
     end = 0
-    for a, b, _ in cut:
-        assert a <= end and end - a <= SMALL.overlap and end < b and b - a <= SMALL.largest
+    for i, (a, b, _, _) in enumerate(pieces.cuts(text, SMALL)):
+        assert (0 < end - a <= SMALL.overlap if i else a == 0) and end < b and b - a <= SMALL.largest
         end = b
     assert end == len(text)
 
 
+def test_hard_cuts_overlap_fully():
+    cut = pieces.cuts("x" * 9000, pieces.Sizes())
+    assert all(b - a == 2000 for a, b, *_ in cut[:-1]) and all(x[1] - y[0] == 200 for x, y in zip(cut, cut[1:]))
+
+
 def brute_paragraphs(t):
     spans, cur, pos = [], None, 0
     for line in [*t.split("\n"), ""]:
@@ -149,10 +205,12 @@ def brute_paragraphs(t):
     return spans
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(texts)
-def test_paragraphs(text):
-    assert pieces.paragraphs(text) == brute_paragraphs(text)
+def test_cuts_tell_long_paragraphs(text):
+    """Every paragraph beyond the limit is divided by a cut, and told once."""
+    told = [d for *_, d in pieces.cuts(text, SMALL) if d and d[1] - d[0] > SMALL.largest]
+    assert told == [s for s in brute_paragraphs(text) if s[1] - s[0] > SMALL.largest]
 
 
 def test_oversized(spark, data):
@@ -167,7 +225,7 @@ def test_oversized(spark, data):
 def test_an_edit_moves_only_near_cuts():
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) + rng.choice(["", "", "", ".", ","]) for _ in range(20_000))
-    ends = lambda t: {len(t) - b for _, b, _ in pieces.cuts(t, pieces.Sizes())}
+    ends = lambda t: {len(t) - b for _, b, *_ in pieces.cuts(t, pieces.Sizes())}
     a, b = ends(text), ends("something new. " + text)
     assert len(a & b) >= 0.9 * len(a)
 

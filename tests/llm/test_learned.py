@@ -72,15 +72,15 @@ def test_entered_values(spark, reference):
         "USES": "uses", "(uses)": "uses", "us​es": "uses", "apparently  runs out of,": "located_in", "breaksinthrough-peranalyst": "exploits", "delivers [2]": "delivers", "StationedIn–PerAnalyst": "located_in", "with contained": "mitigated_by",
         "Seen alnogside": "associated_with", "beelved_work_of": "attributed_to", "???": "unmatched", "": "unmatched", "lunch menu": "unmatched", "see figure 3": "unmatched", "x" * 20_000: "unmatched",
     }
-    got = {r.written: r.entry for r in reference_values.mapped(written_values(spark, *cases, None), reference).collect()}
+    got = {r.written: r.entry for r in reference_values.mapped(written_values(spark, *cases, None), reference, ["text"]).collect()}
     assert got == cases
 
 
 def test_entered_repeats_and_empty(spark, reference):
     rows = written_values(spark, *["Uses"] * 50, "todo")
-    assert reference_values.mapped(rows, reference).count() == 51
-    assert reference_values.mapped(rows.where("false"), reference).count() == 0
-    assert {r.entry for r in reference_values.mapped(rows, reference.where("false")).collect()} == {"unmatched"}
+    assert reference_values.mapped(rows, reference, ["text"]).count() == 51
+    assert reference_values.mapped(rows.where("false"), reference, ["text"]).count() == 0
+    assert {r.entry for r in reference_values.mapped(rows, reference.where("false"), ["text"]).collect()} == {"unmatched"}
 
 
 def test_held_out_slips(spark, reference):
@@ -95,7 +95,7 @@ def test_held_out_slips(spark, reference):
             kind = rng.randrange(3)
             text[i : i + 2] = [text[i + 1], text[i]] if kind == 0 else [text[i]] if kind == 1 else [text[i], rng.choice("etaoin"), text[i + 1]]
         cases["".join(text)] = entry
-    got = {r.written: r.entry for r in reference_values.mapped(written_values(spark, *cases), reference).collect()}
+    got = {r.written: r.entry for r in reference_values.mapped(written_values(spark, *cases), reference, ["text"]).collect()}
     assert sum(got[k] == v for k, v in cases.items()) >= 0.97 * len(cases)
 
 
@@ -177,6 +177,39 @@ def test_short_names_of_their_own(spark):
     assert not any(g & smith and g & smyth for g in groups_of(spark, *[(n, 1) for n in smith | smyth]))
 
 
+def test_initials_in_their_order(spark):
+    """The first initial is the given name's, whatever the other names are; equals stay apart."""
+    want = [{"Robert Halvorsen", "R. A. Halvorsen", "Halvorsen, R."}, {"Andrew Halvorsen", "A. Halvorsen", "A. R. Halvorsen"}]
+    assert groups_of(spark, *[(n, 10 if n == "Robert Halvorsen" else 12 if n == "Andrew Halvorsen" else 1) for g in want for n in g]) == sorted(want, key=lambda s: sorted(s))
+    got = groups_of(spark, ("Robert Halvorsen", 5), ("Richard Halvorsen", 5), ("R. Halvorsen", 1), ("Halvorsen", 1))
+    assert sorted(map(len, got)) == [1, 1, 1, 1]
+
+
+def test_dropped_words_and_bare_names(spark):
+    """A rare name that lacks a word of a far more frequent one is it; a bare one if hardly any other is."""
+    got = groups_of(spark, ("Vumtarsolin Savings Bank", 2000), ("Vumtarsolin Savings", 1), ("Vumtarsolin", 1), ("Vumtarsolin Mining", 3))
+    assert got == sorted([{"Vumtarsolin Savings Bank", "Vumtarsolin Savings", "Vumtarsolin"}, {"Vumtarsolin Mining"}], key=lambda s: sorted(s))
+    got = groups_of(spark, ("Vumtarsolin Savings Bank", 20), ("Vumtarsolin Savings", 10), ("Vumtarsolin", 1))
+    assert sorted(map(len, got)) == [1, 1, 1]
+
+
+def test_chains_of_slips(spark):
+    """A slip of a slip of a slip ends where its chain does."""
+    chain = ["vumtarsolinbek", "vumtarsolinbekxx", "vumtarsolinbekxxyy", "vumtarsolinbekxxyyzz", "vumtarsolinbekxxyyzzww", "vumtarsolinbekxxyyzzwwvv"]
+    got = groups_of(spark, *[(f"{w} Mining {x}", 1) for i, w in enumerate(chain) for x in ["Limited", "Ltd", "Corp", "Company", "Co", "Inc", "Group"][i:]])
+    assert len(got) == 1
+
+
+def test_ten_times_the_table(spark):
+    """The same links in a table and in ten renamed copies of it."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    base = [("Robert Halvorsenik", 4), ("Bob Halvorsenik", 1), ("R. Halvorsenik", 1), ("Robert Halvorsneik", 1), ("Zikcojepimum Mining Limited", 6), ("Mining Zikcojepimum Ltd", 1), ("Zikcojepimun Mining", 1)]
+    renamed = lambda name, k: name.replace("Halvors", "Halvors" + letters[k] * 3).replace("cojepi", letters[k] * 3 + "cojepi")
+    one = groups_of(spark, *base)
+    ten = groups_of(spark, *[(renamed(n, 2 * k), c) for k in range(10) for n, c in base])
+    assert ten == sorted([{renamed(n, 2 * k) for n in g} for k in range(10) for g in one], key=lambda s: sorted(s)) and len(one) == 2
+
+
 def test_names_in_tables_of_two_sizes(spark):
     rng = random.Random(6)
     mine = ["Walter Vumtarsolin", "W. Vumtarsolin", "Vumtarsolin, Walter", "Walter Vumtarsloin", "Zikcojepimum Shipyards Limited", "Zikcojepimum Shipyards", "Shipyards Zikcojepimum Ltd", "Zikcojepimmu Shipyards Ltd"] + [f"Walter Vumtarsolin {'x' * 30}{i}" for i in range(12)]
