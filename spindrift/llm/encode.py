@@ -3,8 +3,10 @@
 Texts are read once, in blocks of bounded size. A block gives the list of its distinct words and,
 for each text, the positions in that list; both are written to the shared folder. The words of all
 blocks are made distinct, each is encoded once, and the ids return to the blocks by a join on the
-word; the hottest word meets the join once per block, not once per occurrence. A block's words and
-texts then meet by block, where each text's ids are put together by position.
+word; a word meets the join once per block, not once per occurrence. Words that half of all blocks
+have are broadcast: there are at most twice as many as a block has words, whatever the corpus. All
+others take a shuffle in which none is hot. A block's words and texts then meet by block, where each
+text's ids are put together by position.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.lineage import written
+from spindrift.operators.skew import hot_keys, lookup
 
 #: Where the vocabulary files are; a parameter of every function that needs one.
 FOLDER = os.environ.get("SPINDRIFT_TOKENIZERS", "/opt/tokenizers")
@@ -75,7 +78,7 @@ def _encode(folder: str, name: str):
         bpe = _encoder(folder, name)
         for batch in batches:
             ids = [bpe._encode_single_piece(w.encode("utf-8", "replace")) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(1)], names=["word", "ids", "n"])
 
     return run
 
@@ -109,8 +112,15 @@ def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str =
     """
     blocks = written(documents.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(_split, "block long, row int, doc_id long, words array<string>, at binary"))
     listed = blocks.where("row = -1").select("block", F.posexplode("words").alias("i", "word"))
-    pieces = listed.select("word").distinct().mapInArrow(_encode(folder, vocabulary), "word string, ids array<int>")
-    words = listed.join(pieces, "word").select(F.col("block").alias("of_block"), "i", "ids")
+    counted = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = written(counted.mapInArrow(_encode(folder, vocabulary), "word string, ids array<int>, n long"))
+    half = max(2, blocks.where("row = -1").count() / 2)
+    frequent, rest = known.where(F.col("n") >= half).select("word", F.col("ids").alias("_ids")), known.where(F.col("n") < half)
+    hot = written(hot_keys(rest, "word"))
+    flagged = listed.join(F.broadcast(frequent), "word", "left")
+    found = flagged.where("_ids is not null").select(F.col("block").alias("of_block"), "i", F.col("_ids").alias("ids"))
+    tail = flagged.where("_ids is null").select("block", "i", "word")
+    words = found.unionByName(lookup(tail, rest.select("word", "ids"), "word", hot, ["block"]).select(F.col("block").alias("of_block"), "i", "ids"))
     texts = blocks.where("row >= 0").select("block", "doc_id", "at")
     return texts.groupBy("block").cogroup(words.groupBy("of_block")).applyInArrow(_joined, "doc_id long, ids array<int>")
 

@@ -2,8 +2,8 @@
 
 The edges lie on a two-dimensional grid: both ends are hashed into blocks, and the edges of a pair
 of blocks form one partition, so the edges of a vertex with very many partners spread over a whole
-row or column. Every partition is solved by a local union-find. Rows and columns then exchange
-their representatives: a vertex with different representatives in several partitions links them,
+row or column; a partition that is still too large is split. Every one is solved by a local
+union-find. Rows and columns then exchange their representatives: a vertex with different representatives in several partitions links them,
 and those links, over far fewer vertices, are the edges of the next round. When none are left the
 parents are stable, and the rounds' parents are composed from the last to the first.
 """
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import fold, strip
 from spindrift.lineage import written
+from spindrift.operators.skew import hot_keys
 
 EDGES_PER_CELL = 200_000
+#: Fewer edges than this are not worth a cell of their own.
+LEAST_PER_CELL = 2_000
 #: Sorts after every node identifier, so that an alias is never a group's smallest member.
 ALIAS = "\U0010ffff"
 
@@ -53,6 +56,9 @@ def _solve(cell: pd.DataFrame) -> pd.DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", cell: int = EDGES_PER_CELL) -> DataFrame:
     """``node`` and ``group`` (the group's smallest member, byte order) of all that occur in ``edges``.
 
+    The grid has a cell for each core if there are edges enough, and no cell gets more than about
+    ``cell`` edges.
+
     Ends are strings. Rows with a null end are left out; repeated, reversed and self edges change
     nothing, except that a self edge alone puts its node into a group of its own. An empty table
     gives an empty one.
@@ -60,10 +66,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", cell: int = EDGES_P
     left = edges.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a is not null and b is not null")
     left = written(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     while (n := left.count()) or not rounds:
-        side = max(1, int(np.ceil(np.sqrt(n / cell))))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")  # noqa: B023, E731
-        solved = left.groupBy(block("a"), block("b")).applyInPandas(_solve, "v string, rep string")
+        side = max(1, int(np.ceil(np.sqrt(max(n / cell, min(cores, n / min(cell, LEAST_PER_CELL)))))))
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))  # noqa: B023, E731
+        placed = left.withColumn("cell", (block("a") * side + block("b")).cast("int"))
+        # The cells of a vertex with very many partners hold more than their share: those are split by edge.
+        if n > cell:
+            large = written(hot_keys(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell", most=cell))
+            placed = placed.join(F.broadcast(large), "cell", "left")
+        else:
+            placed = placed.withColumn("parts", F.lit(None).cast("int"))
+        parted = placed.withColumn("part", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("parts")), F.lit(0).cast("long")))
+        solved = parted.select("cell", "part", "a", "b").groupBy("cell", "part").applyInPandas(_solve, "v string, rep string")
         # Representatives of a vertex: at most one per cell of its row and column.
         parents = written(solved.groupBy("v").agg(F.min("rep").alias("up"), F.array_distinct(F.collect_list("rep")).alias("reps")))
         rounds.append(parents.select("v", "up"))

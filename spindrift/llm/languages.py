@@ -245,9 +245,10 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     for a part of them. Trigram counts come to the driver, at most one row a language and trigram of
     the fixed alphabet.
     """
-    labelled = documents.select(label_of(F.col("lang")).alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"), "text").where(F.col("label").isin(LANGUAGES) & F.col("text").isNotNull())
+    labelled = documents.select(label_of(F.col("lang")).alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"), "text").where(F.col("label").isin(LANGUAGES))
+    # Counted by label alone: texts are read for the sample only.
     sizes = labelled.groupBy("label").agg((F.lit(sample) / F.count(F.lit(1)) * 1_000_000).alias("limit"))
-    chosen = labelled.join(F.broadcast(sizes), "label").where(F.col("h") < F.col("limit")).select("label", "text")
+    chosen = labelled.join(F.broadcast(sizes), "label").where((F.col("h") < F.col("limit")) & F.col("text").isNotNull()).select("label", "text")
     counts = chosen.mapInArrow(_counts, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas()
     profiles, shares = np.zeros((len(LANGUAGES), DIM)), []
     for i, lang in enumerate(LANGUAGES):

@@ -73,6 +73,8 @@ LEAST_COMMON = 10
 #: Shorter tokens have many neighbours by chance: a slip is taken only for something this much more frequent, as
 #: logarithms by length; the ratio rises with the spellings of the token itself, up to FAR_RARER.
 SHORT, SHORT_RATIO, FAR_RARER = 7, {3: 2.3, 4: 1.0, 5: 1.0, 6: 0.8}, 3.0
+#: What slips of common words gain, as a logarithm: everyone writes these, so each of their slips is frequent.
+COMMON_SLIP = 1.5
 #: Logarithms of likelihoods: of an edit, of a word dropped from a name, of an initial that is not the first.
 EDIT, DROPPED, LATER_INITIAL = -1.5, -6.0, -4.0
 #: Share of a distinctive token's names that one core needs for a name without core or initials to be it.
@@ -164,7 +166,7 @@ def attributed_tokens(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     # What a token keeps for standing for itself: much of it if short, next to nothing if long.
     own = F.coalesce(*[F.when(F.length("a") <= k, least) for k, least in SHORT_RATIO.items()]) + EDIT
     short = own + F.least(F.log(F.col("df").cast("double")), F.lit(FAR_RARER))
-    prior = F.when((F.col("a") == F.col("b")) & ~F.col("a_common"), F.when(F.length("a") < SHORT, short).otherwise(-8.0)).otherwise(0.0)
+    prior = F.when((F.col("a") == F.col("b")) & ~F.col("a_common"), F.when(F.length("a") < SHORT, short).otherwise(-8.0)).when((F.col("a") != F.col("b")) & F.col("c_common"), COMMON_SLIP).otherwise(0.0)
     posterior = prior + F.log(F.col("c_df").cast("double")) + EDIT * F.col("d")
     best = scored.groupBy("a").agg(F.max(F.struct(posterior.alias("p"), F.col("c_n").alias("n"), F.col("b").alias("b"))).alias("x")).select("a", F.col("x.b").alias("b"))
     ends = settled(best.where("a <> b"))
