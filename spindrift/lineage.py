@@ -1,7 +1,8 @@
 """Cutting lineage so that jobs survive lost executors.
 
 Intermediate results go to the folder that ``spark.checkpoint.dir`` names, which all executors
-share; only where that setting is missing (tests) a folder of this machine is taken.
+share; only where that setting is missing and all executors are threads of this process (tests) a
+folder of this machine is taken.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; sets the checkpoint directory where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="spindrift-")
     if not spark.sparkContext.getCheckpointDir():
@@ -43,6 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Removes the tables written so far, between two pieces of work of a long session: no frame made
+    before may be used afterwards."""
+    _remove()
+    _written.clear()
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:

@@ -52,6 +52,7 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     """ids and unit-length matrix (bytes) of blocks of about ``size`` vectors."""
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
         m = np.stack(g["v"].to_numpy()).astype(np.float64)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         return pd.DataFrame({"ids": [g["id"].to_numpy()], "m": [m.tobytes()]})
@@ -61,26 +62,91 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.select("id", "v").where("id is not null and v is not null").groupBy(block).applyInPandas(pack, "ids array<long>, m binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, size: int = BLOCK) -> DataFrame:
-    """The ``k`` vectors (id, v) of highest cosine to each query (id, v) besides itself, exact.
-
-    A stated query set against all rows, in blocks: every block of queries meets every block of
-    vectors in one matrix product, which gives its own best ``k``; only those are shuffled. Null
-    vectors are left out.
-    """
+def _products(k: int):
+    """The best ``k`` of a block of vectors for each of a block of queries."""
 
     def product(batches):
         for batch in batches:
             for qi, qm, ei, em in zip(batch["qi"], batch["qm"], batch["ei"], batch["em"]):
                 qi, ei = np.asarray(qi), np.asarray(ei)
                 s = np.frombuffer(qm).reshape(len(qi), -1) @ np.frombuffer(em).reshape(len(ei), -1).T
+                s = np.round(s, 6)  # ties, in the order of ids, are those of the rounded cosines
                 s[qi[:, None] == ei[None, :]] = -2
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"q": np.repeat(qi, top.shape[1]), "e": ei[top].ravel(), "cosine": np.take_along_axis(s, top, 1).ravel()})
 
+    return product
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, size: int = BLOCK) -> DataFrame:
+    """The ``k`` vectors (id, v) of highest cosine to each query (id, v) besides itself, exact.
+
+    A stated query set against all rows, in blocks: every block of queries meets every block of
+    vectors in one matrix product, which gives its own best ``k``; only those are shuffled. Null
+    vectors are left out.
+    """
+
     asked = _blocks(queries, size).toDF("qi", "qm")
     pairs = asked.crossJoin(_blocks(vectors, size).toDF("ei", "em"))
-    found = pairs.mapInPandas(product, "q long, e long, cosine double").where("cosine > -2").withColumn("cosine", F.round("cosine", 6))
+    found = pairs.mapInPandas(_products(k), "q long, e long, cosine double").where("cosine > -2").withColumn("cosine", F.round("cosine", 6))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "e"))).where(F.col("rank") <= k)
+
+
+#: Rows on which an index is fitted at most, vectors of one cell, and the share of cells that a query visits.
+FIT, PER_CELL, VISITED = 20_000, 2_000, 0.7
+
+
+def _centres(vectors: DataFrame, n: int, fit: int) -> np.ndarray:
+    """Centres of ``n`` cells by k-means on at most ``fit`` vectors, those of smallest hash."""
+    got = vectors.where("id is not null and v is not null").select("v").orderBy(F.xxhash64("id"), "id").limit(fit).toPandas()
+    m = np.stack(got["v"].to_numpy()).astype(np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    centres = m[np.random.default_rng(7).choice(len(m), min(n, len(m)), replace=False)]
+    for _ in range(10):
+        of = (m @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, m)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return centres
+
+
+def indexed_nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int | None = None, visited: float = VISITED, fit: int = FIT, size: int = BLOCK) -> DataFrame:
+    """As ``nearest``, by an index over all rows: every vector lies in the cell of its nearest centre, and
+    a query visits the ``visited`` share of cells whose centres are nearest. The centres are fitted on
+    a bounded sample (``fit`` rows); their number grows with the rows up to 4096. Not exact: see
+    ``nearest``, which is, for its recall.
+    """
+    rows = vectors.where("id is not null and v is not null").select("id", "v")
+    n = cells or int(min(4096, 1 + rows.count() // PER_CELL))
+    if not rows.limit(1).count():
+        return nearest(vectors, queries, k, size)
+    centres = _centres(rows, n, fit)
+    most = max(1, int(np.ceil(len(centres) * visited)))
+
+    def placed(few: int):
+        def run(batches):
+            for batch in batches:
+                m = np.stack(batch["v"].to_numpy()).astype(np.float64) if len(batch) else np.empty((0, centres.shape[1]))
+                near = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :few]
+                yield pd.DataFrame({"cell": near.ravel(), "id": np.repeat(batch["id"].to_numpy(), near.shape[1]), "v": np.repeat(batch["v"].to_numpy(), near.shape[1])})
+
+        return run
+
+    def packed(df: DataFrame, few: int, a: str, b: str) -> DataFrame:
+        def pack(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("id")
+            m = np.stack(g["v"].to_numpy()).astype(np.float64)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            return pd.DataFrame({"cell": [g["cell"].iloc[0]], a: [g["id"].to_numpy()], b: [m.tobytes()]})
+
+        each = df.mapInPandas(placed(few), f"cell long, id long, v {dict(df.dtypes)['v']}")
+        # A cell may hold far more than its share: blocks of it stay bounded.
+        sizes = F.broadcast(each.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts")))
+        return each.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.col("parts"))).applyInPandas(lambda g: pack(g), f"cell long, {a} array<long>, {b} binary")
+
+    pairs = packed(queries.where("id is not null and v is not null").select("id", "v"), most, "qi", "qm").join(packed(rows, 1, "ei", "em"), "cell").select("qi", "qm", "ei", "em")
+    found = pairs.mapInPandas(_products(k), "q long, e long, cosine double").where("cosine > -2")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "e"))).where(F.col("rank") <= k)
 
 

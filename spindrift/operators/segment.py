@@ -1,7 +1,11 @@
-"""Texts in sentences and chunks: expressions over one row, no shuffle."""
+"""Texts in sentences and chunks: work on one row at a time, no shuffle."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,49 +44,68 @@ def focus_text(documents: DataFrame, n: int = 6) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), "\n").alias("text"))
 
 
-def _packed(pieces: Column, limit: int, glue: str) -> Column:
-    """Pieces packed in order into buffers of at most ``limit`` characters, a longer piece alone."""
-    kind = "array<string>"
-    fold = F.aggregate(
-        pieces, F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("buf")),
-        lambda acc, p: F.when(acc["buf"] == "", F.struct(acc["done"].alias("done"), p.alias("buf")))
-        .when(F.length(acc["buf"]) + F.length(p) + len(glue) > limit, F.struct(F.concat(acc["done"], F.array(acc["buf"])).alias("done"), p.alias("buf")))
-        .otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["buf"], F.lit(glue), p).alias("buf"))),
-        lambda acc: F.when(acc["buf"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["buf"]))),
-    )
-    return fold
+_BREAK, _SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+
+
+def _by_sentence(text: str, limit: int, most: int) -> list[str]:
+    """Sentences packed up to ``limit`` characters and ``most`` sentences (0: any number)."""
+    out, part, n = [], "", 0
+    for sentence in filter(None, map(str.strip, _SENTENCE.split(text))):
+        if part and (len(part) + len(sentence) + 1 > limit or most and n >= most):
+            out.append(part)
+            part, n = "", 0
+        part, n = f"{part} {sentence}" if part else sentence, n + 1
+    return [*out, part] if part else out
+
+
+def packed(text: str, limit: int, most: int) -> list[str]:
+    """Paragraphs packed up to ``limit`` characters, longer ones by sentences; what is left at the end
+    by sentences too if it has more than ``most`` of them."""
+    out, buffer = [], ""
+    for paragraph in filter(None, map(str.strip, _BREAK.split(text))):
+        if len(paragraph) > limit:
+            out += [buffer] if buffer else []
+            out += _by_sentence(paragraph, limit, most)
+            buffer = ""
+        elif buffer and len(buffer) + len(paragraph) + 2 > limit:
+            out.append(buffer)
+            buffer = paragraph
+        else:
+            buffer = f"{buffer}\n\n{paragraph}" if buffer else paragraph
+    return out + (_by_sentence(buffer, limit, most) if most else [buffer]) if buffer else out
+
+
+_CHUNK = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])
+
+
+def _chunked(limit: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text, at = (text or "").strip(), 0
+                for i, chunk in enumerate(packed(text, limit, most)):
+                    found = text.find(chunk[:50], at)
+                    start = found if found >= 0 else at
+                    at = start + len(chunk)
+                    rows.append((doc, i, None if doc is None else f"doc{doc}_chunk{i}", chunk, start, at))
+            columns = zip(*rows) if rows else [[] for _ in _CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHUNK)], schema=_CHUNK)
+
+    return run
 
 
-def chunks(documents: DataFrame, limit: int = 2000) -> DataFrame:
+def chunks(documents: DataFrame, limit: int = 2000, sentences: int = 0) -> DataFrame:
     """doc_id, chunk_index, chunk_id, text, char_start, char_end: paragraphs packed up to ``limit``
-    characters, longer ones packed by sentences.
+    characters, longer ones packed by sentences, ``sentences`` at most (0: any number).
 
     Offsets are found by a chunk's first fifty characters from the end of the one before, in the
     stripped text; where they are not found that end is taken. Blank and null texts give no rows.
+    One pass over each text, in Arrow batches: as folds of column expressions the packing copied its
+    buffers at every paragraph. No shuffle.
     """
-    text = strip(F.col("text"))
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
-    # Long paragraphs flush the buffer: runs of short ones are packed apart from them.
-    kind = "array<struct<long:boolean,ps:array<string>>>"
-    runs = F.aggregate(
-        paragraphs, F.array().cast(kind),
-        lambda acc, p: F.when(
-            (F.length(p) <= limit) & (F.size(acc) > 0) & ~F.coalesce(F.try_element_at(acc, F.lit(-1))["long"], F.lit(True)),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.lit(False).alias("long"), F.concat(F.try_element_at(acc, F.lit(-1))["ps"], F.array(p)).alias("ps")))))
-        .otherwise(F.concat(acc, F.array(F.struct((F.length(p) > limit).alias("long"), F.array(p).alias("ps"))))),
-    )
-    packed = F.flatten(F.transform(runs, lambda r: F.when(r["long"], _packed(sentences(r["ps"][0]), limit, " ")).otherwise(_packed(r["ps"], limit, "\n\n"))))
-    listed = documents.select("doc_id", text.alias("t"), packed.alias("cs")).where("size(cs) > 0")
-    state = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
-
-    def place(acc: Column, c: Column) -> Column:
-        at = F.call_function("locate", F.substring(c, 1, 50), F.col("t"), acc["end"] + 1) - 1
-        start = F.when(at >= 0, at).otherwise(acc["end"])
-        return F.struct((start + F.length(c)).alias("end"), F.concat(acc["starts"], F.array(start)).alias("starts"))
-
-    placed = listed.select("doc_id", "cs", F.aggregate("cs", state, place, lambda a: a["starts"]).alias("starts"))
-    rows = placed.select("doc_id", F.posexplode(F.arrays_zip("cs", "starts")).alias("chunk_index", "x"))
-    return rows.select("doc_id", "chunk_index", F.concat(F.lit("doc"), "doc_id", F.lit("_chunk"), "chunk_index").alias("chunk_id"), F.col("x.cs").alias("text"), F.col("x.starts").alias("char_start"), (F.col("x.starts") + F.length("x.cs")).alias("char_end"))
+    out = "doc_id long, chunk_index int, chunk_id string, text string, char_start int, char_end int"
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked(limit, sentences), out)
 
 
 def inferred_evidence(source: Column, subject: Column, obj: Column) -> Column:

@@ -44,6 +44,12 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.nearest(v, v.where("id % 100 = 0")).select("q", "e", F.col("rank").alias("place"), F.round("cosine", 4).alias("cosine"))
 
 
+def nearest_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by an index of cells."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieve.indexed_nearest(v, v.where("id % 100 = 0"), cells=16).select("q", "e", F.col("rank").alias("place"), F.round("cosine", 4).alias("cosine"))
+
+
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     return retrieve.leaders(v, "label", 0.35)
@@ -56,7 +62,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 _SENT = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {duck.strip('x')}), lambda x: x <> '')"
 _WORDS = "list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.:\\-]*'), lambda w: lower(w)))"
 
-QUERIES = {f.__name__: f for f in (sentences, focus_sentences, chunks, evidence_backfill, fewshot_topk, nearest_vectors, leader_clusters, event_windows)}
+QUERIES = {f.__name__: f for f in (sentences, focus_sentences, chunks, evidence_backfill, fewshot_topk, nearest_vectors, nearest_indexed, leader_clusters, event_windows)}
 
 _PLAIN = duck.strip("text")
 #: Sentences before a capital or a digit, cut where an end mark and white space precede one.

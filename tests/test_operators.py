@@ -237,6 +237,37 @@ def test_leaders_and_nearest_edges(spark):
     assert retrieve.nearest(v.where("false"), v.where("id = 1"), 1).count() == 0
 
 
+def test_index_recall(spark, data):
+    """The index finds nine tenths or more of the exact neighbours, and all of them if it visits all cells."""
+    v = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("vec_id as id", "embedding as v")
+    asked = v.where("id % 10 = 0")
+    pairs = lambda df: {(r.q, r.e) for r in df.collect()}
+    exact = pairs(retrieve.nearest(v, asked))
+    assert pairs(retrieve.indexed_nearest(v, asked, cells=8, visited=1.0, size=50)) == exact
+    assert len(pairs(retrieve.indexed_nearest(v, asked, cells=16)) & exact) >= 0.9 * len(exact)
+    assert retrieve.indexed_nearest(v.where("false"), asked).count() == 0
+
+
+def test_chunks_by_sentences(spark):
+    df = spark.createDataFrame([(1, "Aa one. Bb two. Cc three.\n\nDd four."), (2, None), (None, "Xx.")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.chunk_index, r.text) for r in segment.chunks(df, 2000, 2).collect()) == [(0, 0, "Xx."), (1, 0, "Aa one. Bb two."), (1, 1, "Cc three. Dd four.")]
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from spindrift import lineage
+
+    class Spark:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Spark)
+
+
 def test_few_shot_outputs_and_own_document(spark):
     q = spark.createDataFrame([(1, "alpha beta", "d1")], "id long, text string, doc string")
     e = spark.createDataFrame([(1, "alpha beta", "zeta", "d1"), (2, "alpha gamma", "beta", "d2"), (3, "delta", "alpha beta", "d3"), (4, "delta", "eta", "d4")], "id long, text string, output string, doc string")
