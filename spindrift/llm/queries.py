@@ -198,6 +198,7 @@ select b.event_id, c.n as deliveries, x.confidence, y.evidence_text, z.validatio
     "p4_found": _PARAGRAPHS,
     "p4_coverage": f"select doc_id, cast(length(text) as bigint) as chars, cast(0 as bigint) as gaps, cast(0 as bigint) as too_long, cast(0 as bigint) as apart from documents where regexp_replace(text, '{_WS}+', '', 'g') <> ''",
     "p5_found": _GROUPS,
+    "p5_groups": _GROUPS[: _GROUPS.rindex("select min(m)")] + "select n as node_id, min(m) as group_node_id from (select n, m from reach union all select node_id, node_id from entities where node_id is not null union all select node_id_1, node_id_1 from match_pairs where node_id_1 = node_id_2) group by n",
     "p9_found": _LEAKS,
     "p8_decoded": "select doc_id, case when text is null then '' else text end as text from documents",
 }
