@@ -86,15 +86,16 @@ def says_little(rel: Column, obj: Column, kind: Column) -> Column:
 
 def extracted(answers: DataFrame, first: int | None = None) -> DataFrame:
     """Triples of ``answers`` (chunk_id, response, and text of the chunk where there is one): chunk_id, i
-    (place in the response), part (place in a split list), event_id, s, st, rel, o, ot, ev, conf, status.
+    (place in the response, counted from ``start`` where there is that column), part (place in a split list), event_id, s, st, rel, o, ot, ev, conf, status.
 
     Names are cleaned, types and relations resolved, passive relations turned, lists of objects split,
     empty facts dropped, missing evidence taken from the text, pronouns resolved within the chunk;
-    ``first`` keeps so many triples of each chunk. One row a chunk is expected; a response that is
-    null or unreadable gives none.
+    ``first`` keeps so many triples of each chunk. One row a chunk is expected, or several with a
+    ``start`` each; a response that is null or unreadable gives none.
     """
     text = F.col("text") if "text" in answers.columns else F.lit(None).cast("string")
-    rows = answers.select("chunk_id", text.alias("text"), F.posexplode(responses.parsed(F.col("response"))).alias("i", "t")).where("t is not null")
+    start = F.col("start") if "start" in answers.columns else F.lit(0)
+    rows = answers.select("chunk_id", text.alias("text"), start.alias("start"), F.posexplode(responses.parsed(F.col("response"))).alias("i", "t")).where("t is not null").withColumn("i", F.col("start") + F.col("i"))
     filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
     said = strip(filled("t.relation", "related_to"))
     named = rows.select(
@@ -104,7 +105,7 @@ def extracted(answers: DataFrame, first: int | None = None) -> DataFrame:
     single = actively(named).select("*", F.posexplode(compound(F.col("o"), F.col("ot"))).alias("part", "_o")).drop("o").withColumnRenamed("_o", "o")
     kept = single.where(~says_little(F.col("rel"), F.col("o"), F.col("ot")))
     evidence = F.when((F.col("ev") == "") & F.col("text").isNotNull(), inferred_evidence(F.col("text"), F.col("s"), F.col("o"))).otherwise(F.col("ev"))
-    placed = kept.withColumns({"ev": evidence, "chunk": F.col("chunk_id"), "seq": F.col("i") * 2**20 + F.col("part")})
+    placed = kept.withColumns({"ev": evidence, "chunk": F.col("chunk_id"), "seq": F.col("i").cast("long") * 2**20 + F.col("part")})
     if first is not None:
         placed = placed.withColumn("_n", F.row_number().over(Window.partitionBy("chunk").orderBy("seq"))).where(F.col("_n") <= first).drop("_n")
     done = pairs.resolve_pronouns(placed)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift import schema
 from spindrift.operators import extract, validate
@@ -20,16 +21,21 @@ from spindrift.sources import responses
 from spindrift.tables import table
 
 LIST = ("subject", "subject_type", "relation", "object", "object_type", "evidence_text")
+#: Triples of one answer at most: rows of an unnamed chunk are as many as there are.
+PAGE = 200
 
 
-def stored_answers(spark: SparkSession, d: str) -> DataFrame:
-    """chunk_id and response: each chunk's triples as JSON, plain, in a fence, in prose or cut off at the
-    end of the list. A chunk has few triples."""
-    rows = table(spark, d, "triples").where("source_chunk_id is not null").groupBy(F.col("source_chunk_id").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("seq", *LIST))).alias("l"))
+def stored_answers(spark: SparkSession, d: str, page: int = PAGE) -> DataFrame:
+    """chunk_id, start and response: each chunk's triples as JSON, plain, in a fence, in prose or cut off at
+    the end of the list; beyond ``page`` triples in several answers, ``start`` the place of the first one."""
+    place = F.row_number().over(Window.partitionBy("source_chunk_id").orderBy("seq")) - 1
+    numbered = table(spark, d, "triples").where("source_chunk_id is not null").select(F.col("source_chunk_id").alias("chunk_id"), "seq", *LIST, (place - place % page).alias("start"))
+    # Spread by answer: the window leaves all answers of a chunk in one task.
+    rows = numbered.repartition("chunk_id", "start").groupBy("chunk_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", *LIST))).alias("l"))
     body = F.to_json(F.struct(F.transform("l", lambda x: F.struct(*[x[c].alias(c) for c in LIST])).alias("triples")))
     shape = F.length("chunk_id") % 4
     said = F.when(shape == 0, body).when(shape == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(shape == 2, F.concat(F.lit("Here is what I found:\n"), body, F.lit("\nThat is all.")))
-    return rows.select("chunk_id", said.otherwise(F.concat(F.substring(body, F.lit(1), F.length(body) - 2), F.lit(', {"subject": "cut'))).alias("response"))
+    return rows.select("chunk_id", "start", said.otherwise(F.concat(F.substring(body, F.lit(1), F.length(body) - 2), F.lit(', {"subject": "cut'))).alias("response"))
 
 
 def extracted_triples(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 import json
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift import pipeline
-from spindrift.operators import extract, ground, matching, quality, scoring
+from spindrift.operators import extract, ground, matching, pairs, quality, scoring
+from spindrift.plans import extraction, fusion
 from tests_kg import kg
 
 
@@ -187,3 +190,27 @@ def test_ablation_scores(spark):
     assert got["none", "triple"] == (2, 0.0) and got["P+R+V", "triple"][0] == 2 and got["P+R+V", "triple"][1] > 0
     with pytest.raises(ValueError, match="no triples"):
         pipeline.ablation_scores(rows.where("doc = 'd'"), gold, [pipeline.Steps()])
+
+
+def unnamed(spark, tmp_path, n):
+    """A folder with a table of ``n`` triples of the chunk without a name, and DuckDB on it."""
+    rng, kinds = random.Random(n), ["ThreatActor", "Malware", "Tool", "Organization", "Other"]
+    name = lambda: rng.choice(["it", "the group", "Fox", "Owl and Elm", "a Yew, Ash and Oak", "2019", "", "ransomware"]) if rng.random() < 0.3 else f"Name{rng.randrange(n)}"
+    rows = [(i, name(), rng.choice(kinds), rng.choice(["uses", "used by", "targets", "related_to"]), name(), rng.choice(kinds), "said", "", "", [], 0.9, rng.choice(["raw", "rejected", "validated"])) for i in range(n)]
+    spark.createDataFrame(rows, "seq long, subject string, subject_type string, relation string, object string, object_type string, evidence_text string, source_doc_id string, source_chunk_id string, attack_ids array<string>, confidence double, validation_status string").coalesce(1).write.parquet(f"{tmp_path}/triples.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view triples as select * from '{tmp_path}/triples.parquet/*.parquet'")
+    return str(tmp_path), duck
+
+
+def same_as_sql(df, duck, sql):
+    got = duck.execute(f"select {', '.join(df.columns)} from ({sql})").fetchall()
+    assert Counter(tuple(r) for r in df.collect()) == Counter(got) and got
+
+
+def test_first_triples_of_a_large_chunk(spark, tmp_path):
+    """Places beyond 2,047 do not overflow, and several answers count as one chunk."""
+    d, duck = unnamed(spark, tmp_path, 2100)
+    same_as_sql(extraction.first_triples(spark, d), duck, extraction.SQL["first_triples"])
+    whole = extraction.stored_answers(spark, d, 10**6)
+    assert whole.count() == 1 and extract.extracted(whole).where("i > 2047").count() > 0
