@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift import schema
 from spindrift.functions.names import for_comparison
+from spindrift.operators.grouped import by_group
 
 
 def additions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -33,24 +36,50 @@ def _first_relations() -> list[tuple[str, str, str, bool]]:
     return rows
 
 
+#: The relation of each two types that some relation allows, and whether it is turned round.
+_FITTING = {(a, b): (rel, turned) for a, b, rel, turned in _first_relations()}
+
+
+def first_pairs(rows: Iterable[tuple], k: int) -> list[tuple]:
+    """n, s, rel, o of the first ``k`` pairs of a chunk that may be related and are not.
+
+    ``rows`` are (chunk, 0, None, x, y, None) for each related pair in lower case, then (chunk, 1, place,
+    name, name in lower case, type) for each entity by place. An entity waits for later ones only as long
+    as a pair with it could be among the first: each look at a waiting one gives such a pair, or meets
+    a related one.
+    """
+    related: set[tuple[str, str]] = set()
+    waiting: dict[str, list[tuple]] = {}
+    found: list[tuple] = []
+    for _, kind, at, name, low, own in rows:
+        if not kind:
+            related.add((min(name, low), max(name, low)))
+            continue
+        new = [(i, at, a, name, *_FITTING[t, own]) for t, those in waiting.items() if (t, own) in _FITTING for i, a, x in those if (min(x, low), max(x, low)) not in related]
+        if new:
+            found = sorted(found + new)[:k]
+        if len(found) < k:
+            waiting.setdefault(own, []).append((at, name, low))
+        elif new:
+            waiting = {t: left for t, those in waiting.items() if (left := [w for w in those if w[0] < found[-1][0]])}
+        if len(found) == k and not waiting:
+            break
+    return [(n, b, rel, a) if turned else (n, a, rel, b) for n, (_, _, a, b, rel, turned) in enumerate(found, 1)]
+
+
 def guided_pairs(kg: DataFrame, k: int = 8) -> DataFrame:
     """The first ``k`` pairs of entities of each chunk that no triple of it relates, with the first
     specific relation that their types allow, as they stand or else turned round.
 
-    Entities take their first position and last type. The self-join is by chunk, which holds the
-    entities of one piece of text.
+    Entities take their first position and last type. No pairs are formed beyond those looked at:
+    ``first_pairs`` reads the entities of a chunk in order and keeps its related pairs in memory.
     """
     live = kg.where("status <> 'rejected' and chunk is not null")
     ends = live.select("chunk", F.explode(F.array(*[F.struct((F.col("seq") * 2 + i).alias("at"), F.col(n).alias("name"), F.col(t).alias("type")) for i, n, t in ((0, "s", "st"), (1, "o", "ot"))])).alias("e")).select("chunk", "e.*")
-    known = ends.groupBy("chunk", "name").agg(F.min("at").alias("at"), F.max_by("type", "at").alias("type"))
-    a = known.select("chunk", F.col("name").alias("a"), F.col("at").alias("i"), F.col("type").alias("ta"))
-    b = known.select("chunk", F.col("name").alias("b"), F.col("at").alias("j"), F.col("type").alias("tb"))
-    pairs = a.join(b, "chunk").where("i < j").withColumns({"x": F.least(F.lower("a"), F.lower("b")), "y": F.greatest(F.lower("a"), F.lower("b"))})
-    related = live.select("chunk", F.least(F.lower("s"), F.lower("o")).alias("x"), F.greatest(F.lower("s"), F.lower("o")).alias("y")).distinct()
-    fitting = F.broadcast(kg.sparkSession.createDataFrame(_first_relations(), "ta string, tb string, choice string, turned boolean"))
-    open_ = pairs.join(fitting, ["ta", "tb"]).join(related, ["chunk", "x", "y"], "left_anti")
-    ranked = open_.withColumn("n", F.row_number().over(Window.partitionBy("chunk").orderBy("i", "j"))).where(F.col("n") <= k)
-    return ranked.select("chunk", "n", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("s"), F.col("choice").alias("rel"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("o"))
+    known = ends.groupBy("chunk", "name").agg(F.min("at").alias("at"), F.max_by("type", "at").alias("type")).select("chunk", F.lit(1).alias("kind"), "at", "name", F.lower("name").alias("low"), "type")
+    related = live.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), F.lower("s").alias("name"), F.lower("o").alias("low"), F.lit(None).cast("string").alias("type"))
+    run = lambda chunk, rows: ((chunk, *r) for r in first_pairs(rows, k))
+    return by_group(related.unionByName(known), "chunk", ["kind", "at"], run, {"chunk": "string", "n": "int", "s": "string", "rel": "string", "o": "string"})
 
 
 def duplicate_candidates(entities: DataFrame, shortest: int = 4) -> DataFrame:

@@ -214,3 +214,23 @@ def test_first_triples_of_a_large_chunk(spark, tmp_path):
     same_as_sql(extraction.first_triples(spark, d), duck, extraction.SQL["first_triples"])
     whole = extraction.stored_answers(spark, d, 10**6)
     assert whole.count() == 1 and extract.extracted(whole).where("i > 2047").count() > 0
+
+
+def test_guided_pairs_of_a_large_chunk(spark, tmp_path):
+    """The pairs that SQL finds, while no plan joins a chunk with itself."""
+    d, duck = unnamed(spark, tmp_path, 400)
+    got = fusion.guided_pairs(spark, d)
+    same_as_sql(got, duck, fusion.SQL["guided_pairs"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_first_pairs_equal_all_pairs(seed):
+    rng = random.Random(seed)
+    ents = [(i, n, n.lower(), rng.choice(["Malware", "Tool", "Other", "Location", "ThreatActor"])) for i, n in enumerate(rng.sample([c + d for c in "aAbB" for d in "xyzXYZ"], 15))]
+    related = {tuple(sorted((rng.choice(ents)[2], rng.choice(ents)[2]))) for _ in range(60)}
+    rows = [("c", 0, None, x, y, None) for x, y in related] + [("c", 1, *e) for e in ents]
+    every = [(a, b, *pairs._FITTING[a[3], b[3]]) for i, a in enumerate(ents) for b in ents[i + 1 :] if (a[3], b[3]) in pairs._FITTING and tuple(sorted((a[2], b[2]))) not in related]
+    for k in (1, 3, 8, 500):
+        want = [(n, b[1], rel, a[1]) if turned else (n, a[1], rel, b[1]) for n, (a, b, rel, turned) in enumerate(every[:k], 1)]
+        assert pairs.first_pairs(iter(rows), k) == want
