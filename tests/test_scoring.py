@@ -234,3 +234,27 @@ def test_first_pairs_equal_all_pairs(seed):
     for k in (1, 3, 8, 500):
         want = [(n, b[1], rel, a[1]) if turned else (n, a[1], rel, b[1]) for n, (a, b, rel, turned) in enumerate(every[:k], 1)]
         assert pairs.first_pairs(iter(rows), k) == want
+
+WORDS = "fox owl elm ash oak group apt 28 29 bear of".split()
+
+
+def some_name(rng):
+    return rng.choice(["", "a", "apt28", "apt 2", "oa"]) if rng.random() < 0.1 else " ".join(rng.sample(WORDS, rng.randint(1, 4)))
+
+
+def some_edge(rng):
+    s, o = some_name(rng), some_name(rng)
+    return s, frozenset(s.split()), rng.choice(["uses", "drops", "delivers", "targets", "related_to", "exploits"]), o, frozenset(o.split())
+
+
+@pytest.mark.parametrize("matcher", ["triplet"])
+@pytest.mark.parametrize("block", [7, 1 << 14])
+def test_lookups_match_as_greedy_does(monkeypatch, matcher, block):
+    """A large document's matches are looked up, block by block, and are those of comparing each pair."""
+    one_by_one = matching.greedy
+    for name, value in (("FEW", 0), ("BLOCK", block), ("greedy", None)):
+        monkeypatch.setattr(matching, name, value)
+    for seed in range(10):
+        rng = random.Random(seed)
+        p, g = [some_edge(rng) for _ in range(60)], [some_edge(rng) for _ in range(50)]
+        assert matching.matched(p, g, matcher) == one_by_one(p, g, matching.PASSES[matcher]) > 0
