@@ -247,7 +247,7 @@ def some_edge(rng):
     return s, frozenset(s.split()), rng.choice(["uses", "drops", "delivers", "targets", "related_to", "exploits"]), o, frozenset(o.split())
 
 
-@pytest.mark.parametrize("matcher", ["triplet", "pair", "compat", "strict"])
+@pytest.mark.parametrize("matcher", ["triplet", "pair", "compat", "strict", "swapped", "rel_eq", "exact"])
 @pytest.mark.parametrize("block", [7, 1 << 14])
 def test_lookups_match_as_greedy_does(monkeypatch, matcher, block):
     """A large document's matches are looked up, block by block, and are those of comparing each pair."""
