@@ -1,20 +1,22 @@
 """Scores of extracted triples against gold ones: by level, by entity type, by document, by stored
 judgements and entailments.
 
-A document holds few triples, so whatever depends on their order runs in a grouped Arrow function
-for each document; all else is joins by document and aggregation.
+Whatever depends on the order of triples runs in Python for each document; all else is joins by
+document and aggregation.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift import schema
 from spindrift.functions.columns import mapped
 from spindrift.functions.names import for_match, names_match, token_set
-from spindrift.operators.matching import prf, soft
+from spindrift.operators.grouped import by_group
+from spindrift.operators.matching import FEW, Golds, Near, prf, soft, taken
 from spindrift.sources import responses
 
 #: Share of the shorter name's words that the longer one must have at the levels below.
@@ -62,14 +64,50 @@ def _tests(same: _Names) -> dict:
     }
 
 
-def _keys(level: str, rows) -> set[tuple]:
-    """The distinct keys of one side of a document."""
+def _looks() -> dict:
+    """The tests as lookups, with the columns that hold names."""
+    def whole(compat: bool):
+        rel = lambda g, p: g.any_of(2, p[2], lambda a, b: a == b or compat and frozenset((a, b)) in _NARROW)
+        forth = lambda g, p: g.equal(1, p[1]) & g.equal(4, p[4]) & g.near(0, p[0]) & g.near(3, p[3])
+        back = lambda g, p: g.equal(4, p[1]) & g.equal(1, p[4]) & g.near(3, p[0]) & g.near(0, p[3])
+        return lambda g, p: rel(g, p) & (forth(g, p) | back(g, p)), (0, 3)
+
+    first: tuple = (lambda g, p: g.equal(1, p[1]) & g.near(0, p[0]), (0,))
+    return {
+        "entity": first, "entity_name_only": (lambda g, p: g.near(0, p[0]), (0,)),
+        "relation": (lambda g, p: g.equal(1, p[1]) & (g.near(0, p[0]) & g.near(2, p[2]) | g.near(2, p[0]) & g.near(0, p[2])), (0, 2)),
+        "triple": whole(False), "triple_compat": whole(True), "triple_relaxed": first,
+    }
+
+
+def _keys(level: str, rows: set[tuple]) -> set[tuple]:
+    """The distinct keys of one side of a document, of its rows (ns, cs, rel, no, co)."""
     if level.startswith("entity"):
-        ends = [x for r in rows for x in ((r.ns, r.cs), (r.no, r.co))]
+        ends = [x for ns, cs, _, no, co in rows for x in ((ns, cs), (no, co))]
         return {e if level == "entity" else e[:1] for e in ends}
     if level == "relation":
-        return {(r.ns, r.rel, r.no) for r in rows}
-    return {(r.ns, r.no) if level == "triple_relaxed" else (r.ns, r.cs, r.rel, r.no, r.co) for r in rows}
+        return {(ns, rel, no) for ns, _, rel, no, _ in rows}
+    return {(r[0], r[3]) for r in rows} if level == "triple_relaxed" else rows
+
+
+def level_counts(pred: set[tuple], gold: set[tuple]) -> list[tuple]:
+    """level, tp, n_pred, n_gold of the rows (ns, cs, rel, no, co) of a document."""
+    out, tests, near = [], _tests(_Names()), None
+    for level in LEVELS:
+        p, g = _keys(level, pred), _keys(level, gold)
+        tp, asked, free = len(p & g), sorted(p - g), sorted(g - p)
+        if len(asked) * len(free) > FEW:
+            near = near or Near((n for r in gold for n in (r[0], r[3])), lambda n: frozenset(n.split()), SHARE)
+            look, named = _looks()[level]
+            tp += len(asked) - len(taken(asked, free, look, near, named)[0])
+        else:
+            for key in asked:
+                hit = next((i for i, x in enumerate(free) if tests[level](key, x)), None)
+                if hit is not None:
+                    del free[hit]
+                    tp += 1
+        out.append((level, tp, len(p), len(g)))
+    return out
 
 
 def levels_by_document(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -82,22 +120,14 @@ def levels_by_document(pred: DataFrame, gold: DataFrame) -> DataFrame:
     left out.
     """
 
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
-        rows = list(doc.itertuples())
-        out, tests = [], _tests(_Names())
-        for level in LEVELS:
-            p, g = (_keys(level, [r for r in rows if r.is_gold == side]) for side in (False, True))
-            tp, free = len(p & g), sorted(g - p)
-            for key in sorted(p - g):
-                hit = next((i for i, x in enumerate(free) if tests[level](key, x)), None)
-                if hit is not None:
-                    del free[hit]
-                    tp += 1
-            out.append((doc["doc"].iloc[0], level, tp, len(p), len(g)))
-        return pd.DataFrame(out, columns=["doc", "level", "tp", "n_pred", "n_gold"])
+    def run(doc: str, rows: Iterator[tuple]) -> list[tuple]:
+        sides: tuple[set, set] = (set(), set())
+        for r in rows:
+            sides[r[6]].add(r[1:6])
+        return [(doc, *c) for c in level_counts(*sides)]
 
     both = pred.withColumn("is_gold", F.lit(False)).unionByName(gold.withColumn("is_gold", F.lit(True))).where("doc is not null")
-    return both.groupBy("doc").applyInPandas(run, "doc string, level string, tp long, n_pred long, n_gold long")
+    return by_group(both.select("doc", "ns", "cs", "rel", "no", "co", "is_gold"), "doc", [], run, {"doc": "string", "level": "string", "tp": "long", "n_pred": "long", "n_gold": "long"})
 
 
 def extraction_metrics(pred: DataFrame, gold: DataFrame) -> DataFrame:

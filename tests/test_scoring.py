@@ -258,3 +258,17 @@ def test_lookups_match_as_greedy_does(monkeypatch, matcher, block):
         rng = random.Random(seed)
         p, g = [some_edge(rng) for _ in range(60)], [some_edge(rng) for _ in range(50)]
         assert matching.matched(p, g, matcher) == one_by_one(p, g, matching.PASSES[matcher]) > 0
+
+
+@pytest.mark.parametrize("block", [7, 1 << 14])
+def test_levels_looked_up(monkeypatch, block):
+    """The levels of a large document are looked up, block by block, and are those of comparing each pair."""
+    monkeypatch.setattr(matching, "BLOCK", block)
+    for seed in range(10):
+        rng = random.Random(seed)
+        p, g = ({(e[0], rng.choice("xyz"), e[2], e[3], rng.choice("xyz")) for e in (some_edge(rng) for _ in range(n))} for n in (60, 50))
+        counts = []
+        for few in (10**9, 0):
+            monkeypatch.setattr(scoring, "FEW", few)
+            counts.append(scoring.level_counts(p, g))
+        assert counts[0] == counts[1] and all(tp > 0 for _, tp, _, _ in counts[0][:3])
