@@ -273,3 +273,10 @@ def test_levels_looked_up(monkeypatch, block):
             monkeypatch.setattr(scoring, "FEW", few)
             counts.append(scoring.level_counts(p, g))
         assert counts[0] == counts[1] and all(tp > 0 for _, tp, _, _ in counts[0][:3])
+
+
+def test_extracted_triples_of_a_large_chunk(spark, tmp_path):
+    """Pronouns reach back over several answers of one chunk."""
+    d, duck = unnamed(spark, tmp_path, 2060)
+    assert extraction.stored_answers(spark, d).count() == 11
+    same_as_sql(extraction.extracted_triples(spark, d), duck, extraction.SQL["extracted_triples"])
