@@ -17,10 +17,21 @@ def _by_stem(wording: str) -> str:
 #: The wordings that the stems would misread: only these need a lookup before the stems.
 EXCEPTIONS = {w: r for r, ws in schema.RELATION_WORDINGS.items() for w in ws if _by_stem(w) != r}
 
+#: The relations that keep their own name.
+KEPT = [r for r in schema.RELATIONS if EXCEPTIONS.get(r, _by_stem(r)) == r]
+
 
 def normalize_relation(raw: Column) -> Column:
     """A free relation by its wording, else by the first stem it contains, else ``related_to``."""
-    key = strip(F.lower(raw))
+    return relation_of(relation_key(raw))
+
+
+def relation_key(raw: Column) -> Column:
+    return strip(F.lower(raw))
+
+
+def relation_of(key: Column) -> Column:
+    """The relation of a key; the ladder reads the key at each step."""
     return mapped(key, EXCEPTIONS, ladder(key, schema.RELATION_STEMS, F.lit("related_to")))
 
 

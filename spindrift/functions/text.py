@@ -14,6 +14,12 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+def plain(col: Column) -> Column:
+    """Whether a text is printable ASCII without blanks at its ends or next to each other, so that ``strip``
+    and ``squash`` leave it as it is; told without a search but for control characters."""
+    return (F.octet_length(col) == F.char_length(col)) & ~col.startswith(" ") & ~col.endswith(" ") & ~col.contains("  ") & ~col.rlike(r"[\x00-\x1f]")
+
+
 def squash(col: Column) -> Column:
     """Stripped, each run of white space one blank."""
     return strip(F.regexp_replace(col, rf"(?U){SPACE}+", " "))

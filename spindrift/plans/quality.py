@@ -127,7 +127,7 @@ def _covered(protocol: str):
 
 def _greedy(matcher: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return matching.micro(matching.greedy_by_document(*sides(spark, d), matcher))
+        return matching.micro(matching.greedy_by_document(matching.sided(table(spark, d, "triples"), ["raw", "repaired"], ["validated"]), matcher))
 
     return run
 

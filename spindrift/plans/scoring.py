@@ -49,8 +49,7 @@ def document_winners(spark: SparkSession, d: str) -> DataFrame:
 
 def _greedy(matcher: str, stemmed: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = kg(spark, d)
-        return matching.micro(matching.greedy_by_document(matching.keyed(rows.where(PREDICTED), stemmed), matching.keyed(rows.where(GOLD), stemmed), matcher))
+        return matching.micro(matching.greedy_by_document(matching.sided(table(spark, d, "triples"), ["raw", "repaired"], ["validated"]), matcher, stemmed))
 
     return run
 

@@ -280,3 +280,31 @@ def test_extracted_triples_of_a_large_chunk(spark, tmp_path):
     d, duck = unnamed(spark, tmp_path, 2060)
     assert extraction.stored_answers(spark, d).count() == 11
     same_as_sql(extraction.extracted_triples(spark, d), duck, extraction.SQL["extracted_triples"])
+
+
+@pytest.mark.parametrize("matcher", ["compat"])
+def test_small_documents_looked_up(monkeypatch, matcher):
+    """Matches of a small document are looked up too, and are those of comparing each pair."""
+    one_by_one = matching.greedy
+    monkeypatch.setattr(matching, "greedy", None)
+    for seed in range(30):
+        rng = random.Random(seed)
+        p, g = [some_edge(rng) for _ in range(40)], [some_edge(rng) for _ in range(30)]
+        assert matching.matched(p, g, matcher) == one_by_one(p, g, matching.PASSES[matcher]) > 0
+
+
+def test_sided_as_keyed(spark):
+    """One reading of the delivered triples has the forms, relations and words of the keyed graph."""
+    from spindrift.plans.base import graph_triples
+
+    rng = random.Random(3)
+    part = lambda: rng.choice(["", " ", "\t", " ", "\x1c", "  ", "the ", "The a ", "THESE", "Foxes", "attackers", "boss", "Ärzte", "İx", "apt 28", "cves", "those", "an\nelm", "　"])
+    name = lambda: None if rng.random() < 0.05 else "".join(part() for _ in range(rng.randint(1, 5)))
+    said = lambda: rng.choice([None, "", "USES", " used\tby", "targets ", "is a", "IS A", "located_in", "Exploits", "runs on", "Known as", "communicates_with", "zz"])
+    rows = [(i, rng.choice([None, "", "d"]), "c", name(), "Tool", said(), name(), "Tool", "", 0.5, rng.choice([None, "raw", " Repaired", "VALIDATED ", "validated", "rejected", "ok?"]), []) for i in range(400)]
+    triples = spark.createDataFrame(rows, "seq long, source_doc_id string, source_chunk_id string, subject string, subject_type string, relation string, object string, object_type string, evidence_text string, confidence double, validation_status string, attack_ids array<string>")
+    kept = graph_triples(triples).where("status <> 'rejected'")
+    for stemmed in (True, False):
+        want = matching.keyed(kept, stemmed).join(kept.select("seq", (F.col("status") == "validated").alias("is_gold")), "seq")
+        got = matching.sided(triples, ["raw", "repaired"], ["validated"]).collect()
+        assert sorted((r.seq, r.doc or "", r.ns, r.rel, r.no, r.is_gold, matching.words_of(r.ns, stemmed), matching.words_of(r.no, stemmed)) for r in got) == sorted((r.seq, r.doc or "", r.ns, r.rel, r.no, r.is_gold, frozenset(r.ts), frozenset(r.to)) for r in want.collect())
