@@ -282,7 +282,7 @@ def test_extracted_triples_of_a_large_chunk(spark, tmp_path):
     same_as_sql(extraction.extracted_triples(spark, d), duck, extraction.SQL["extracted_triples"])
 
 
-@pytest.mark.parametrize("matcher", ["compat", "strict", "pair"])
+@pytest.mark.parametrize("matcher", ["compat", "strict", "pair", "swapped"])
 def test_small_documents_looked_up(monkeypatch, matcher):
     """Matches of a small document are looked up too, and are those of comparing each pair."""
     one_by_one = matching.greedy
