@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,12 @@ def relation_of(key: Column) -> Column:
     return mapped(key, EXCEPTIONS, ladder(key, schema.RELATION_STEMS, F.lit("related_to")))
 
 
+@lru_cache(1 << 15)
+def relation_named(key: str) -> str:
+    """``relation_of`` a key outside the JVM: keys are much fewer than rows."""
+    return EXCEPTIONS.get(key) or _by_stem(key)
+
+
 def resolve_relation(raw: Column) -> Column:
     """A model's relation: its name in any case, with or without underscores, else by stems."""
     key = F.replace(strip(F.lower(raw)), F.lit(" "), F.lit("_"))

@@ -14,6 +14,14 @@ _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 ROWS = 10_000
 
 
+def values(column: pa.Array) -> list:
+    """The values of a column as ``to_pylist`` gives them; texts, and numbers without nulls, in one go."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or not column.null_count and (pa.types.is_integer(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def by_group(df: DataFrame, key: str, order: list[str], run: Callable[[str, Iterator[tuple]], Iterable[tuple]], out: dict[str, str]) -> DataFrame:
     """What ``run`` gives for each ``key`` and its rows in ``order``; it need not read them to their end."""
     at, names, types = itemgetter(df.columns.index(key)), list(out), [_TYPES[t] for t in out.values()]
@@ -23,7 +31,7 @@ def by_group(df: DataFrame, key: str, order: list[str], run: Callable[[str, Iter
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
-        for k, rows in groupby((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])), key=at):
+        for k, rows in groupby((r for b in batches for r in zip(*map(values, b.columns))), key=at):
             done.extend(run(k, rows))
             if len(done) >= ROWS:
                 yield batch(done)

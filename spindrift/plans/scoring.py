@@ -49,7 +49,8 @@ def document_winners(spark: SparkSession, d: str) -> DataFrame:
 
 def _greedy(matcher: str, stemmed: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return matching.micro(matching.greedy_by_document(matching.sided(table(spark, d, "triples"), ["raw", "repaired"], ["validated"]), matcher, stemmed))
+        edges = matching.sided(table(spark, d, "triples"), ["raw", "repaired"], ["validated"], named=False)
+        return matching.micro(matching.greedy_by_document(edges, matcher, stemmed, named=False))
 
     return run
 

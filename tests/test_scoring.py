@@ -308,3 +308,39 @@ def test_sided_as_keyed(spark):
         want = matching.keyed(kept, stemmed).join(kept.select("seq", (F.col("status") == "validated").alias("is_gold")), "seq")
         got = matching.sided(triples, ["raw", "repaired"], ["validated"]).collect()
         assert sorted((r.seq, r.doc or "", r.ns, r.rel, r.no, r.is_gold, matching.words_of(r.ns, stemmed), matching.words_of(r.no, stemmed)) for r in got) == sorted((r.seq, r.doc or "", r.ns, r.rel, r.no, r.is_gold, frozenset(r.ts), frozenset(r.to)) for r in want.collect())
+
+
+def test_relations_named_outside_the_jvm(spark):
+    """``strict_f1`` reads the keys of relations in the JVM and names each once; the names are those of the columns."""
+    from spindrift import schema
+    from spindrift.functions.relations import relation_named, relation_of
+    from spindrift.plans import scoring as plans
+
+    said = sorted({*schema.RELATIONS, *(w for ws in schema.RELATION_WORDINGS.values() for w in ws), *(f"x{w} y" for _, ws in schema.RELATION_STEMS for w in ws), "", " ", "zz", "uses\nno", "ärgert"})
+    got = spark.createDataFrame([(w,) for w in said], "key string").select("key", relation_of(F.col("key")).alias("rel")).collect()
+    assert {r.key: r.rel for r in got} == {w: relation_named(w) for w in said}
+    plan = plans.QUERIES["strict_f1"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "relation#" in plan and "lambda" not in plan and "communicates_with" not in plan
+    rows = [(i, "d", f"Name{i // 2}", r, "Elm", ("raw", "validated")[i % 2]) for i, r in enumerate(["Exploited by", "exploits", " TARGETS", "targeting", "uses", "zz"])]
+    triples = spark.createDataFrame(rows, "seq long, source_doc_id string, subject string, relation string, object string, validation_status string")
+    both = [matching.greedy_by_document(matching.sided(triples, ["raw"], ["validated"], named=n), "strict", False, named=n).collect() for n in (True, False)]
+    assert both[0] == both[1] and both[0][0].tp == 2
+
+
+def test_lookup_inside_long_names():
+    """Names that lie in a long one are found by their first letters, not by each part of it."""
+    near = matching.Near([f"{'x' * (n % 97)}{n} elm" for n in range(9000)] + ["", "a", "ab", "elm", "owl"], lambda n: frozenset(n.split()), 0.5)
+    looked = []
+    near.place = type("Places", (dict,), {"get": lambda self, x: looked.append(x) or dict.get(self, x)})(near.place)
+    name = "owl " * 30 + "zab" + "elm"
+    assert sorted(near.names[i] for i in near.inside(name)) == sorted(n for n in near.names if n in name or name in n) == ["", "a", "ab", "elm", "owl"]
+    assert len(looked) < 1000
+
+
+def test_values_as_pylist():
+    import pyarrow as pa
+
+    from spindrift.operators.grouped import values
+
+    for column in (pa.array(["a", None, "ä"]), pa.array([], pa.string()), pa.array([1, 2**60]), pa.array([1, None]), pa.array([True, False]), pa.array([None, True]), pa.array([None, None], pa.string()), pa.array([["x"], None])):
+        assert values(column) == column.to_pylist() and [type(x) for x in values(column)] == [type(x) for x in column.to_pylist()]
